@@ -80,7 +80,8 @@ def attach_calendar(df: DataFrame, forecast: DataFrame, params: ReportParams) ->
     calendar = month_calendar(forecast, params)
     if params.many_snapshots:
         return df.join(calendar, list(params.snapshot_keys), "left")
-    return df.withColumns({c: calendar.select(c).scalar() for c in ("months", "days")})
+    only = calendar.select(F.struct("months", "days")).scalar()
+    return df.withColumn("_calendar", only).select("*", "_calendar.*").drop("_calendar")
 
 
 def _days(months: Column, params: ReportParams) -> Column:

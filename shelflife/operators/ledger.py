@@ -26,6 +26,10 @@ def value_lots(lots: DataFrame) -> DataFrame:
     )
 
 
+def lot_order_columns(lots: DataFrame) -> list[str]:
+    return [c for c in (*LOT_ORDER, *REPEAT_ORDER) if c in lots.columns]
+
+
 def sequence_lots(lots: DataFrame, layout: Layout) -> DataFrame:
     """Number the lots of each key and add everything the later steps need
     from earlier lots: one shuffle and one sort for all columns.
@@ -34,8 +38,7 @@ def sequence_lots(lots: DataFrame, layout: Layout) -> DataFrame:
     ones and is NULL from the first lot with unknown days on. A `previous_`
     column is the value up to the lot before, NULL on the first lot.
     """
-    order = [c for c in (*LOT_ORDER, *REPEAT_ORDER) if c in lots.columns]
-    lot_order = layout.window(order)
+    lot_order = layout.window(lot_order_columns(lots))
     through = lot_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = lot_order.rowsBetween(W.unboundedPreceding, -1)
     days, qty = F.col("days_left_on_ssl"), F.col("sum_of_inventory_qty")

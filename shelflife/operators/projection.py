@@ -13,6 +13,8 @@ window aggregates, however long the chain is.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,48 +53,52 @@ def consumption_factor(lots: DataFrame, params: ReportParams, rule: str | None =
     )
 
 
-def project_inventory(lots: DataFrame, params: ReportParams, layout: Layout) -> DataFrame:
+def project_inventory(
+    lots: DataFrame, params: ReportParams, layout: Layout, order: Sequence[str] = ("lot_seq", RATE)
+) -> DataFrame:
+    """`order` must be a total order of the rows within a key; passing the
+    order the lots are already sorted in saves a sort."""
     days = F.col("days_left_on_ssl")
     ending = F.col("ending_inv_after_custord")
     # A first lot inside the order horizon consumes nothing, so its own value
     # is the ending inventory in both branches.
-    lots = lots.withColumn(
-        "_own",
+    own = (
         F.when(days <= 0, F.col("sum_of_inventory_qty"))
         .when(~F.col("is_first") & (days <= params.order_horizon_days), ending)
-        .when(days.isNotNull(), ending - F.col("consumption_factor")),
-    ).withColumn(
-        "_starts", F.col("is_first") | F.coalesce(days <= params.order_horizon_days, F.lit(False))
+        .when(days.isNotNull(), ending - F.col("consumption_factor"))
     )
-    sequence = layout.window(["lot_seq", RATE])
-    lots = lots.withColumns(
-        {
-            "_chain": F.count(F.when(F.col("_starts"), 1)).over(
-                sequence.rowsBetween(W.unboundedPreceding, W.currentRow)
-            ),
-            "_row": F.row_number().over(sequence),
-        }
-    )
-    lots = _chain_values(lots, F.col("_own"), F.col("_own"), layout.window(["_row"], "_chain"))
+    starts = F.col("is_first") | F.coalesce(days <= params.order_horizon_days, F.lit(False))
+    sequence = layout.window(order)
+    lots = _chain_values(lots.withColumn("_own", own), F.col("_own"), F.col("_own"), starts, sequence)
     if layout.split:
-        lots = _continue_chains(lots, layout)
-    return lots.withColumn("inv_after_custord_and_fcst", F.col("_value")).drop(
-        "_own", "_starts", "_chain", "_row", "_sum", "_unknown", "_value"
-    )
+        lots = _continue_chains(lots.withColumn("_row", F.row_number().over(sequence)), layout).drop("_row")
+    return lots.withColumnRenamed("_value", "inv_after_custord_and_fcst").drop("_own", "_sum", "_chain")
+
 
+def _chain_values(rows: DataFrame, own: Column, step: Column, starts: Column, sequence: WindowSpec) -> DataFrame:
+    """Add `_value` = min over the rows j of the chain so far of (own_j + later
+    steps), with the running `_sum` of steps and the `_chain` number.
 
-def _chain_values(rows: DataFrame, own: Column, step: Column, chain: WindowSpec) -> DataFrame:
-    """Add `_value` = min over the rows j so far of (own_j + later steps), the
-    running `_sum` of steps, and `_unknown`, the NULLs so far in the chain."""
-    through = chain.rowsBetween(W.unboundedPreceding, W.currentRow)
+    Sums before the chain cancel out, and chain numbers grow along the
+    sequence, so the running maximum of (chain, offset) is the maximum within
+    the current chain. All windows share one partitioning and one sort.
+    """
+    through = sequence.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumns(
-        {"_sum": F.sum(step).over(through), "_unknown": F.count(F.when(own.isNull(), 1)).over(through)}
+        {"_sum": F.sum(step).over(through), "_chain": F.count(F.when(starts, 1)).over(through)}
     )
-    offset = F.col("_sum") - own
-    rows = rows.withColumn("_best", F.max(offset).over(through))
+    offset, chain = F.col("_sum") - own, F.col("_chain")
+    rows = rows.withColumns(
+        {
+            "_best": F.max(F.struct(chain, offset.alias("offset"))).over(through),
+            "_unknown_chain": F.max(F.when(own.isNull(), chain)).over(through),
+        }
+    )
+    best = F.col("_best.offset")
+    known = F.col("_unknown_chain").isNull() | (F.col("_unknown_chain") < chain)
     # Where the row itself is the minimum, return its own value unchanged.
-    value = F.when(offset >= F.col("_best"), own).otherwise(F.col("_sum") - F.col("_best"))
-    return rows.withColumn("_value", F.when(F.col("_unknown") == 0, value)).drop("_best")
+    value = F.when(offset >= best, own).otherwise(F.col("_sum") - best)
+    return rows.withColumn("_value", F.when(known, value)).drop("_best", "_unknown_chain")
 
 
 def _continue_chains(lots: DataFrame, layout: Layout) -> DataFrame:
@@ -105,21 +111,16 @@ def _continue_chains(lots: DataFrame, layout: Layout) -> DataFrame:
     last = (
         lots.where(F.col(BLOCK) > 0)
         .groupBy(*layout.partition)
-        .agg(F.max_by(F.struct("_value", "_sum", "_unknown", "_chain"), "_row").alias("last"))
-        .select(*layout.partition, "last.*")
-        .withColumn("_open", (F.col("_chain") == 0))
-        .withColumn("_own", F.when(F.col("_unknown") == 0, F.col("_value")))
-        .withColumn("_step", F.when(F.col("_open"), F.col("_sum")).otherwise(F.col("_own")))
-        .drop("_value", "_sum", "_unknown", "_chain")
+        .agg(F.max_by(F.struct("_value", "_sum", "_chain"), "_row").alias("last"))
+        .select(
+            *layout.partition,
+            F.col("last._value").alias("_own"),
+            F.when(F.col("last._chain") == 0, F.col("last._sum")).otherwise(F.col("last._value")).alias("_step"),
+            (F.col("last._chain") > 0).alias("_starts"),
+        )
     )
     by_block = W.partitionBy(*layout.keys).orderBy(BLOCK)
-    last = last.withColumn(
-        "_block_chain",
-        F.count(F.when(~F.col("_open"), 1)).over(by_block.rowsBetween(W.unboundedPreceding, W.currentRow)),
-    )
-    ended = _chain_values(
-        last, F.col("_own"), F.col("_step"), W.partitionBy(*layout.keys, "_block_chain").orderBy(BLOCK)
-    )
+    ended = _chain_values(last, F.col("_own"), F.col("_step"), F.col("_starts"), by_block)
     entering = ended.select(*layout.partition, F.lag("_value").over(by_block).alias("_entering"))
     # One row per block, as in Layout.align.
     lots = lots.join(F.broadcast(entering), list(layout.partition), "left")

@@ -114,21 +114,28 @@ def daily_rates(sources: Sources, params: ReportParams) -> DataFrame:
     return demand.daily_forecast(demand.forecast_pivot(sources.forecast, params), params)
 
 
-def projected_lots(
-    lots: DataFrame, daily: DataFrame, params: ReportParams, layout: Layout
-) -> DataFrame:
-    lots = projection.join_daily_forecast(lots, daily, layout)
+def projected_lots(lots: DataFrame, sources: Sources, params: ReportParams, layout: Layout) -> DataFrame:
+    """Allocation and projection. A rate per item-location cannot repeat lots,
+    so it is joined first and the whole ledger is sorted once. With a rate per
+    manufacturing site a lot repeats, but only after the allocation."""
+    daily = daily_rates(sources, params)
+    if params.horizon_rule == "transfer":
+        lots = allocated_lots(lots, sources, params, layout)
+        lots = projection.join_daily_forecast(lots, daily, layout)
+        order = ["lot_seq", projection.RATE]
+    else:
+        lots = projection.join_daily_forecast(lots, daily, layout)
+        lots = allocated_lots(lots, sources, params, layout)
+        order = ledger.lot_order_columns(lots)
     lots = projection.consumption_factor(lots, params)
-    return projection.projection_value(projection.project_inventory(lots, params, layout))
+    return projection.projection_value(projection.project_inventory(lots, params, layout, order))
 
 
 def full_ledger(sources: Sources, params: ReportParams) -> Ledger:
     """Every step up to the projection, with internal column names."""
     start = lot_supply(sources, params)
     lots = describe_lots(start, sources, params)
-    lots = allocated_lots(lots, sources, params, start.layout)
-    lots = projected_lots(lots, daily_rates(sources, params), params, start.layout)
-    return Ledger(lots, start.layout)
+    return Ledger(projected_lots(lots, sources, params, start.layout), start.layout)
 
 
 def report(sources: Sources, params: ReportParams) -> DataFrame:

@@ -35,7 +35,6 @@ BACKFILL_TRANSFER = ReportParams.transfer(snapshots=WEEKS)
 INSPECTED_REF = "1_7"
 
 LOT = ("ref", "lot_number", "calculated_shippable_date", "days_left_on_ssl", "lot_seq")
-KEYS = Layout(("ref",))
 
 
 def _source(name: str) -> Query:
@@ -122,8 +121,8 @@ def ifelse_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.groupBy("a", "b")
         .count()
         .select(
-            "a",
-            "b",
+            a.cast("string").alias("a"),
+            b.cast("string").alias("b"),
             if_else(a, F.lit("yes"), F.lit("no")).alias("if_a"),
             if_else(a & b, F.lit("yes"), F.lit("no")).alias("if_and"),
             if_else(a | b, F.lit("yes"), F.lit("no")).alias("if_or"),
@@ -146,14 +145,15 @@ def _allocated(sources: Sources) -> tuple[DataFrame, Layout]:
     return reports.allocated_lots(start.lots, sources, BASE, start.layout), start.layout
 
 
-def _rated(sources: Sources, params: ReportParams = BASE) -> tuple[DataFrame, Layout]:
-    lots, layout = _allocated(sources)
-    return projection.join_daily_forecast(lots, reports.daily_rates(sources, params), layout), layout
+def _rated(sources: Sources) -> tuple[DataFrame, Layout]:
+    start = _lots(sources)
+    lots = projection.join_daily_forecast(start.lots, reports.daily_rates(sources, BASE), start.layout)
+    return reports.allocated_lots(lots, sources, BASE, start.layout), start.layout
 
 
 def _projected(sources: Sources) -> tuple[DataFrame, Layout]:
-    lots, layout = _allocated(sources)
-    return reports.projected_lots(lots, reports.daily_rates(sources, BASE), BASE, layout), layout
+    start = _lots(sources)
+    return reports.projected_lots(start.lots, sources, BASE, start.layout), start.layout
 
 
 def _planners(sources: Sources) -> DataFrame:
@@ -181,7 +181,8 @@ def lot_neighbors(sources: Sources) -> DataFrame:
         "net": "previous_net",
     }
     lots = ledger.lot_neighbors(lots, columns, layout)
-    return lots.select(*LOT, "previous_ref", "next_ref", "previous_days_left", *columns.values())
+    days = F.col("previous_days_left").cast("double").alias("previous_days_left")
+    return lots.select(*LOT, "previous_ref", "next_ref", days, *columns.values())
 
 
 def fifo_cumulative(sources: Sources) -> DataFrame:
@@ -378,7 +379,9 @@ def registry() -> dict[str, Query]:
         "inventory_value": lambda s: ledger.value_lots(_lots(s).lots).select(
             "ref", "lot_number", "unit_cost", "sum_of_inventory_qty_w_neg", "sum_of_inventory_qty", "inventory_in_cost"
         ),
-        "diff_factor": lambda s: _allocated(s)[0].select(*LOT, "previous_days_left", "diff_factor"),
+        "diff_factor": lambda s: _allocated(s)[0].select(
+            *LOT, F.col("previous_days_left").cast("double").alias("previous_days_left"), "diff_factor"
+        ),
         "fifo_cumulative": fifo_cumulative,
         "allocate_orders": lambda s: _allocated(s)[0].select(
             *LOT, "total_custord_within_15_days", "sum_of_inventory_qty", "inv_after_custord"
