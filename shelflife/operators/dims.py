@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflife.functions import composite_key, if_else, strip_dashes
-from shelflife.operators.hot_refs import Layout
 from shelflife.params import ReportParams
 
 # What the report shows for an item-location without a planner,
@@ -79,15 +78,17 @@ def named_planners(planners: DataFrame, directory: DataFrame, params: ReportPara
     )
 
 
-def join_planner_number(lots: DataFrame, planners: DataFrame, layout: Layout) -> DataFrame:
-    joined = layout.join(lots, planners.select(*layout.keys, "planner_number"))
-    return joined.withColumn("planner_number", F.coalesce("planner_number", F.lit(NO_PLANNER)))
+def join_planner_number(lots: DataFrame, planners: DataFrame, params: ReportParams) -> DataFrame:
+    numbers = planners.select(*params.ref_keys, "planner_number")
+    return lots.join(numbers, list(params.ref_keys), "left").withColumn(
+        "planner_number", F.coalesce("planner_number", F.lit(NO_PLANNER))
+    )
 
 
-def join_planner(lots: DataFrame, planners: DataFrame, layout: Layout) -> DataFrame:
+def join_planner(lots: DataFrame, planners: DataFrame, params: ReportParams) -> DataFrame:
     """Attach `named_planners`; lots without one show `NO_PLANNER`."""
     missing = F.col("planner_number").isNull()
-    return layout.join(lots, planners).withColumns(
+    return lots.join(planners, list(params.ref_keys), "left").withColumns(
         {
             "planner_number": F.coalesce("planner_number", F.lit(NO_PLANNER)),
             "planner_name": F.when(missing, NO_PLANNER).otherwise(F.col("planner_name")),
@@ -95,9 +96,8 @@ def join_planner(lots: DataFrame, planners: DataFrame, layout: Layout) -> DataFr
     )
 
 
-def join_item_type(lots: DataFrame, item_types: DataFrame, layout: Layout) -> DataFrame:
-    joined = layout.join(lots, item_types)
-    return joined.withColumn(
+def join_item_type(lots: DataFrame, item_types: DataFrame, params: ReportParams) -> DataFrame:
+    return lots.join(item_types, list(params.ref_keys), "left").withColumn(
         "mbx", if_else(F.col("planner_number") == NO_PLANNER, F.lit(NO_PLANNER), F.col("mbx"))
     )
 

@@ -1,16 +1,17 @@
 """Item-locations with too many lots for one task.
 
-All sequence operators work on the lots of one item-location in order. When an
-item-location is too large for one task, its lots are range-partitioned on the
-full lot order into blocks, each block is processed on its own, and what a
-block needs from the blocks before it is added from a table with one row per
-block. Nothing is dropped and the results do not depend on the split.
+All sequence operators work on the lots of one item-location in order. The few
+item-locations that are too large for one task take a path of their own: their
+lots are range-partitioned on the full lot order into blocks, each block is
+processed on its own, and what a block needs from the blocks before it is added
+from a table with one row per block. All other lots keep the plain plan.
+Nothing is dropped and the results do not depend on the split.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
@@ -23,6 +24,7 @@ BLOCK = "lot_block"
 # most 1/MAX_HOT_REFS of all lots, so leaving it whole is safe; the list itself
 # stays small enough to collect and broadcast whatever the data size.
 MAX_HOT_REFS = 10_000
+MAX_BLOCKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -47,56 +49,81 @@ class Layout:
 
     def align(self, side: DataFrame) -> DataFrame:
         """Repeat the rows of a split key once per block, so that a join on
-        `partition` uses the same shuffle as the windows."""
+        `partition` uses the same shuffle as the windows. Keys that are not
+        split are not needed and drop out."""
         if not self.split:
             return side
-        # One row per block: the size is the number of range partitions plus
-        # the number of hot refs, both bounded by settings.
-        return side.join(F.broadcast(self.blocks), list(self.keys), "left").withColumn(
-            BLOCK, F.coalesce(BLOCK, F.lit(0))
-        )
+        # One row per block and key in it: at most MAX_BLOCKS + MAX_HOT_REFS.
+        return side.join(F.broadcast(self.blocks), list(self.keys))
 
     def join(self, lots: DataFrame, side: DataFrame) -> DataFrame:
         return lots.join(self.align(side), list(self.partition), "left")
 
 
-def hot_refs(lots: DataFrame, keys: tuple[str, ...], lots_per_task: int) -> list:
-    """Keys with more than `lots_per_task` rows, largest first, with counts."""
-    return (
-        lots.groupBy(*keys)
-        .count()
-        .where(F.col("count") > lots_per_task)
-        .orderBy(F.desc("count"), *keys)
-        .limit(MAX_HOT_REFS)
-        .collect()
-    )
+@dataclass(frozen=True)
+class Part:
+    lots: DataFrame
+    layout: Layout
+
+
+def over_parts(parts: Sequence[Part], step: Callable[[DataFrame, Layout], DataFrame]) -> DataFrame:
+    """Apply `step` to each part and put the results together."""
+    results = [step(part.lots, part.layout).drop(BLOCK) for part in parts]
+    together = results[0]
+    for result in results[1:]:
+        together = together.unionByName(result)
+    return together
 
 
 def split_hot_refs(
-    lots: DataFrame, counted: DataFrame, keys: tuple[str, ...], order: Sequence[str], lots_per_task: int
-) -> tuple[DataFrame, Layout]:
-    """Assign every lot to a block. `counted` is a narrow table with at least
-    one row per lot, from which the hot keys are found."""
-    hot = hot_refs(counted, keys, lots_per_task)
+    lots: DataFrame,
+    counts: DataFrame,
+    keys: tuple[str, ...],
+    order: Callable[[DataFrame], Sequence[str]],
+    lots_per_task: int,
+    enrich: Callable[[DataFrame], DataFrame],
+) -> list[Part]:
+    """The enriched lots as one part or, when some keys are hot, as a plain
+    part and a part in blocks. `counts` holds an upper bound of the enriched
+    rows per key as `rows`."""
+    hot = (
+        counts.where(F.col("rows") > lots_per_task)
+        .orderBy(F.desc("rows"), *keys)
+        .limit(MAX_HOT_REFS)
+        .collect()
+    )
     if not hot:
-        return lots, Layout(keys)
+        return [Part(enrich(lots), Layout(keys))]
     spark = lots.sparkSession
+    # At most MAX_HOT_REFS rows.
     hot_keys = F.broadcast(
         spark.createDataFrame([tuple(row[k] for k in keys) for row in hot], lots.select(*keys).schema)
     )
-    tasks = sum(-(-row["count"] // lots_per_task) for row in hot)
+    plain = lots.join(hot_keys, list(keys), "left_anti")
+    large = enrich(lots.join(hot_keys, list(keys), "left_semi"))
+    tasks = min(sum(-(-row["rows"] // lots_per_task) for row in hot), MAX_BLOCKS)
     shared_folder(spark)
     blocks = (
-        lots.join(hot_keys, list(keys), "left_semi")
-        .repartitionByRange(tasks, *[F.col(c).asc_nulls_last() for c in (*keys, *order)])
-        .withColumn(BLOCK, F.spark_partition_id() + 1)
+        large.repartitionByRange(tasks, *[F.col(c).asc_nulls_last() for c in (*keys, *order(large))])
+        .withColumn(BLOCK, F.spark_partition_id())
         # Range bounds come from a sample. The checkpoint fixes them, so every
         # branch of the plan, and every retry, sees the same blocks.
         .checkpoint()
     )
-    rest = lots.join(hot_keys, list(keys), "left_anti").withColumn(BLOCK, F.lit(0))
     layout = Layout(keys, blocks.select(*keys, BLOCK).distinct())
-    return rest.unionByName(blocks), layout
+    return [Part(enrich(plain), Layout(keys)), Part(blocks, layout)]
+
+
+def rows_per_key(lots: DataFrame, repeats: Sequence[DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """Rows per key once every table in `repeats` has been joined on the key.
+    Only keys that occur more than once in such a table change a count."""
+    counts = lots.groupBy(*keys).agg(F.count("*").alias("rows"))
+    for table in repeats:
+        times = table.groupBy(*keys).agg(F.count("*").alias("times")).where(F.col("times") > 1)
+        counts = counts.join(times, list(keys), "left").withColumn(
+            "rows", F.col("rows") * F.coalesce("times", F.lit(1))
+        ).drop("times")
+    return counts
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -75,8 +75,7 @@ def _continue_blocks(lots: DataFrame, layout: Layout) -> DataFrame:
     """Add the totals of earlier blocks to the running values of each block."""
     running = ("_qty", "_shippable", "_unknown")
     totals = (
-        lots.where(F.col(BLOCK) > 0)
-        .groupBy(*layout.partition)
+        lots.groupBy(*layout.partition)
         .agg(
             F.count("*").alias("rows"),
             F.sum("sum_of_inventory_qty").alias("qty"),
@@ -92,7 +91,7 @@ def _continue_blocks(lots: DataFrame, layout: Layout) -> DataFrame:
         *[F.sum(c).over(earlier).alias(f"_carried_{c}") for c in ("rows", "qty", "shippable", "unknown")],
         F.lag("last_days").over(by_block).alias("_carried_days"),
     )
-    # One row per block, as in Layout.align.
+    # One row per block and key in it, as in Layout.align.
     lots = lots.join(F.broadcast(carried), list(layout.partition), "left")
     starts_block = F.col("lot_seq") == 1
     shifted = {

@@ -23,7 +23,6 @@ LOT_ORDER = (
 REPEAT_ORDER = ("planner_number", "planner_name", "mbx")
 
 LOT_GRAIN = (
-    "ref",
     "location",
     "sku",
     "description",
@@ -54,8 +53,12 @@ def normalize_lots(lots: DataFrame, params: ReportParams) -> DataFrame:
 
 
 def supply_by_lot(normalized: DataFrame, params: ReportParams) -> DataFrame:
-    return normalized.groupBy(*params.snapshot_keys, *LOT_GRAIN).agg(
-        F.sum("inventory_qty_cases").alias("sum_of_inventory_qty")
+    """Quantity per lot. `ref` follows from location and sku, so it is added
+    after the aggregation instead of being hashed and shuffled with it."""
+    return (
+        normalized.groupBy(*params.snapshot_keys, *LOT_GRAIN)
+        .agg(F.sum("inventory_qty_cases").alias("sum_of_inventory_qty"))
+        .withColumn("ref", composite_key(F.col("location"), F.col("sku")))
     )
 
 

@@ -3,14 +3,12 @@ open orders and forecast demand."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflife.functions import days_range
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
-from shelflife.operators.hot_refs import Layout, split_hot_refs
+from shelflife.operators.hot_refs import Layout, Part, over_parts, rows_per_key, split_hot_refs
 from shelflife.params import SNAPSHOT, ReportParams
 from shelflife.sources.readers import Sources
 
@@ -52,31 +50,36 @@ TRANSFER_HEADERS = BASE_HEADERS | {
 REPORT_ORDER = ("ref", "Calculated Shippable Date", "Days left on SSL", "Location", "Sku", "Description", "Lot#")
 
 
-@dataclass(frozen=True)
-class Ledger:
-    lots: DataFrame
-    layout: Layout
-
-
-def lot_supply(sources: Sources, params: ReportParams) -> Ledger:
-    """Aggregated lots, with oversized item-locations split over tasks."""
-    normalized = supply.normalize_lots(sources.inventory_lots, params)
-    lots = supply.as_ledger(supply.supply_by_lot(normalized, params))
-    lots, layout = split_hot_refs(
-        lots, normalized.select(*params.ref_keys), params.ref_keys, supply.LOT_ORDER, params.lots_per_task
+def aggregated_lots(sources: Sources, params: ReportParams) -> DataFrame:
+    return supply.as_ledger(supply.supply_by_lot(supply.normalize_lots(sources.inventory_lots, params), params))
+
+
+def lot_parts(sources: Sources, params: ReportParams, described: bool = True) -> list[Part]:
+    """Aggregated and (by default) described lots, with the item-locations
+    that are too large for one task in a part of their own."""
+    counted = supply.normalize_lots(sources.inventory_lots, params).select(*params.ref_keys)
+    repeats = []
+    if described and params.on_duplicate == "expand":
+        repeats = [dims.item_planner_dim(sources.item_planner, params), dims.item_type_dim(sources.item_type, params)]
+    return split_hot_refs(
+        aggregated_lots(sources, params),
+        rows_per_key(counted, repeats, params.ref_keys),
+        params.ref_keys,
+        ledger.lot_order_columns,
+        params.lots_per_task,
+        (lambda lots: describe_lots(lots, sources, params)) if described else (lambda lots: lots),
     )
-    return Ledger(lots, layout)
 
 
-def describe_lots(start: Ledger, sources: Sources, params: ReportParams) -> DataFrame:
+def describe_lots(lots: DataFrame, sources: Sources, params: ReportParams) -> DataFrame:
     """Planner, item type, days to expiry and the days-left bucket."""
     planners = dims.named_planners(
         dims.item_planner_dim(sources.item_planner, params),
         dims.planner_directory_dim(sources.planner_directory, params),
         params,
     )
-    lots = dims.join_planner(start.lots, planners, start.layout)
-    lots = dims.join_item_type(lots, dims.item_type_dim(sources.item_type, params), start.layout)
+    lots = dims.join_planner(lots, planners, params)
+    lots = dims.join_item_type(lots, dims.item_type_dim(sources.item_type, params), params)
     return add_days(lots, params)
 
 
@@ -131,32 +134,35 @@ def projected_lots(lots: DataFrame, sources: Sources, params: ReportParams, layo
     return projection.projection_value(projection.project_inventory(lots, params, layout, order))
 
 
-def full_ledger(sources: Sources, params: ReportParams) -> Ledger:
+def full_ledger(sources: Sources, params: ReportParams) -> DataFrame:
     """Every step up to the projection, with internal column names."""
-    start = lot_supply(sources, params)
-    lots = describe_lots(start, sources, params)
-    return Ledger(projected_lots(lots, sources, params, start.layout), start.layout)
+    return over_parts(
+        lot_parts(sources, params), lambda lots, layout: projected_lots(lots, sources, params, layout)
+    )
 
 
 def report(sources: Sources, params: ReportParams) -> DataFrame:
     """The base or weekly report (26 columns), or with the transfer rules and
     the manufacturing-location source the transfer report (29 columns)."""
-    done = full_ledger(sources, params)
     if params.horizon_rule != "transfer":
-        return _display(done.lots, BASE_HEADERS, params)
+        return _display(full_ledger(sources, params), BASE_HEADERS, params)
     sites = transfer.site_columns(
         supply.normalize_lots(sources.inventory_lots, params),
         dims.mfg_dim(sources.mfg_locations, params),
         demand.forecast_pivot_mfg(sources.forecast, params),
         params,
     )
-    return _display(transfer.join_site_columns(done.lots, sites, done.layout), TRANSFER_HEADERS, params)
+
+    def with_sites(lots: DataFrame, layout: Layout) -> DataFrame:
+        return transfer.join_site_columns(projected_lots(lots, sources, params, layout), sites, layout)
+
+    return _display(over_parts(lot_parts(sources, params), with_sites), TRANSFER_HEADERS, params)
 
 
 def inspect_ref(sources: Sources, params: ReportParams, ref: str) -> DataFrame:
     """Look one item-location up in the ledger. The filter is on a window key, so
     it runs before the shuffles."""
-    return full_ledger(sources, params).lots.where(F.col("ref") == ref)
+    return full_ledger(sources, params).where(F.col("ref") == ref)
 
 
 def _display(lots: DataFrame, headers: dict[str, str], params: ReportParams) -> DataFrame:

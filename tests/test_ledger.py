@@ -4,14 +4,13 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
-
 from inputs import AS_OF, forecast, lot, make_sources, order
 from model import ledger as model_ledger
 from shelflife.operators.hot_refs import BLOCK
+from shelflife.operators.hot_refs import over_parts
 from shelflife.operators.ledger import lot_neighbors
 from shelflife.params import CONSUMPTION_RULES, ReportParams
-from shelflife.plans.reports import full_ledger, lot_supply
+from shelflife.plans.reports import aggregated_lots, lot_parts, projected_lots
 
 RESULTS = ("inv_after_custord", "consumption_factor", "inv_after_custord_and_fcst")
 
@@ -58,9 +57,11 @@ def expected(lots, orders, rates, rule):
 def run(spark, inputs, **changes):
     lots, orders, rates = inputs
     sources = make_sources(spark, inventory_lots=lots, customer_orders=orders, forecast=rates)
-    done = full_ledger(sources, ReportParams.base(AS_OF, **changes))
-    rows = done.lots.select("ref", "lot_number", *RESULTS).collect()
-    return done, {(r[0], r[1]): tuple(r[2:]) for r in rows}
+    params = ReportParams.base(AS_OF, **changes)
+    parts = lot_parts(sources, params)
+    done = over_parts(parts, lambda lots, layout: projected_lots(lots, sources, params, layout))
+    rows = done.select("ref", "lot_number", *RESULTS).collect()
+    return parts, {(r[0], r[1]): tuple(r[2:]) for r in rows}
 
 
 @pytest.mark.parametrize("rule", CONSUMPTION_RULES)
@@ -74,8 +75,8 @@ def test_ledger_matches_model(spark, seed, rule):
 @pytest.mark.parametrize("lots_per_task", [1, 3, 10])
 def test_split_refs_match_model(spark, lots_per_task):
     inputs = random_inputs(3, refs=25, most_lots=40)
-    done, got = run(spark, inputs, lots_per_task=lots_per_task)
-    assert done.layout.split
+    parts, got = run(spark, inputs, lots_per_task=lots_per_task)
+    assert [part.layout.split for part in parts] == [False, True]
     assert got == expected(*inputs, "prev_shippable")
 
 
@@ -86,8 +87,8 @@ def test_long_shortage_carries_through(spark):
     want = expected(*inputs, "prev_shippable")
     assert min(v[2] for v in want.values()) < -500
     assert run(spark, inputs)[1] == want
-    done, got = run(spark, inputs, lots_per_task=20)
-    assert done.lots.select(BLOCK).distinct().count() > 4
+    parts, got = run(spark, inputs, lots_per_task=20)
+    assert parts[1].lots.select(BLOCK).distinct().count() > 4
     assert got == want
 
 
@@ -96,8 +97,8 @@ def test_one_hot_ref_is_spread_over_blocks(spark):
     lots = [lot("hot", f"L{i:05d}", i % 300, 1.0 + i % 5) for i in range(3000)]
     lots += [lot(f"c{i % 1000}", f"L{i:05d}", i % 90, 2.0) for i in range(6000)]
     inputs = (lots, [order("hot", 500.0)], forecast("hot", 3000.0))
-    done, got = run(spark, inputs, lots_per_task=250)
-    sizes = {r[0]: r[1] for r in done.lots.where(F.col(BLOCK) > 0).groupBy(BLOCK).count().collect()}
+    parts, got = run(spark, inputs, lots_per_task=250)
+    sizes = {r[0]: r[1] for r in parts[1].lots.groupBy(BLOCK).count().collect()}
     assert sum(sizes.values()) == 3000 and len(sizes) >= 10 and max(sizes.values()) < 1000
     assert got == expected(*inputs, "prev_shippable")
 
@@ -115,8 +116,13 @@ def test_null_days_first_middle_last(spark):
 def test_neighbors(spark, lots_per_task):
     lots = [lot("a", f"L{i}", 20 + i, float(i)) for i in range(9)] + [lot("b", "L0", 5, 7.0)]
     sources = make_sources(spark, inventory_lots=lots)
-    done = full_ledger(sources, ReportParams.base(AS_OF, lots_per_task=lots_per_task))
-    near = lot_neighbors(done.lots, {"sum_of_inventory_qty": "previous_qty"}, done.layout)
+    params = ReportParams.base(AS_OF, lots_per_task=lots_per_task)
+    near = over_parts(
+        lot_parts(sources, params),
+        lambda lots, layout: lot_neighbors(
+            projected_lots(lots, sources, params, layout), {"sum_of_inventory_qty": "previous_qty"}, layout
+        ),
+    )
     got = {(r.ref, r.lot_seq): (r.previous_ref, r.next_ref, r.previous_qty) for r in near.collect()}
     assert got[("10_b", 1)] == (None, None, None)
     assert got[("10_a", 1)] == (None, "10_a", None)
@@ -126,5 +132,5 @@ def test_neighbors(spark, lots_per_task):
 
 def test_copies_of_a_lot_are_summed(spark):
     lots = [lot("a", "L1", 20, 2.0)] * 30 + [lot("a", "L1", 21, 5.0)]
-    supply = lot_supply(make_sources(spark, inventory_lots=lots), ReportParams.base(AS_OF))
-    assert sorted(r.sum_of_inventory_qty_w_neg for r in supply.lots.collect()) == [5.0, 60.0]
+    supply = aggregated_lots(make_sources(spark, inventory_lots=lots), ReportParams.base(AS_OF))
+    assert sorted(r.sum_of_inventory_qty_w_neg for r in supply.collect()) == [5.0, 60.0]

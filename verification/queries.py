@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from shelflife.functions import composite_key, if_else, serial_to_date, strip_dashes
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
-from shelflife.operators.hot_refs import Layout, shared_folder
+from shelflife.operators.hot_refs import Layout, over_parts, shared_folder
 from shelflife.params import HORIZON_RULES, SNAPSHOT, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, write_report
@@ -136,24 +136,31 @@ def _normalized(sources: Sources) -> DataFrame:
     return supply.normalize_lots(sources.inventory_lots, BASE)
 
 
-def _lots(sources: Sources) -> reports.Ledger:
-    return reports.lot_supply(sources, BASE)
+def _lots(sources: Sources) -> DataFrame:
+    return reports.aggregated_lots(sources, BASE)
 
 
-def _allocated(sources: Sources) -> tuple[DataFrame, Layout]:
-    start = _lots(sources)
-    return reports.allocated_lots(start.lots, sources, BASE, start.layout), start.layout
+def _over_lots(sources: Sources, step: Callable[[DataFrame, Layout], DataFrame]) -> DataFrame:
+    return over_parts(reports.lot_parts(sources, BASE, described=False), step)
 
 
-def _rated(sources: Sources) -> tuple[DataFrame, Layout]:
-    start = _lots(sources)
-    lots = projection.join_daily_forecast(start.lots, reports.daily_rates(sources, BASE), start.layout)
-    return reports.allocated_lots(lots, sources, BASE, start.layout), start.layout
+def _allocated(sources: Sources) -> DataFrame:
+    return _over_lots(sources, lambda lots, layout: reports.allocated_lots(lots, sources, BASE, layout))
 
 
-def _projected(sources: Sources) -> tuple[DataFrame, Layout]:
-    start = _lots(sources)
-    return reports.projected_lots(start.lots, sources, BASE, start.layout), start.layout
+def _rated(sources: Sources, rule: str) -> DataFrame:
+    daily = reports.daily_rates(sources, BASE)
+
+    def step(lots: DataFrame, layout: Layout) -> DataFrame:
+        lots = projection.join_daily_forecast(lots, daily, layout)
+        lots = reports.allocated_lots(lots, sources, BASE, layout)
+        return projection.consumption_factor(lots, BASE, rule)
+
+    return _over_lots(sources, step)
+
+
+def _projected(sources: Sources) -> DataFrame:
+    return _over_lots(sources, lambda lots, layout: reports.projected_lots(lots, sources, BASE, layout))
 
 
 def _planners(sources: Sources) -> DataFrame:
@@ -165,28 +172,30 @@ def _planners(sources: Sources) -> DataFrame:
 
 
 def lot_sequence(sources: Sources) -> DataFrame:
-    lots, _ = _allocated(sources)
-    return lots.select(*LOT, "location", "sku", "description", "expiration_date", "unit_cost")
+    return _allocated(sources).select(*LOT, "location", "sku", "description", "expiration_date", "unit_cost")
 
 
 def lot_neighbors(sources: Sources) -> DataFrame:
-    lots, layout = _rated(sources)
-    lots = projection.consumption_factor(lots, BASE).withColumn(
-        "net", F.col("ending_inv_after_custord") - F.col("consumption_factor")
-    )
+    daily = reports.daily_rates(sources, BASE)
     columns = {
         "total_custord_within_15_days": "previous_orders",
         "sum_of_inventory_qty": "previous_qty",
         "ending_inv_after_custord": "previous_ending",
         "net": "previous_net",
     }
-    lots = ledger.lot_neighbors(lots, columns, layout)
+
+    def step(lots: DataFrame, layout: Layout) -> DataFrame:
+        lots = projection.join_daily_forecast(lots, daily, layout)
+        lots = projection.consumption_factor(reports.allocated_lots(lots, sources, BASE, layout), BASE)
+        net = F.col("ending_inv_after_custord") - F.col("consumption_factor")
+        return ledger.lot_neighbors(lots.withColumn("net", net), columns, layout)
+
     days = F.col("previous_days_left").cast("double").alias("previous_days_left")
-    return lots.select(*LOT, "previous_ref", "next_ref", days, *columns.values())
+    return _over_lots(sources, step).select(*LOT, "previous_ref", "next_ref", days, *columns.values())
 
 
 def fifo_cumulative(sources: Sources) -> DataFrame:
-    lots, _ = _allocated(sources)
+    lots = _allocated(sources)
     total = F.col("total_custord_within_15_days")
     return lots.select(
         *LOT,
@@ -201,38 +210,30 @@ def fifo_cumulative(sources: Sources) -> DataFrame:
 
 
 def join_planner(sources: Sources, *columns: str) -> DataFrame:
-    start = _lots(sources)
-    if columns == ("planner_number",):
-        lots = dims.join_planner_number(start.lots, _planners(sources), start.layout)
-    else:
-        lots = dims.join_planner(start.lots, _planners(sources), start.layout)
-    return lots.select("ref", "lot_number", *columns)
+    join = dims.join_planner_number if columns == ("planner_number",) else dims.join_planner
+    return join(_lots(sources), _planners(sources), BASE).select("ref", "lot_number", *columns)
 
 
 def join_item_type(sources: Sources) -> DataFrame:
-    start = _lots(sources)
-    lots = dims.join_planner(start.lots, _planners(sources), start.layout)
-    lots = dims.join_item_type(lots, dims.item_type_dim(sources.item_type, BASE), start.layout)
+    lots = dims.join_planner(_lots(sources), _planners(sources), BASE)
+    lots = dims.join_item_type(lots, dims.item_type_dim(sources.item_type, BASE), BASE)
     return lots.select("ref", "lot_number", "planner_number", "mbx")
 
 
 def join_open_orders(sources: Sources) -> DataFrame:
-    start = _lots(sources)
-    lots = ledger.join_open_orders(start.lots, reports.open_orders(sources, BASE), start.layout)
+    lots = ledger.join_open_orders(_lots(sources), reports.open_orders(sources, BASE), Layout(BASE.ref_keys))
     return lots.select("ref", "lot_number", "total_custord_within_15_days")
 
 
 def join_daily_forecast(sources: Sources, params: ReportParams) -> DataFrame:
-    start = _lots(sources)
-    lots = projection.join_daily_forecast(start.lots, reports.daily_rates(sources, params), start.layout)
+    rates = reports.daily_rates(sources, params)
+    lots = projection.join_daily_forecast(_lots(sources), rates, Layout(params.ref_keys))
     return lots.select("ref", "lot_number", "fcst_daily_avg_after_15_days")
 
 
 def join_mfg_location(sources: Sources) -> DataFrame:
-    start = _lots(sources)
     mfg = dims.mfg_dim(sources.mfg_locations, TRANSFER)
-    lots = start.layout.join(start.lots, mfg)
-    return lots.select("ref", "lot_number", "mfg_loc", composite_key(F.col("mfg_loc"), F.col("sku")).alias("mfg_ref"))
+    return transfer.join_mfg_location(_lots(sources), mfg, TRANSFER).select("ref", "lot_number", "mfg_loc", "mfg_ref")
 
 
 def horizon_days(sources: Sources) -> DataFrame:
@@ -251,20 +252,19 @@ def horizon_days(sources: Sources) -> DataFrame:
 
 def _consumption(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lots, _ = _rated(sample_sources(spark, sf_dir))
-        return projection.consumption_factor(lots, BASE, rule).select(*LOT, "diff_factor", "consumption_factor")
+        return _rated(sample_sources(spark, sf_dir), rule).select(*LOT, "diff_factor", "consumption_factor")
 
     return run
 
 
 def project_inventory(sources: Sources) -> DataFrame:
-    lots, _ = _projected(sources)
-    return lots.select(*LOT, "ending_inv_after_custord", "consumption_factor", "inv_after_custord_and_fcst")
+    return _projected(sources).select(
+        *LOT, "ending_inv_after_custord", "consumption_factor", "inv_after_custord_and_fcst"
+    )
 
 
 def projection_value(sources: Sources) -> DataFrame:
-    lots, _ = _projected(sources)
-    return lots.select(
+    return _projected(sources).select(
         *LOT, "ending_inv_after_custord_and_fcst", "ending_inv_after_custord_and_fcst_in_cost"
     )
 
@@ -370,23 +370,23 @@ def registry() -> dict[str, Query]:
         "join_daily_forecast": lambda s: join_daily_forecast(s, BASE),
         "join_daily_forecast_transfer": lambda s: join_daily_forecast(s, TRANSFER),
         "join_mfg_location": join_mfg_location,
-        "days_to_expiry": lambda s: reports.add_days(_lots(s).lots, BASE).select(
+        "days_to_expiry": lambda s: reports.add_days(_lots(s), BASE).select(
             "ref", "lot_number", "expiration_date", "days_left_on_expired"
         ),
-        "days_range": lambda s: reports.add_days(_lots(s).lots, BASE).select(
+        "days_range": lambda s: reports.add_days(_lots(s), BASE).select(
             "ref", "lot_number", "days_left_on_ssl", "days_range"
         ),
-        "inventory_value": lambda s: ledger.value_lots(_lots(s).lots).select(
+        "inventory_value": lambda s: ledger.value_lots(_lots(s)).select(
             "ref", "lot_number", "unit_cost", "sum_of_inventory_qty_w_neg", "sum_of_inventory_qty", "inventory_in_cost"
         ),
-        "diff_factor": lambda s: _allocated(s)[0].select(
+        "diff_factor": lambda s: _allocated(s).select(
             *LOT, F.col("previous_days_left").cast("double").alias("previous_days_left"), "diff_factor"
         ),
         "fifo_cumulative": fifo_cumulative,
-        "allocate_orders": lambda s: _allocated(s)[0].select(
+        "allocate_orders": lambda s: _allocated(s).select(
             *LOT, "total_custord_within_15_days", "sum_of_inventory_qty", "inv_after_custord"
         ),
-        "ending_inventory": lambda s: _allocated(s)[0].select(
+        "ending_inventory": lambda s: _allocated(s).select(
             *LOT, "ending_inv_after_custord", "ending_inv_after_custord_in_cost"
         ),
         "project_inventory": project_inventory,
