@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelflife.params import SNAPSHOT
 from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
 
@@ -26,9 +29,15 @@ class Sources:
     mfg_locations: DataFrame | None = None
 
 
-def read_typed(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A source kept as Parquet with the declared column names and types."""
-    return spark.read.schema(SCHEMAS[name]).parquet(path)
+def read_typed(spark: SparkSession, name: str, path: str, snapshots: Sequence[date] = ()) -> DataFrame:
+    """A source kept as Parquet with the declared column names and types. With
+    `snapshots` it also holds a `snapshot_date` (as a column or as partition
+    folders) and only those dates are read."""
+    schema = SCHEMAS[name]
+    if not snapshots:
+        return spark.read.schema(schema).parquet(path)
+    dated = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.DateType())])
+    return spark.read.schema(dated).parquet(path).where(F.col(SNAPSHOT).isin(list(snapshots)))
 
 
 def read_export(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -53,10 +62,15 @@ def read_export(spark: SparkSession, name: str, path: str) -> DataFrame:
     return type_convert(clean_names(promote_header(cells, ROW_POSITION, header_row)), SCHEMAS[name])
 
 
-def load_sources(spark: SparkSession, paths: Mapping[str, str], export: bool = False) -> Sources:
+def load_sources(
+    spark: SparkSession, paths: Mapping[str, str], export: bool = False, snapshots: Sequence[date] = ()
+) -> Sources:
     """Read every source named in `paths` (a sheet of a workbook is one path)."""
-    read = read_export if export else read_typed
-    return Sources(**{f.name: read(spark, f.name, paths[f.name]) for f in fields(Sources) if f.name in paths})
+
+    def read(name: str) -> DataFrame:
+        return read_export(spark, name, paths[name]) if export else read_typed(spark, name, paths[name], snapshots)
+
+    return Sources(**{f.name: read(f.name) for f in fields(Sources) if f.name in paths})
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "parquet", order: list[str] | None = None) -> None:

@@ -59,7 +59,3 @@ def type_convert(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the declared columns from a text table and give them their type.
     Columns that are not declared are dropped, so scans stay narrow."""
     return df.select(*[parse_cell(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
-
-
-def first_columns(df: DataFrame, count: int) -> DataFrame:
-    return df.select(*df.columns[:count])

@@ -74,7 +74,7 @@ def test_ledger_matches_model(spark, seed, rule):
 
 @pytest.mark.parametrize("lots_per_task", [1, 3, 10])
 def test_split_refs_match_model(spark, lots_per_task):
-    inputs = random_inputs(3, refs=25, most_lots=40)
+    inputs = random_inputs(3, refs=8, most_lots=30)
     parts, got = run(spark, inputs, lots_per_task=lots_per_task)
     assert [part.layout.split for part in parts] == [False, True]
     assert got == expected(*inputs, "prev_shippable")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from inputs import AS_OF, AS_OF_SERIAL, MONTHS, forecast, lot, make_sources, order
 from shelflife.operators import demand
+from shelflife.operators.hot_refs import BLOCK
 from shelflife.params import SNAPSHOT, ReportParams, SnapshotRules
-from shelflife.plans.reports import BASE_HEADERS, TRANSFER_HEADERS, report
+from shelflife.plans.reports import BASE_HEADERS, TRANSFER_HEADERS, lot_parts, report
 from shelflife.sources.readers import Sources
 from shelflife.sources.sample import AS_OF as SAMPLE_DAY
 from shelflife.sources.sample import SNAPSHOT_DATES, sample_sources
@@ -127,6 +128,24 @@ def test_unique_keys_pass_the_duplicate_check(spark):
         assert rows(strict) == rows(report(sources, make(AS_OF)))
 
 
+def test_repeats_from_dimensions_count_towards_a_split(spark):
+    """Two lots, but 120 rows once the repeated planner keys are joined."""
+    sources = make_sources(
+        spark,
+        inventory_lots=[lot("1", "L1", 20, 10.0), lot("1", "L2", 30, 10.0), lot("2", "L3", 30, 10.0)],
+        customer_orders=[order("1", 35.0)],
+        item_planner=[("10", "1", str(i)) for i in range(60)],
+        forecast=forecast("1", 145.0),
+    )
+    whole, split = ReportParams.base(AS_OF), ReportParams.base(AS_OF, lots_per_task=20)
+    assert len(lot_parts(sources, whole)) == 1
+    parts = lot_parts(sources, split)
+    assert parts[1].lots.select(BLOCK).distinct().count() > 3
+    got = report(sources, split)
+    assert got.count() == 121
+    assert rows(got) == rows(report(sources, whole))
+
+
 def two_sites(spark):
     return make_sources(
         spark,
@@ -160,7 +179,7 @@ def test_two_sites_repeat_the_lot(spark):
 @pytest.mark.parametrize("make", [ReportParams.base, ReportParams.weekly, ReportParams.transfer])
 def test_split_report_equals_whole(spark, make):
     sources = sample_sources(spark, SF)
-    whole, split = (report(sources, make(SAMPLE_DAY, lots_per_task=n)) for n in (10**9, 7))
+    whole, split = (report(sources, make(SAMPLE_DAY, lots_per_task=n)) for n in (10**9, 12))
     assert rows(whole) == rows(split)
 
 
@@ -184,7 +203,7 @@ def test_backfill_equals_one_report_per_snapshot(spark, make):
         one = Sources(**{name: getattr(sources, name).where(day).drop(SNAPSHOT) for name in SCHEMAS})
         single = report(one, make(rule.snapshot_date, consumption_rule=rule.consumption_rule, rate_rounding=rule.rate_rounding))
         assert rows(backfill.where(day).drop(SNAPSHOT)) == rows(single)
-    split = report(sources, make(snapshots=tuple(rules), lots_per_task=5))
+    split = report(sources, make(snapshots=tuple(rules), lots_per_task=7))
     assert rows(split) == rows(backfill)
 
 

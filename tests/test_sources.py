@@ -1,10 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from inputs import AS_OF, forecast, lot, make_sources, order
-from shelflife.params import ReportParams
+from shelflife import job
+from shelflife.params import ReportParams, SnapshotRules
 from shelflife.plans.reports import report, report_order
-from shelflife.sources.readers import load_sources, read_export, write_report
-from shelflife.sources.sample import EXPORT_HEADERS, as_export
+from shelflife.sources.readers import Sources, load_sources, read_export, read_typed, write_report
+from shelflife.sources.sample import EXPORT_HEADERS, SNAPSHOT_DATES, as_export, sample_sources
 from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
 
@@ -86,3 +88,23 @@ def test_written_report_is_in_order(spark, tmp_path, fmt):
         back = spark.read.option("header", True).csv(str(name)) if fmt == "csv" else spark.read.parquet(str(name))
         refs += [r[0] for r in back.select("ref").collect()]
     assert len(refs) == 200 and refs == sorted(refs)
+
+
+def test_job_writes_reports_of_partitioned_snapshots(spark, tmp_path):
+    sources = sample_sources(spark, "/root/testdata/sf0.001", snapshots=True)
+    argv = ["weekly", "--out", str(tmp_path / "out"), "--snapshot", f"{SNAPSHOT_DATES[1]}:same_ref:ceiling"]
+    for name in SCHEMAS:
+        path = str(tmp_path / name)
+        getattr(sources, name).write.partitionBy("snapshot_date").parquet(path)
+        argv += ["--source", f"{name}={path}"]
+    job.run(spark, job.arguments(argv))
+    rules = SnapshotRules(SNAPSHOT_DATES[1], "same_ref", "ceiling")
+    day = F.col("snapshot_date") == rules.snapshot_date
+    one = Sources(**{name: getattr(sources, name).where(day) for name in SCHEMAS})
+    expected = report(one, ReportParams.weekly(snapshots=(rules,)))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.columns == expected.columns
+    assert sorted(map(str, written.collect())) == sorted(map(str, expected.collect()))
+    scan = read_typed(spark, "inventory_lots", str(tmp_path / "inventory_lots"), [rules.snapshot_date])
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert str(rules.snapshot_date) in plan.split("PartitionFilters")[1]
