@@ -54,18 +54,27 @@ def join_mfg_location(items: DataFrame, mfg: DataFrame, params: ReportParams) ->
 
 
 def transfer_flag(items: DataFrame, attrs: DataFrame, params: ReportParams) -> DataFrame:
-    """`Y` if the item-location's site also serves other item-locations. The
-    two attributes are matched separately, so k sites give k * k rows."""
-    keys = list(params.ref_keys)
-    own = F.col("mfg_equal_ref")
-    served = F.col("count_of_mfg_ref")
+    """`Y` if the item-location's site also serves other item-locations.
+
+    The report matches "is the site itself" and "number served" separately, so
+    an item-location with k sites has k * k flags. How many of them are `Y`
+    follows from three counts, so no pairs are formed: every row of a shared
+    site is `Y` with all k, and one of an unshared site with the foreign ones.
+    """
+    counts = attrs.groupBy(*params.ref_keys).agg(
+        F.count("*").alias("_sites"),
+        F.count(F.when(F.col("count_of_mfg_ref") > 1, 1)).alias("_shared"),
+        F.count(F.when(F.col("mfg_equal_ref") == 0, 1)).alias("_foreign"),
+    )
+    sites, shared = F.col("_sites"), F.col("_shared")
+    yes = shared * sites + (sites - shared) * F.col("_foreign")
+    flags = F.concat(
+        F.array_repeat(F.lit("Y"), yes.cast("int")), F.array_repeat(F.lit("N"), (sites * sites - yes).cast("int"))
+    )
     return (
-        items.join(attrs.select(*keys, "mfg_equal_ref"), keys, "left")
-        .join(attrs.select(*keys, "count_of_mfg_ref"), keys, "left")
-        .withColumn(
-            "xfer_to_other_loc",
-            F.coalesce(if_else(((served == 1) & (own == 0)) | (served > 1), F.lit("Y"), F.lit("N")), F.lit("N")),
-        )
+        items.join(counts, list(params.ref_keys), "left")
+        .withColumn("xfer_to_other_loc", F.explode(F.coalesce(flags, F.array(F.lit("N")))))
+        .drop("_sites", "_shared", "_foreign")
     )
 
 
@@ -79,22 +88,25 @@ def demand_share(items: DataFrame, by_ref: DataFrame, by_mfg_ref: DataFrame, par
 
 
 def site_columns(lots: DataFrame, mfg: DataFrame, pivot_mfg: DataFrame, params: ReportParams) -> DataFrame:
-    """The three site columns per item-location. They do not depend on the
-    lot, so they are worked out on item-locations and joined to the ledger
-    once, instead of moving the ledger through one shuffle per attribute."""
+    """The site columns per item-location, as an array of the rows that each
+    of its lots gets. They do not depend on the lot, so they are worked out on
+    item-locations and joined to the ledger once."""
     items = join_mfg_location(item_locations(lots, params), mfg, params)
     items = transfer_flag(items, transfer_attrs(pivot_mfg, params), params)
     pairs = demand_by_pair(pivot_mfg, params)
     items = demand_share(items, demand_by_ref(pairs, params), demand_by_mfg_ref(pairs, params), params)
-    return items.select(
-        *params.ref_keys,
-        F.col("sku").alias("_sku"),
-        "mfg_loc",
-        "xfer_to_other_loc",
-        "percent_of_overall_demand",
-    )
+    row = F.struct("sku", "mfg_loc", "xfer_to_other_loc", "percent_of_overall_demand")
+    return items.groupBy(*params.ref_keys).agg(F.collect_list(row).alias("_sites"))
 
 
 def join_site_columns(ledger: DataFrame, sites: DataFrame, layout: Layout) -> DataFrame:
-    keyed = ledger.withColumn("_sku", F.coalesce("sku", F.lit("NA")))
-    return keyed.join(layout.align(sites), [*layout.partition, "_sku"], "left").drop("_sku")
+    """Attach `site_columns` on the key the ledger is already partitioned by,
+    and pick the rows of the lot's own item number after the join: with the
+    item number in the join key the whole ledger would be shuffled again."""
+    own_sku = F.coalesce("sku", F.lit("NA"))
+    columns = ledger.columns
+    joined = layout.join(ledger, sites)
+    own_rows = F.filter("_sites", lambda site: site["sku"] == own_sku)
+    return joined.select(*columns, F.explode_outer(own_rows).alias("_site")).select(
+        *columns, "_site.mfg_loc", "_site.xfer_to_other_loc", "_site.percent_of_overall_demand"
+    )

@@ -162,6 +162,11 @@ def test_two_sites_repeat_the_lot(spark):
     assert by_sku == {"1": 32, "9": 1}
     alone = got.where(F.col("Sku") == "9").first()
     assert (alone["Mfg Loc"], alone["Xfer to other Loc?"], alone["% of overall demand"]) == (None, "N", "0%")
+    assert {r["Xfer to other Loc?"] for r in got.where(F.col("Sku") == "1").collect()} == {"N", "Y"}
+    # 4 pairs per row: site 10 is own and serves one (N with itself, Y with
+    # the foreign site's row), site 20 serves two (Y with both).
+    flags = got.where((F.col("Sku") == "1") & (F.col("Xfer to other Loc?") == "N")).count()
+    assert flags == 32 // 4
     shares = {(r["Mfg Loc"], r["% of overall demand"]) for r in got.where(F.col("Sku") == "1").collect()}
     # 348 of 58 and 348 of 300 cases.
     assert shares == {("10", "600%"), ("20", "116%")}
@@ -231,6 +236,27 @@ def test_plan_has_no_single_partition_window_or_python(spark, make):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
+@pytest.mark.parametrize("make", [ReportParams.base, ReportParams.transfer])
+def test_ledger_is_shuffled_twice(spark, make):
+    """Once to sum the lots and once by item-location. The ledger is the left
+    side of every join, so its shuffles are on the leftmost path."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(report(sample_sources(spark, SF), make(SAMPLE_DAY)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth, leftmost = -1, []
+    for line in plan.splitlines():
+        indent = re.search(r"[A-Z]", line).start()
+        if indent <= depth:
+            break
+        depth = indent
+        leftmost.append(line)
+    shuffles = [line for line in leftmost if "Exchange hashpartitioning(" in line]
+    until_lots = [line for line in shuffles if "ref#" in line or "lot_number#" in line]
+    assert [("lot_number#" in line) for line in until_lots] == [False, True]
+
+
 def test_base_report_sorts_the_ledger_once_for_all_windows(spark):
     plan = plan_of(report(sample_sources(spark, SF), ReportParams.base(SAMPLE_DAY)))
     assert len(re.findall(r"Sort \[[^\]]*calculated_shippable_date", plan)) == 1

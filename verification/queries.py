@@ -287,7 +287,7 @@ def _items(sources: Sources) -> DataFrame:
 def transfer_flag(sources: Sources) -> DataFrame:
     attrs = transfer.transfer_attrs(_pivot_mfg(sources), TRANSFER)
     return transfer.transfer_flag(_items(sources), attrs, TRANSFER).select(
-        "ref", "mfg_loc", "mfg_equal_ref", "count_of_mfg_ref", "xfer_to_other_loc"
+        "ref", "mfg_loc", "xfer_to_other_loc"
     )
 
 
