@@ -111,33 +111,34 @@ def sample_sources(spark: SparkSession, sf_dir: str, snapshots: bool = False) ->
         (serial + (F.col("l_orderkey") % 60).cast("int") - 10).cast("double").alias("sales_order_requested_ship_date"),
         qty.alias("oo_cases"),
     )
-    directory = (
-        read_table(spark, sf_dir, "supplier")
-        .where(F.col("s_suppkey").between(1, 8))
-        .select(F.col("s_suppkey").cast("string").alias("address_number"), F.col("s_name").alias("alpha_name"))
+    directory = read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("address_number"), F.col("s_name").alias("alpha_name")
     )
     if snapshots:
         dates = F.array(*[F.lit(d) for d in SNAPSHOT_DATES])
         directory = directory.select(F.explode(dates).alias(SNAPSHOT), "*")
-    planner = (part % 10).cast("string")
+    # Large items have no planner, small ones an unassigned or unlisted one.
+    size = F.col("p_size")
+    unlisted = F.concat(F.lit("-"), size.cast("string"))
+    planner = F.when(size > 10, (size % 10).cast("string")).when(size > 5, unlisted)
     item_planner = (
-        rows.where(part % 11 != 0)
+        rows.where(size <= 45)
         .select(
             *keys,
             F.col("loc").alias("b_p"),
             sku.alias("item_number"),
-            F.when(part % 10 != 0, planner).alias("planner"),
+            planner.alias("planner"),
         )
         .distinct()
     )
     item_type = (
-        rows.where(part % 13 != 0)
+        rows.where(size >= 4)
         .select(*keys, F.concat_ws("-", F.col("loc"), sku).alias("ship_ref"), F.col("p_type").alias("type"))
         .distinct()
     )
     mfg_site = F.when(part % 3 == 0, F.col("loc")).otherwise((part % 5).cast("string"))
     mfg_locations = (
-        rows.where(part % 17 != 0)
+        rows.where(size <= 47)
         .select(
             *keys,
             F.col("loc").alias("location"),
