@@ -81,11 +81,12 @@ def split_hot_refs(
     keys: tuple[str, ...],
     order: Callable[[DataFrame], Sequence[str]],
     lots_per_task: int,
-    enrich: Callable[[DataFrame], DataFrame],
+    enrich: Callable[[DataFrame, DataFrame | None], DataFrame],
 ) -> list[Part]:
     """The enriched lots as one part or, when some keys are hot, as a plain
     part and a part in blocks. `counts` holds an upper bound of the enriched
-    rows per key as `rows`."""
+    rows per key as `rows`; `enrich` gets the lots and, for the hot ones, the
+    keys they are limited to."""
     hot = (
         counts.where(F.col("rows") > lots_per_task)
         .orderBy(F.desc("rows"), *keys)
@@ -93,14 +94,14 @@ def split_hot_refs(
         .collect()
     )
     if not hot:
-        return [Part(enrich(lots), Layout(keys))]
+        return [Part(enrich(lots, None), Layout(keys))]
     spark = lots.sparkSession
     # At most MAX_HOT_REFS rows.
     hot_keys = F.broadcast(
         spark.createDataFrame([tuple(row[k] for k in keys) for row in hot], lots.select(*keys).schema)
     )
     plain = lots.join(hot_keys, list(keys), "left_anti")
-    large = enrich(lots.join(hot_keys, list(keys), "left_semi"))
+    large = enrich(lots.join(hot_keys, list(keys), "left_semi"), hot_keys)
     tasks = min(sum(-(-row["rows"] // lots_per_task) for row in hot), MAX_BLOCKS)
     shared_folder(spark)
     blocks = (
@@ -111,7 +112,7 @@ def split_hot_refs(
         .checkpoint()
     )
     layout = Layout(keys, blocks.select(*keys, BLOCK).distinct())
-    return [Part(enrich(plain), Layout(keys)), Part(blocks, layout)]
+    return [Part(enrich(plain, None), Layout(keys)), Part(blocks, layout)]
 
 
 def rows_per_key(lots: DataFrame, repeats: Sequence[DataFrame], keys: tuple[str, ...]) -> DataFrame:

@@ -95,7 +95,7 @@ def site_columns(lots: DataFrame, mfg: DataFrame, pivot_mfg: DataFrame, params:
     items = transfer_flag(items, transfer_attrs(pivot_mfg, params), params)
     pairs = demand_by_pair(pivot_mfg, params)
     items = demand_share(items, demand_by_ref(pairs, params), demand_by_mfg_ref(pairs, params), params)
-    row = F.struct("sku", "mfg_loc", "xfer_to_other_loc", "percent_of_overall_demand")
+    row = F.struct(F.col("sku").alias("_sku"), "mfg_loc", "xfer_to_other_loc", "percent_of_overall_demand")
     return items.groupBy(*params.ref_keys).agg(F.collect_list(row).alias("_sites"))
 
 
@@ -103,10 +103,6 @@ def join_site_columns(ledger: DataFrame, sites: DataFrame, layout: Layout) -> Da
     """Attach `site_columns` on the key the ledger is already partitioned by,
     and pick the rows of the lot's own item number after the join: with the
     item number in the join key the whole ledger would be shuffled again."""
-    own_sku = F.coalesce("sku", F.lit("NA"))
     columns = ledger.columns
-    joined = layout.join(ledger, sites)
-    own_rows = F.filter("_sites", lambda site: site["sku"] == own_sku)
-    return joined.select(*columns, F.explode_outer(own_rows).alias("_site")).select(
-        *columns, "_site.mfg_loc", "_site.xfer_to_other_loc", "_site.percent_of_overall_demand"
-    )
+    rows = layout.join(ledger, sites).select(*columns, F.inline("_sites"))
+    return rows.where(F.col("_sku") == F.coalesce("sku", F.lit("NA"))).drop("_sku")

@@ -67,20 +67,24 @@ def lot_parts(sources: Sources, params: ReportParams, described: bool = True) ->
         params.ref_keys,
         ledger.lot_order_columns,
         params.lots_per_task,
-        (lambda lots: describe_lots(lots, sources, params)) if described else (lambda lots: lots),
+        (lambda lots, only: describe_lots(lots, sources, params, only)) if described else (lambda lots, only: lots),
     )
 
 
-def describe_lots(lots: DataFrame, sources: Sources, params: ReportParams) -> DataFrame:
-    """Planner, item type, days to expiry and the days-left bucket."""
-    planners = dims.named_planners(
-        dims.item_planner_dim(sources.item_planner, params),
-        dims.planner_directory_dim(sources.planner_directory, params),
-        params,
-    )
-    lots = dims.join_planner(lots, planners, params)
-    lots = dims.join_item_type(lots, dims.item_type_dim(sources.item_type, params), params)
-    return add_days(lots, params)
+def describe_lots(
+    lots: DataFrame, sources: Sources, params: ReportParams, only: DataFrame | None = None
+) -> DataFrame:
+    """Planner, item type, days to expiry and the days-left bucket. When the
+    lots are limited to the keys in `only`, so are the dimensions, which makes
+    them small enough for AQE to broadcast instead of joining on hot keys."""
+    planners = dims.item_planner_dim(sources.item_planner, params)
+    types = dims.item_type_dim(sources.item_type, params)
+    if only is not None:
+        planners = planners.join(only, list(params.ref_keys), "left_semi")
+        types = types.join(only, list(params.ref_keys), "left_semi")
+    directory = dims.planner_directory_dim(sources.planner_directory, params)
+    lots = dims.join_planner(lots, dims.named_planners(planners, directory, params), params)
+    return add_days(dims.join_item_type(lots, types, params), params)
 
 
 def add_days(lots: DataFrame, params: ReportParams) -> DataFrame:
