@@ -174,5 +174,12 @@ def daily_forecast_transfer(net: DataFrame, params: ReportParams) -> DataFrame:
     return (
         net.withColumn("fcst_daily_rowsum", _sum((*FORECAST_ROLES, "current_month_after_custord")))
         .withColumn("fcst_daily", _rounded(divide(total, F.col("days").cast("double")), params))
-        .select(*params.ref_keys, "mfg_ref", "current_month", "current_month_after_custord", "fcst_daily_rowsum", "fcst_daily")
+        .select(
+            *params.ref_keys,
+            "mfg_ref",
+            "current_month",
+            "current_month_after_custord",
+            "fcst_daily_rowsum",
+            "fcst_daily",
+        )
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from shelflife.functions import composite_key, if_else, serial_to_date, strip_dashes
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
 from shelflife.operators.hot_refs import Layout, over_parts, shared_folder
-from shelflife.params import HORIZON_RULES, SNAPSHOT, ReportParams, SnapshotRules
+from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, write_report
 from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources
