@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import mixing, quality
+from shelflife.llm import langid, mixing, packing, quality, toxicity
+from shelflife.llm.sampling import text_crc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(documents(spark, sf_dir), packing.public_encoder)
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
 def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     result = quality.clean_lines(docs).select("doc_id", "quality.*")
@@ -21,12 +30,33 @@ def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(text_crc(F.col("doc_id"), 4) == 2, F.lit(True))
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    p = F.col("_toxicity")
+    return toxicity.detect(docs, labels).select(
+        "doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), F.col("_toxic").alias("toxic")
+    )
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_pack_windows": op1_pack_windows,
     "op3_quality_lines": op3_quality_lines,
+    "op6_language": op6_language,
+    "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }

@@ -98,12 +98,14 @@ def text_of(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np
 
 class Words:
     """Word positions of a batch: word i is data[starts[i]:ends[i]]; row r has
-    the words rows[r] to rows[r + 1] - 1."""
+    the words rows[r] to rows[r + 1] - 1. `breaks` are the bytes between words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE
+    ):
         self.data = _LOWER[data] if lower else data
         n = len(data)
-        inside = ~_SPACE[data]
+        inside = ~breaks[data]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         before[offsets[:-1][offsets[:-1] < n]] = False
@@ -121,6 +123,17 @@ class Words:
         return Spans(byte_symbols(self.data)).hashes(self.starts, self.ends)
 
 
+def not_letters() -> np.ndarray:
+    """Bytes that end a word if only ASCII letters and other scripts form words."""
+    breaks = np.ones(256, bool)
+    breaks[65:91] = breaks[97:123] = breaks[128:] = False
+    return breaks
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def row_of(rows: np.ndarray) -> np.ndarray:
     """The row of each item, from the offsets of the rows."""
     return np.repeat(np.arange(len(rows) - 1), np.diff(rows))
