@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import langid, mixing, packing, quality, toxicity
+from shelflife.llm import backoff_lm, langid, mixing, packing, quality, toxicity
 from shelflife.llm.sampling import text_crc
 
 
@@ -39,6 +39,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(text_crc(F.col("doc_id"), 7) == 2, F.lit(True))
+    model = backoff_lm.train(docs.where(~held_out))
+    return backoff_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score",
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -57,6 +67,7 @@ QUERIES = {
     "op1_pack_windows": op1_pack_windows,
     "op3_quality_lines": op3_quality_lines,
     "op6_language": op6_language,
+    "op8_backoff_lm": op8_backoff_lm,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
