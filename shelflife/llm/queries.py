@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, langid, mixing, packing, quality, toxicity
+from shelflife.llm import backoff_lm, bucket_refine, langid, mixing, packing, quality, seed_extend, toxicity
 from shelflife.llm.sampling import text_crc
 
 
@@ -30,6 +30,19 @@ def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = seed_extend.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    kept_words = F.regexp_replace(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+", " ")
+    return found.select(
+        "doc_id", "repeats.n_words", "repeats.n_removed", F.sha2(kept_words, 256).alias("kept_sha256")
+    )
+
+
+def op5_bucket_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bucket_refine.remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.coalesce(text_crc(F.col("doc_id"), 4) == 2, F.lit(True))
@@ -66,6 +79,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack_windows": op1_pack_windows,
     "op3_quality_lines": op3_quality_lines,
+    "op4_seed_extend": op4_seed_extend,
+    "op5_bucket_refine": op5_bucket_refine,
     "op6_language": op6_language,
     "op8_backoff_lm": op8_backoff_lm,
     "op9_toxicity": op9_toxicity,
