@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, bucket_refine, langid, mixing, packing, quality, seed_extend, toxicity
+from shelflife.llm import backoff_lm, bucket_refine, langid, mixing, packing, quality, seed_extend, superminhash, toxicity
 from shelflife.llm.sampling import text_crc
 
 
@@ -52,6 +52,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(text_crc(F.col("doc_id"), 7) == 2, F.lit(True))
@@ -82,6 +86,7 @@ QUERIES = {
     "op4_seed_extend": op4_seed_extend,
     "op5_bucket_refine": op5_bucket_refine,
     "op6_language": op6_language,
+    "op7_superminhash": op7_superminhash,
     "op8_backoff_lm": op8_backoff_lm,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
