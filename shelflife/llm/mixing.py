@@ -113,22 +113,13 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(nearer, F.col("_prefix") + 1).otherwise(F.col("_prefix")).alias("_below"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEAT
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for each document:
-    `copies` times its `size` words are taken."""
-    sized = written(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"),
-            document_hash(F.col("doc_id")).alias("_hash"),
-        ),
-        "mixing-sizes",
-    )
+def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(_source, source_size, target, _whole, _below, _salt): how much of each source to take."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    share = F.col("target") / F.col("source_size")
     targets = written(
         source_targets(sources, weights, most)
-        .withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+        .withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(share)).otherwise(F.lit(0)).cast("long"))
         .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")),
         "mixing-targets",
     )
@@ -138,15 +129,37 @@ def mix_sources(
         F.coalesce("_below", F.lit(0)).alias("_below"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
     )
-    plan = written(plan, "mixing-plan")
-    copies = (F.col("_whole") + F.when(F.col("_hash") < F.col("_below"), 1).otherwise(0)).cast("long")
-    return (
-        sized.join(
-            plan,
-            sized["source"].eqNullSafe(plan["_source"])
-            & (F.pmod("_hash", F.lit(SALTS)) == F.col("_salt")),
-        )
-        .withColumn("copies", copies)
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return written(plan, "mixing-plan")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("_hash")
     )
+
+
+def _met(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs (with source and _hash) with their source's plan, and copies."""
+    copies = F.col("_whole") + F.when(F.col("_hash") < F.col("_below"), 1).otherwise(0)
+    salted = F.pmod("_hash", F.lit(SALTS)) == F.col("_salt")
+    return docs.join(plan, docs["source"].eqNullSafe(plan["_source"]) & salted).withColumn(
+        "copies", copies.cast("long")
+    )
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for each document:
+    `copies` times its `size` words are taken."""
+    sized = written(_sized(docs), "mixing-sizes")
+    return _met(sized, _plan(sized, weights, most)).select(
+        "doc_id", "source", "size", "source_size", "target", "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
+    """docs' rows, each as often as the mix takes it."""
+    plan = _plan(written(_sized(docs), "mixing-sizes"), weights, most)
+    met = _met(docs.withColumn("_hash", document_hash(F.col("doc_id"))), plan)
+    repeated = met.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, bucket_refine, langid, mixing, packing, quality, seed_extend, superminhash, toxicity
+from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, quality, seed_extend, superminhash, toxicity
 from shelflife.llm.sampling import text_crc
 
 
@@ -21,6 +21,12 @@ def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    coded = hamming.sign_codes(vectors, "embedding")
+    return hamming.nearest_codes(coded, "vec_id", F.col("vec_id") % hamming.QUERY_EVERY == 0)
+
+
 def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     result = quality.clean_lines(docs).select("doc_id", "quality.*")
@@ -82,6 +88,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack_windows": op1_pack_windows,
+    "op2_hamming_search": op2_hamming_search,
     "op3_quality_lines": op3_quality_lines,
     "op4_seed_extend": op4_seed_extend,
     "op5_bucket_refine": op5_bucket_refine,
