@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 from shelflife.llm import mixing, packing, seed_extend, superminhash, toxicity
 from shelflife.llm.scratch import written
+from shelflife.llm.windows import text_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.detect(docs, labels).where(~F.col("_toxic")).select(*docs.columns)
+    found = toxicity.detect(docs, labels)
+    return found.where(~toxicity.is_toxic()).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; rows that are equal in id and text
+    stay or go together."""
     found = superminhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash")).distinct()
+    keyed = docs.select("doc_id", text_key().alias("_h"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"))
+    same = (keyed["doc_id"] == gone["_id"]) & (keyed["_h"] == gone["_hash"])
+    return keyed.join(gone, same, "left_anti").select("_doc.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         rest = rest.withColumn("n_chars", F.when(F.col("repeats.n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return rest.select(*docs.columns)
+    return rest.select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

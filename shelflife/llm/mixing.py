@@ -7,7 +7,7 @@ is taken if its hash is below the threshold of its source, so nothing is sorted.
 
 A null source is a source of its own and comes last. A null text has no words. Rows with
 the same doc_id share a hash and are taken together. A source without words and
-an empty table have target 0 and take nothing. Other columns pass through.
+an empty table have target 0 and take nothing. Other columns pass through `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -160,6 +160,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
     """docs' rows, each as often as the mix takes it."""
     plan = _plan(written(_sized(docs), "mixing-sizes"), weights, most)
-    met = _met(docs.withColumn("_hash", document_hash(F.col("doc_id"))), plan)
-    repeated = met.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    box = docs.select("source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), document_hash(F.col("doc_id")).alias("_hash"))
+    met = _met(box, plan).where("copies > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")

@@ -2,8 +2,9 @@
 
 Lines that fail a punctuation, navigation or boilerplate rule go; a document
 that loses too much of its text with them is rejected. A null text has no lines
-and fails the base rules, as do texts under `MIN_WORDS` words. Repeated rows and
-ties are judged row by row; other columns pass through.
+and fails the base rules, as do texts under `MIN_WORDS` words. Every row is judged by
+itself, repeated ones alike. Other columns pass through, but one named `quality` is replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,8 +119,8 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
             ),
         )
 
-    counted = docs.withColumn("_w", let(word_list(text), of_words)).withColumn(
-        "_l", let(lines, of_lines)
+    counted = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), "text").select(
+        "_doc", "text", let(word_list(text), of_words).alias("_w"), let(lines, of_lines).alias("_l")
     )
     word_chars = _length(_without(text, _SPACES))
     left = _length(_without(F.col("_l.clean_text"), _SPACES))
@@ -137,4 +138,5 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         lost.alias("lost"),
         (~failed & (lost <= max_lost)).alias("kept"),
     )
-    return counted.withColumn("quality", quality).drop("_w", "_l")
+    kept = [F.col(f"_doc.`{c}`") for c in docs.columns if c != "quality"]
+    return counted.select(*kept, quality.alias("quality"))

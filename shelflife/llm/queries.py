@@ -59,7 +59,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return superminhash.near_duplicates(documents(spark, sf_dir))
+    return superminhash.near_duplicates(documents(spark, sf_dir)).drop("_h")
 
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    p = F.col("_toxicity")
+    p = F.col("toxicity")
     return toxicity.detect(docs, labels).select(
-        "doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), F.col("_toxic").alias("toxic")
+        "doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), toxicity.is_toxic().alias("toxic")
     )
 
 

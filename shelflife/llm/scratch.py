@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def boxed(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns `used` and all others in one struct `_box`, so that no
+    column an operator adds can clash with them; null without others."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(None).cast("int")).alias("_box"))
+
+
+def unboxed(df: DataFrame, columns: list[str], used: tuple[str, ...], *more: str) -> DataFrame:
+    """The columns of the table that was boxed, in its order, and `more`."""
+    return df.select(*[F.col(c) if c in used else F.col(f"_box.`{c}`") for c in columns], *more)

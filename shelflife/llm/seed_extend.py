@@ -8,8 +8,8 @@ document with the smallest id (see windows.py).
 
 A null or empty text has no words and stays as it is; so does a text shorter than a window. A
 row with a null id is compared with nothing. Rows with equal ids don't count as earlier
-than each other: both stay. Other columns pass through, except names that begin
-with an underscore, which are reserved. An empty table gives no rows.
+than each other: both stay. Other columns pass through, but one named `repeats` is replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from shelflife.llm.scratch import boxed, unboxed
 from shelflife.llm.text import U64, Words, text_of
 from shelflife.llm.windows import Shape, cut_spans, merged, repeated_spans, with_key
 
@@ -39,7 +40,8 @@ def shape(window: int = WINDOW, seed: int = SEED) -> Shape:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs' columns, with text cut, and n_words, n_removed and removed (spans of
     removed words as [start, end) numbers of the input's words) in `repeats`."""
-    fields = docs.schema.fields
+    box = boxed(docs, "doc_id", "text")
+    fields = box.schema.fields
     long = LongType()
     span = StructType([StructField("start", long), StructField("end", long)])
     repeats = StructType(
@@ -75,6 +77,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
         )
         return pa.RecordBatch.from_arrays([*columns, counted], schema.names)
 
-    keyed = with_key(docs)
+    keyed = with_key(box)
     found = repeated_spans(keyed.select("doc_id", "text", "_h", "_slot"), word_symbols, shape(window, seed))
-    return cut_spans(keyed, found, cut, schema)
+    columns = [c for c in docs.columns if c != "repeats"]
+    return unboxed(cut_spans(keyed, found, cut, schema), columns, ("doc_id", "text"), "repeats")

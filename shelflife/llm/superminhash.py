@@ -8,7 +8,7 @@ forest of the likeliest links is confirmed on full sets, since links inside a
 component add nothing. Then whatever is still in different components and may be linked is confirmed too.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing; so is
-a row with a null id, which has no component. A text of fewer than five words is one shingle.
+a row with a null id, which has no component and stays. A text of fewer than five words is one shingle.
 Repeated rows are equal sets. Ties go to smaller ids. Only doc_id and text are read.
 """
 
@@ -281,7 +281,7 @@ def _dealt(members: DataFrame, across: bool) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs."""
+    """doc_id, n_shingles, component_id, kept and _h for each row of docs; _h is text_key() of the row."""
     keyed = with_key(docs.select("doc_id", "text"))
     rows = signed_sets(keyed)
     linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
@@ -309,9 +309,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = written(rooted, "rooted")
     labels = written(rooted.groupBy("root").agg(F.min("label").alias("component")), "labels")
     of_set = written(rooted.join(labels, "root").select("f1", "f2", "component"), "of-set")
-    found = rows.select("doc_id", "n", "f1", "f2").join(of_set, ["f1", "f2"], "left")
+    found = rows.select("doc_id", "_h", "n", "f1", "f2").join(of_set, ["f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "_h",
     )

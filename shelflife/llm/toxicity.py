@@ -6,9 +6,10 @@ that is, with those of models that haven't seen the example. Features
 are the presence of words and of word beginnings, by 64-bit hash; those that tell most about the
 categories are kept.
 
-A null or empty text has no features and gets each model's base rate. Only
-doc_id and text are read for predictions; repeated rows get equal ones.
-Without labels for a category its probability is 0.
+A null or empty text has no features and gets each model's base rate. Only the text is read for
+predictions; repeated rows get equal ones. Other columns pass through, but one named `toxicity` is replaced.
+Labels that are null, or of ids that no document has, aren't used. Without labels all probabilities are 0. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from shelflife.llm.sampling import MOST_CHARS, sample_each
+from shelflife.llm.scratch import boxed, unboxed
 from shelflife.llm.text import U64, Spans, Words, byte_symbols, mix, not_letters, pieces, row_of, text_of
 
 #: Categories in the order of the chain: column of the labels and the value that counts as 1.
@@ -159,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, each: int =
 
 
 def score(docs: DataFrame, chain: Chain | None, categories=CATEGORIES) -> DataFrame:
-    """docs' columns and `_toxicity`, an array of probabilities in the order of the categories."""
+    """docs' columns and `toxicity`, an array of probabilities in the order of the categories."""
+    box = boxed(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +176,18 @@ def score(docs: DataFrame, chain: Chain | None, categories=CATEGORIES) -> DataFr
                 found = chain.probabilities(*chain.present(data, offsets), n)
             ends = pa.array(np.arange(n + 1) * len(categories), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "toxicity"])
 
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
+    schema = StructType([*box.schema.fields]).add("toxicity", ArrayType(DoubleType()))
+    columns = [c for c in docs.columns if c != "toxicity"]
+    return unboxed(box.mapInArrow(predict, schema), columns, ("text",), "toxicity")
 
-    schema = StructType([*docs.schema.fields]).add("_toxicity", ArrayType(DoubleType()))
-    return docs.mapInArrow(predict, schema)
 
+def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """score() by a chain trained on docs and labels."""
+    return score(docs, train(docs, labels))
 
-def detect(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns, `_toxicity` and `_toxic` (the last category's probability is at
-    least `threshold`), with a chain trained on docs and labels."""
-    found = score(docs, train(docs, labels))
-    return found.withColumn("_toxic", F.element_at("_toxicity", -1) >= threshold)
+
+def is_toxic(threshold: float = THRESHOLD) -> Column:
+    """Of the result of score(): the last category's probability is at least `threshold`."""
+    return F.element_at("toxicity", -1) >= threshold

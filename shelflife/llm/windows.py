@@ -124,9 +124,14 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(since[: n - width + 1], upto[width - 1 : n])
 
 
+def text_key() -> Column:
+    """With doc_id it tells the texts of a table apart."""
+    return F.xxhash64(F.col("text"), F.col("doc_id").isNull())
+
+
 def with_key(docs: DataFrame) -> DataFrame:
-    """docs with `_h`, which together with doc_id tells texts apart, and its place in the filter."""
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("text"), F.col("doc_id").isNull()))
+    """docs with `_h`, the text_key, and `_slot`, the row's place in the filter."""
+    keyed = docs.withColumn("_h", text_key())
     return keyed.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(FILTER_BITS)).cast("int"))
 
 
