@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from shelflife.llm.scratch import written
+from shelflife.llm.scratch import boxed, unboxed, written
 from shelflife.llm.text import U64, Words, mix, pieces, signed, text_of
 
 WORD_SHARE = 2.0**-22
@@ -37,6 +38,8 @@ GRAM_SHARE = 2.0**-20
 DISCOUNT = 0.5
 #: Distinct keys that a task holds before it passes them on.
 TALLIED = 1 << 19
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 19
 
 _END = U64(0x5E5E5E5E00000001)
 _BITS = 22  # of a word's or pair's number
@@ -106,7 +109,7 @@ def count_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.n
 
     def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             tally.add(keys_of(*tokens(batch)))
             if len(tally.keys) > TALLIED:
                 yield tally.batch()
@@ -245,13 +248,12 @@ def opened(shared) -> Automaton:
 
 def score(docs: DataFrame, model: Trained) -> DataFrame:
     """docs' columns but text, with a struct `lm`: n_tokens, n_known, base_score, score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.automaton)
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    box = boxed(docs, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
 
     def traversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, row = opened(shared), TaskContext.get().partitionId() << 36
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             n = batch.num_rows
             hashes, offsets = tokens(batch)
             word, root, logs = automaton.traverse(hashes, offsets)
@@ -259,38 +261,26 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
             sums = lambda x: np.add.reduceat(x, offsets[:-1])
             ends = np.append(0, np.cumsum(sums(rare.astype(np.int32)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(hashes[rare])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(f.name) for f in rest],
-                    pa.array(np.arange(row, row + n)),
-                    pa.array(np.diff(offsets)),
-                    pa.array(sums(root)),
-                    pa.array(sums(logs)),
-                    lists,
-                ],
-                [*[f.name for f in rest], "_row", "_tokens", "_base", "_score", "_rare"],
-            )
+            counted = [pa.array(x) for x in (np.arange(row, row + n), np.diff(offsets), sums(root), sums(logs))]
+            yield pa.RecordBatch.from_arrays([batch.column("_box"), *counted, lists], schema.names)
             row += n
 
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
-
-    schema = StructType([*rest])
-    for name, kind in (("_row", LongType()), ("_tokens", LongType()), ("_base", DoubleType()), ("_score", DoubleType()), ("_rare", ArrayType(LongType()))):
+    schema = StructType([box.schema["_box"]])
+    for name, kind in (("row", LongType()), ("tokens", LongType()), ("base", DoubleType()), ("score", DoubleType())):
         schema = schema.add(name, kind)
-    passed = written(docs.mapInArrow(traversed, schema), "lm-passed")
-    rare = passed.select("_row", F.explode("_rare").alias("_key"))
-    counts = model.counts.select(F.col("key").alias("_key"), "n")
+    schema = schema.add("rare", ArrayType(LongType()))
+    passed = written(box.mapInArrow(traversed, schema), "lm-passed")
+    rare = passed.select("row", F.explode("rare").alias("key"))
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))
-    looked_up = rare.join(counts, "_key", "left").groupBy("_row").agg(
-        F.sum(each).alias("_more"), F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias("_unknown")
-    ).withColumnRenamed("_row", "_of")
-    more = F.coalesce("_more", F.lit(0.0))
-    result = F.struct(
-        F.col("_tokens").alias("n_tokens"),
-        (F.col("_tokens") - F.coalesce("_unknown", F.lit(0))).alias("n_known"),
-        (F.col("_base") + more).alias("base_score"),
-        (F.col("_score") + more).alias("score"),
+    looked_up = rare.join(model.counts, "key", "left").groupBy("row").agg(
+        F.sum(each).alias("more"), F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias("unknown")
     )
-    return passed.join(looked_up, passed["_row"] == looked_up["_of"], "left").select(
-        *[passed[f.name] for f in rest], result.alias("lm")
+    more = F.coalesce("more", F.lit(0.0))
+    result = F.struct(
+        F.col("tokens").alias("n_tokens"),
+        (F.col("tokens") - F.coalesce("unknown", F.lit(0))).alias("n_known"),
+        (F.col("base") + more).alias("base_score"),
+        (F.col("score") + more).alias("score"),
     )
+    found = passed.drop("rare").join(looked_up, "row", "left").withColumn("lm", result)
+    return unboxed(found, [c for c in docs.columns if c not in ("text", "lm")], (), "lm")
