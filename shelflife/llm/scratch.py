@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, which is meant for short rows: a
+    thousand texts are some megabytes. A session that has its own setting keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def boxed(docs: DataFrame, *used: str) -> DataFrame:
     """docs with the columns `used` and all others in one struct `_box`, so that no
     column an operator adds can clash with them; null without others."""

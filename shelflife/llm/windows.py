@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from shelflife.llm.scratch import written
+from shelflife.llm.scratch import text_batches, written
 from shelflife.llm.text import U64, Spans, byte_symbols, mix, pieces, signed
 
 #: Symbols of a row batch, and the offsets of its rows in them.
@@ -131,6 +131,7 @@ def text_key() -> Column:
 
 def with_key(docs: DataFrame) -> DataFrame:
     """docs with `_h`, the text_key, and `_slot`, the row's place in the filter."""
+    text_batches(docs.sparkSession)
     keyed = docs.withColumn("_h", text_key())
     return keyed.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(FILTER_BITS)).cast("int"))
 
@@ -150,7 +151,7 @@ def stored_runs(docs: DataFrame, symbols_of: SymbolsOf, shape: Shape) -> DataFra
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 18):
             runs = find_runs(*symbols_of(batch), shape)
             n, row = len(runs.row), pa.array(runs.row)
             yield pa.RecordBatch.from_arrays(
@@ -260,7 +261,7 @@ def _texts(docs: DataFrame, waiting: DataFrame, symbols_of: SymbolsOf, shape: Sh
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 18):
             lists = batch.column("_runs")
             symbols, offsets = symbols_of(batch)
             runs = lists.flatten()
@@ -398,7 +399,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: StructTy
     bits = key_filter(spans)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 1 << 18):
             covered = [(np.zeros(0, np.int64),) * 2] * batch.num_rows
             if "_spans" in batch.schema.names:
                 lists = batch.column("_spans")
