@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from shelflife.llm.scratch import boxed, unboxed, written
+from shelflife.llm.scratch import boxed, text_batches, unboxed, written
 from shelflife.llm.text import U64, Words, mix, pieces, signed, text_of
 
 WORD_SHARE = 2.0**-22
@@ -214,6 +214,7 @@ class Trained:
 def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Trained:
     """Counts over all rows of docs, in one pass for each length of n-gram."""
     spark = docs.sparkSession
+    text_batches(spark)
     counts = written(count_keys(docs, lambda hashes, offsets: hashes), "lm-words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
@@ -248,6 +249,7 @@ def opened(shared) -> Automaton:
 
 def score(docs: DataFrame, model: Trained) -> DataFrame:
     """docs' columns but text, with a struct `lm`: n_tokens, n_known, base_score, score."""
+    text_batches(docs.sparkSession)
     box = boxed(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
 

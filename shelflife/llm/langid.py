@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflife.llm.sampling import MOST_CHARS, sample_each
+from shelflife.llm.scratch import text_batches
 from shelflife.llm.text import lowered, pieces, text_of
 
 BUCKETS = 1 << 14
@@ -165,8 +166,8 @@ def train(labelled: DataFrame, each: int = SAMPLE_EACH) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected for each row of docs."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    text_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from shelflife.llm.scratch import text_batches
 from shelflife.llm.text import pieces
 
 LENGTH = 2048
@@ -181,6 +182,7 @@ def pack(
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset and the
     piece's ids (binary, little-endian unsigned 32-bit). encoder() is called
     once in each task."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_token], "<u4").tobytes()
 

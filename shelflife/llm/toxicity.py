@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from shelflife.llm.sampling import MOST_CHARS, sample_each
-from shelflife.llm.scratch import boxed, unboxed
+from shelflife.llm.scratch import boxed, text_batches, unboxed
 from shelflife.llm.text import U64, Spans, Words, byte_symbols, mix, not_letters, pieces, row_of, text_of
 
 #: Categories in the order of the chain: column of the labels and the value that counts as 1.
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, each: int =
 
 def score(docs: DataFrame, chain: Chain | None, categories=CATEGORIES) -> DataFrame:
     """docs' columns and `toxicity`, an array of probabilities in the order of the categories."""
+    text_batches(docs.sparkSession)
     box = boxed(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
