@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelflife.functions import composite_key, divide, floor_at_zero, horizon_days, or_zero, round_half_even
 from shelflife.functions import serial_to_date, strip_dashes
-from shelflife.params import ReportParams
+from shelflife.params import SNAPSHOT, ReportParams
 
 # Roles of the seven lowest month codes, in order.
 MONTH_ROLES = (
@@ -62,12 +62,22 @@ def normalize_forecast(forecast: DataFrame, params: ReportParams) -> DataFrame:
 def month_calendar(forecast: DataFrame, params: ReportParams) -> DataFrame:
     """One row (per snapshot): the seven lowest month codes and the horizon.
     The set holds distinct calendar months, so it is small by nature."""
+    codes = forecast.select(*params.snapshot_keys, "forecast_month_year_code").distinct()
     lowest = F.slice(F.array_sort(F.collect_set("forecast_month_year_code")), 1, len(MONTH_ROLES))
     months = (
-        forecast.groupBy(*params.snapshot_keys).agg(lowest.alias("months"))
+        codes.where(F.col(SNAPSHOT).isin([s.snapshot_date for s in params.snapshots]))
+        .groupBy(*params.snapshot_keys)
+        .agg(lowest.alias("months"))
         if params.many_snapshots
-        else forecast.agg(lowest.alias("months"))
+        else codes.agg(lowest.alias("months"))
     )
+    found = F.concat_ws(", ", "months")
+    message = F.concat(
+        F.lit("the forecast of "), params.as_of_column.cast("string"),
+        F.lit(f" has fewer than {len(MONTH_ROLES)} months: "), F.when(found == "", "none").otherwise(found),
+    )
+    enough = F.size("months") == len(MONTH_ROLES)
+    months = months.withColumn("months", F.when(enough, F.col("months")).otherwise(F.raise_error(message)))
     return months.withColumn("days", _days(F.col("months"), params))
 
 
@@ -79,7 +89,8 @@ def attach_calendar(df: DataFrame, forecast: DataFrame, params: ReportParams) ->
         return df.withColumn("months", months).withColumn("days", _days(months, params))
     calendar = month_calendar(forecast, params)
     if params.many_snapshots:
-        return df.join(calendar, list(params.snapshot_keys), "left")
+        # One row for each snapshot in the parameters at most.
+        return df.join(F.broadcast(calendar), list(params.snapshot_keys), "left")
     only = calendar.select(F.struct("months", "days")).scalar()
     return df.withColumn("_calendar", only).select("*", "_calendar.*").drop("_calendar")
 

@@ -103,5 +103,12 @@ def join_site_columns(ledger: DataFrame, sites: DataFrame, layout: Layout) -> Da
     and pick the rows of the lot's own item number after the join: with the
     item number in the join key the whole ledger would be shuffled again."""
     columns = ledger.columns
-    rows = layout.join(ledger, sites).select(*columns, F.inline("_sites"))
-    return rows.where(F.col("_sku") == F.coalesce("sku", F.lit("NA"))).drop("_sku")
+    own = F.filter("_sites", lambda site: site["_sku"] == F.coalesce("sku", F.lit("NA")))
+    joined = layout.join(ledger, sites).withColumn("_own", own)
+    # A lot without any site row stays, with what the report shows for none.
+    return joined.select(*columns, F.inline_outer("_own")).withColumns(
+        {
+            "xfer_to_other_loc": F.coalesce("xfer_to_other_loc", F.lit("N")),
+            "percent_of_overall_demand": F.coalesce("percent_of_overall_demand", F.lit("0%")),
+        }
+    ).drop("_sku")

@@ -23,15 +23,16 @@ ON_DUPLICATE = ("expand", "error")
 
 @dataclass(frozen=True)
 class SnapshotRules:
-    """The rules that were in force on one snapshot date."""
+    """The rules that were in force on one snapshot date; a rule that isn't
+    given is the one of the report."""
 
     snapshot_date: date
-    consumption_rule: str = "self_shippable"
-    rate_rounding: str = "half_even"
+    consumption_rule: str | None = None
+    rate_rounding: str | None = None
 
     def __post_init__(self):
-        _one_of(self.consumption_rule, CONSUMPTION_RULES)
-        _one_of(self.rate_rounding, RATE_ROUNDINGS)
+        _one_of(self.consumption_rule, (None, *CONSUMPTION_RULES))
+        _one_of(self.rate_rounding, (None, *RATE_ROUNDINGS))
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,8 @@ class ReportParams:
             return F.lit(getattr(self, name))
         dates_by_value: dict[str, list[date]] = {}
         for snapshot in self.snapshots:
-            dates_by_value.setdefault(getattr(snapshot, name), []).append(snapshot.snapshot_date)
+            value = getattr(snapshot, name) or getattr(self, name)
+            dates_by_value.setdefault(value, []).append(snapshot.snapshot_date)
         default = F.lit(getattr(self, name))
         chosen = F
         for value, dates in dates_by_value.items():

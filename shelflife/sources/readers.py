@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,11 +73,13 @@ def load_sources(
     return Sources(**{f.name: read(f.name) for f in fields(Sources) if f.name in paths})
 
 
-def write_report(report: DataFrame, path: str, fmt: str = "parquet", order: list[str] | None = None) -> None:
+def write_report(
+    report: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str | Column] | None = None
+) -> None:
     """Write a report, range-partitioned and sorted so that the files read in
     sequence are in report order; no task sees more than its own range."""
     keys = order or report.columns[:1]
-    ordered = report.orderBy(*[F.col(f"`{k}`").asc_nulls_last() for k in keys])
+    ordered = report.orderBy(*[(F.col(f"`{k}`") if isinstance(k, str) else k).asc_nulls_last() for k in keys])
     writer = ordered.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
