@@ -10,7 +10,6 @@ Nothing is dropped and the results do not depend on the split.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -20,13 +19,6 @@ from pyspark.sql import functions as F
 
 BLOCK = "lot_block"
 
-# The largest item-locations that may be split. One outside this list holds at
-# most 1/MAX_HOT_REFS of all lots, so leaving it whole is safe; the list itself
-# stays small enough to collect and broadcast whatever the data size.
-MAX_HOT_REFS = 10_000
-MAX_BLOCKS = 100_000
-
-
 @dataclass(frozen=True)
 class Layout:
     """How lots are spread over tasks: by key, or by key and block."""
@@ -53,8 +45,7 @@ class Layout:
         split are not needed and drop out."""
         if not self.split:
             return side
-        # One row per block and key in it: at most MAX_BLOCKS + MAX_HOT_REFS.
-        return side.join(F.broadcast(self.blocks), list(self.keys))
+        return side.join(self.blocks, list(self.keys))
 
     def join(self, lots: DataFrame, side: DataFrame) -> DataFrame:
         return lots.join(self.align(side), list(self.partition), "left")
@@ -86,26 +77,20 @@ def split_hot_refs(
     """The enriched lots as one part or, when some keys are hot, as a plain
     part and a part in blocks. `counts` holds an upper bound of the enriched
     rows per key as `rows`; `enrich` gets the lots and, for the hot ones, the
-    keys they are limited to."""
-    hot = (
-        counts.where(F.col("rows") > lots_per_task)
-        .orderBy(F.desc("rows"), *keys)
-        .limit(MAX_HOT_REFS)
-        .collect()
-    )
-    if not hot:
+    keys they are limited to.
+
+    One number is fetched while the plan is built: how many tasks the hot keys
+    need. The keys themselves stay a table, however many there are."""
+    hot = counts.where(F.col("rows") > lots_per_task)
+    tasks = hot.agg(F.sum(F.ceil(F.col("rows") / lots_per_task))).first()[0]
+    if not tasks:
         return [Part(enrich(lots, None), Layout(keys))]
-    spark = lots.sparkSession
-    # At most MAX_HOT_REFS rows.
-    hot_keys = F.broadcast(
-        spark.createDataFrame([tuple(row[k] for k in keys) for row in hot], lots.select(*keys).schema)
-    )
+    checkpoint_folder(lots.sparkSession)
+    hot_keys = hot.select(*keys).checkpoint()
     plain = lots.join(hot_keys, list(keys), "left_anti")
     large = enrich(lots.join(hot_keys, list(keys), "left_semi"), hot_keys)
-    tasks = min(sum(-(-row["rows"] // lots_per_task) for row in hot), MAX_BLOCKS)
-    shared_folder(spark)
     blocks = (
-        large.repartitionByRange(tasks, *[F.col(c).asc_nulls_last() for c in (*keys, *order(large))])
+        large.repartitionByRange(int(tasks), *[F.col(c).asc_nulls_last() for c in (*keys, *order(large))])
         .withColumn(BLOCK, F.spark_partition_id())
         # Range bounds come from a sample. The checkpoint fixes them, so every
         # branch of the plan, and every retry, sees the same blocks.
@@ -116,26 +101,25 @@ def split_hot_refs(
 
 
 def rows_per_key(lots: DataFrame, repeats: Sequence[DataFrame], keys: tuple[str, ...]) -> DataFrame:
-    """Rows per key once every table in `repeats` has been joined on the key.
+    """Rows per key once every table in `repeats` has been joined on the key. A
+    table with a column `times` says itself how often its key repeats a row.
     Only keys that occur more than once in such a table change a count."""
-    counts = lots.groupBy(*keys).agg(F.count("*").alias("rows"))
+    counts = lots.groupBy(*keys).agg(F.count("*").cast("double").alias("rows"))
     for table in repeats:
-        times = table.groupBy(*keys).agg(F.count("*").alias("times")).where(F.col("times") > 1)
-        counts = counts.join(times, list(keys), "left").withColumn(
+        times = F.max("times") if "times" in table.columns else F.count("*")
+        more = table.groupBy(*keys).agg(times.alias("times")).where(F.col("times") > 1)
+        counts = counts.join(more, list(keys), "left").withColumn(
             "rows", F.col("rows") * F.coalesce("times", F.lit(1))
         ).drop("times")
     return counts
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Only a local session without one
-    (as in tests) gets a temporary folder."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="shelflife-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(shared)
     return context.getCheckpointDir()

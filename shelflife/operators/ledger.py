@@ -91,8 +91,7 @@ def _continue_blocks(lots: DataFrame, layout: Layout) -> DataFrame:
         *[F.sum(c).over(earlier).alias(f"_carried_{c}") for c in ("rows", "qty", "shippable", "unknown")],
         F.lag("last_days").over(by_block).alias("_carried_days"),
     )
-    # One row per block and key in it, as in Layout.align.
-    lots = lots.join(F.broadcast(carried), list(layout.partition), "left")
+    lots = lots.join(carried, list(layout.partition), "left")
     starts_block = F.col("lot_seq") == 1
     shifted = {
         name: F.col(name) + F.coalesce(F.col(f"_carried{base}"), F.lit(0))

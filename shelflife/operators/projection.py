@@ -121,8 +121,7 @@ def _continue_chains(lots: DataFrame, layout: Layout) -> DataFrame:
     by_block = W.partitionBy(*layout.keys).orderBy(BLOCK)
     ended = _chain_values(last, F.col("_own"), F.col("_step"), F.col("_starts"), by_block)
     entering = ended.select(*layout.partition, F.lag("_value").over(by_block).alias("_entering"))
-    # One row per block and key in it, as in Layout.align.
-    lots = lots.join(F.broadcast(entering), list(layout.partition), "left")
+    lots = lots.join(entering, list(layout.partition), "left")
     continued = F.when(
         F.col("_value").isNotNull() & F.col("_entering").isNotNull(),
         F.least(F.col("_value"), F.col("_sum") + F.col("_entering")),

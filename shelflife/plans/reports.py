@@ -3,13 +3,15 @@ open orders and forecast demand."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflife.functions import days_range
+from shelflife.functions import composite_key, days_range
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
 from shelflife.operators.hot_refs import Layout, Part, over_parts, rows_per_key, split_hot_refs
-from shelflife.params import SNAPSHOT, ReportParams
+from shelflife.params import ReportParams
 from shelflife.sources.readers import Sources
 
 # Report columns in order, with their display headers.
@@ -46,8 +48,20 @@ TRANSFER_HEADERS = BASE_HEADERS | {
     "xfer_to_other_loc": "Xfer to other Loc?",
     "percent_of_overall_demand": "% of overall demand",
 }
-# Order in which the sink writes a report.
-REPORT_ORDER = ("ref", "Calculated Shippable Date", "Days left on SSL", "Location", "Sku", "Description", "Lot#")
+# Display headers in the order of the lot sequence within an item-location.
+REPORT_ORDER = (
+    "Calculated Shippable Date",
+    "Days left on SSL",
+    "Location",
+    "Sku",
+    "Description",
+    "Lot#",
+    "Expiration Date",
+    "Unit Cost",
+    "Planner#",
+    "Planner Name",
+    "MBX",
+)
 
 
 def aggregated_lots(sources: Sources, params: ReportParams) -> DataFrame:
@@ -60,7 +74,14 @@ def lot_parts(sources: Sources, params: ReportParams, described: bool = True) ->
     counted = supply.normalize_lots(sources.inventory_lots, params).select(*params.ref_keys)
     repeats = []
     if described and params.on_duplicate == "expand":
-        repeats = [dims.item_planner_dim(sources.item_planner, params), dims.item_type_dim(sources.item_type, params)]
+        directory = dims.planner_directory_dim(sources.planner_directory, params)
+        planners = dims.named_planners(dims.item_planner_dim(sources.item_planner, params), directory, params)
+        repeats = [planners, dims.item_type_dim(sources.item_type, params)]
+    if described and params.horizon_rule == "transfer":
+        # A rate for each of k sites, and k * k flags for each of the site rows.
+        pairs = demand.normalize_forecast(sources.forecast, params).select(*params.ref_keys, "mfg_ref").distinct()
+        sites = pairs.groupBy(*params.ref_keys).agg(F.pow(F.count("*"), F.lit(3)).alias("times"))
+        repeats += [sites, dims.mfg_dim(sources.mfg_locations, params)]
     return split_hot_refs(
         aggregated_lots(sources, params),
         rows_per_key(counted, repeats, params.ref_keys),
@@ -164,9 +185,21 @@ def report(sources: Sources, params: ReportParams) -> DataFrame:
 
 
 def inspect_ref(sources: Sources, params: ReportParams, ref: str) -> DataFrame:
-    """Look one item-location up in the ledger. The filter is on a window key, so
-    it runs before the shuffles."""
-    return full_ledger(sources, params).where(F.col("ref") == ref)
+    """Look one item-location up in the ledger. The sources are filtered on the
+    locations that its key may begin with, which reaches their scans."""
+    places = [ref[:i] for i, c in enumerate(ref) if c == "_"]
+
+    def at(column: str) -> Column:
+        return F.col(column).isin(places) | (F.col(column).isNull() if "NA" in places else F.lit(False))
+
+    narrowed = replace(
+        sources,
+        inventory_lots=sources.inventory_lots.where(at("location")),
+        customer_orders=sources.customer_orders.where(at("location")),
+        item_planner=sources.item_planner.where(at("b_p")),
+        # The forecast stays whole: its months fix the horizon.
+    )
+    return full_ledger(narrowed, params).where(F.col("ref") == ref)
 
 
 def _display(lots: DataFrame, headers: dict[str, str], params: ReportParams) -> DataFrame:
@@ -176,5 +209,6 @@ def _display(lots: DataFrame, headers: dict[str, str], params: ReportParams) ->
     )
 
 
-def report_order(params: ReportParams) -> list[str]:
-    return [SNAPSHOT, *REPORT_ORDER] if params.many_snapshots else list(REPORT_ORDER)
+def report_order(params: ReportParams) -> list[str | Column]:
+    """The lot sequence, by the key of the item-location and not by its display name."""
+    return [*params.snapshot_keys, composite_key(F.col("Location"), F.col("Sku")), *REPORT_ORDER]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from shelflife.functions import composite_key, if_else, serial_to_date, strip_dashes
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
-from shelflife.operators.hot_refs import Layout, over_parts, shared_folder
+from shelflife.operators.hot_refs import Layout, over_parts
 from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, write_report
@@ -19,6 +20,18 @@ from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows
 from shelflife.sources.schemas import SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
 
+
+def session_folder(spark: SparkSession) -> str:
+    """The shared folder of the session. A local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="shelflife-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 BASE = ReportParams.base(AS_OF)
@@ -32,6 +45,7 @@ WEEKS = (
 )
 BACKFILL = ReportParams.weekly(snapshots=WEEKS)
 BACKFILL_TRANSFER = ReportParams.transfer(snapshots=WEEKS)
+BACKFILL_DEFAULTS = ReportParams.transfer(snapshots=tuple(SnapshotRules(day) for day in SNAPSHOT_DATES))
 INSPECTED_REF = "1_7"
 
 LOT = ("ref", "lot_number", "calculated_shippable_date", "days_left_on_ssl", "lot_seq")
@@ -325,7 +339,7 @@ def inspect_ref(sources: Sources) -> DataFrame:
 
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the base report and read it back."""
-    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/report-{uuid.uuid4().hex}"
     write_report(
         reports.report(sample_sources(spark, sf_dir), BASE), path, order=reports.report_order(BASE)
     )
@@ -333,7 +347,11 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _on_sources(build: Callable[[Sources], DataFrame], snapshots: bool = False) -> Query:
-    return lambda spark, sf_dir: build(sample_sources(spark, sf_dir, snapshots))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session_folder(spark)
+        return build(sample_sources(spark, sf_dir, snapshots))
+
+    return run
 
 
 def registry() -> dict[str, Query]:
@@ -406,6 +424,7 @@ def registry() -> dict[str, Query]:
         "consumption_same_ref": _consumption("same_ref"),
         "consumption_self_shippable": _consumption("self_shippable"),
         "report_backfill": _on_sources(lambda s: reports.report(s, BACKFILL), snapshots=True),
+        "report_backfill_defaults": _on_sources(lambda s: reports.report(s, BACKFILL_DEFAULTS), snapshots=True),
         "report_backfill_transfer": _on_sources(lambda s: reports.report(s, BACKFILL_TRANSFER), snapshots=True),
         "sink_report": sink_report,
     }
