@@ -1,5 +1,5 @@
-"""A row-by-row model of the ledger in plain Python: the full ladder of
-allocation cases and the carry recursion, with unknown (None) conditions."""
+"""A row-by-row model of the ledger in plain Python: a walk with the balance of
+stock against orders and the carry recursion, with unknown (None) conditions."""
 
 from __future__ import annotations
 
@@ -36,44 +36,26 @@ def choose(branches, otherwise=None):
     return otherwise
 
 
-def running(values):
-    total, out = 0.0, []
-    for value in values:
-        total = None if total is None or value is None else total + value
-        out.append(total)
-    return out
-
-
 def ledger(lots, orders, rate, rule="prev_shippable", horizon=15):
     """`lots` is a list of (days_left, quantity) of one item-location in lot
     order. Returns (after orders, consumption, after forecast) per lot."""
     days = [d for d, _ in lots]
     qty = [max(q, 0.0) for _, q in lots]
     shippable = [None if d is None else (0.0 if d <= 0 else q) for d, q in zip(days, qty)]
-    cum, cum_ship = running(qty), running(shippable)
+    balance = -orders
     results, before = [], None
     for i, (d, q) in enumerate(zip(days, qty)):
-        first, last = i == 0, i == len(lots) - 1
+        first = i == 0
         prev_days = None if first else days[i - 1]
-        left = minus(cum_ship[i], orders)
-        left_before = None if first else minus(cum_ship[i - 1], orders)
-        cum_left_before = None if first else cum[i - 1] - orders
-        usual = (not first, positive(prev_days), positive(d), positive(cum_left_before))
-        inside, end = (*usual, not last), (*usual, last)
-        after = choose(
-            [
-                (orders == 0, q),
-                (both(first, not_positive(d)), q),
-                (both(first, positive(d)), cum[i] - orders),
-                (both(not first, not_positive(d)), q),
-                (both(not first, not_positive(prev_days), positive(d)), left),
-                (both(*inside, positive(left_before)), minus(left, left_before)),
-                (both(*inside, not_positive(left_before)), left),
-                (both(*end, positive(left_before)), shippable[i]),
-                (both(*end, not_positive(left_before)), left),
-                (both(not first, positive(prev_days), positive(d), not_positive(cum_left_before)), left),
-            ]
-        )
+        # Orders that earlier shippable lots left open come off this one.
+        if orders == 0 or not_positive(d):
+            after = q
+        elif d is None or balance is None or (prev_days is None and not first):
+            after = None
+        else:
+            covered = not first and prev_days > 0 and balance > 0
+            after = q if covered else balance + q
+        balance = minus(balance, None if shippable[i] is None else -shippable[i])
         ending = None if after is None else max(after, 0.0)
         follows = both(not first, positive(prev_days))
         diff = choose([(follows, minus(d, prev_days)), (None if follows is None else not follows, 0)])
