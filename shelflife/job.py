@@ -3,6 +3,9 @@
     spark-submit shelflife/job.py transfer --as-of 2022-12-07 --out /reports/risk \\
         --source inventory_lots=/data/lots --source customer_orders=/data/orders ...
 
+    Exports of several dates have the date in their path:
+    spark-submit shelflife/job.py weekly --export --source "inventory_lots=/data/{snapshot}/lots.csv" ...
+
     spark-submit shelflife/job.py weekly --out /reports/backfill \\
         --snapshot 2022-11-02:self_shippable:half_even --snapshot 2022-11-09 ...
 """

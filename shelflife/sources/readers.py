@@ -16,6 +16,8 @@ from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
 
 ROW_POSITION = "_row_position"
+# Lines of an export in which its header record is looked for.
+PREAMBLE_LINES = 200
 
 
 @dataclass(frozen=True)
@@ -32,34 +34,69 @@ class Sources:
 def read_typed(spark: SparkSession, name: str, path: str, snapshots: Sequence[date] = ()) -> DataFrame:
     """A source kept as Parquet with the declared column names and types. With
     `snapshots` it also holds a `snapshot_date` (as a column or as partition
-    folders) and only those dates are read."""
+    folders) and only those dates are read. A declared column that the files
+    lack is an error; read as NULL it would count as zero."""
     schema = SCHEMAS[name]
+    missing = sorted(set(schema.names) - set(spark.read.parquet(path).columns))
+    if missing:
+        raise ValueError(f"{name} at {path} has no columns {missing}")
     if not snapshots:
         return spark.read.schema(schema).parquet(path)
     dated = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.DateType())])
     return spark.read.schema(dated).parquet(path).where(F.col(SNAPSHOT).isin(list(snapshots)))
 
 
+def _header(spark: SparkSession, path: str, row: int) -> list[str]:
+    """Cells of the header record; reads the first lines only."""
+    lines = [r["value"] for r in spark.read.text(path).limit(PREAMBLE_LINES).collect()]
+    for k, record in enumerate(csv.reader([f"{line}\n" for line in lines])):
+        if k == row:
+            return record
+    raise ValueError(f"{path} has no row {row} to take the column names from")
+
+
 def read_export(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A source kept as the CSV export of one sheet, with its preamble rows.
 
-    `path` names a single file: a preamble belongs to one sheet, and row order
-    is only defined within a file. All cells are read as text.
+    `path` names a single file: a preamble belongs to one sheet, row order is only
+    defined within a file, and a cell may hold line breaks. A record with another
+    number of cells than the header, or a cell that can't be read as its type, is an error.
     """
-    lines = spark.read.text(path)
-    if len(lines.inputFiles()) > 1:
+    files = spark.read.text(path)
+    if len(files.inputFiles()) > 1:
         raise ValueError(f"{path} holds several files; read each export on its own and union them")
-    lines = lines.withColumn(ROW_POSITION, F.monotonically_increasing_id())
-    header_row = HEADER_ROW[name]
-    header = lines.where(F.col(ROW_POSITION) == header_row).first()
-    width = len(next(csv.reader([header["value"]])))
-    columns = ", ".join(f"_c{i} string" for i in range(width))
-    cells = (
-        lines.where(F.length("value") > 0)
-        .select(ROW_POSITION, F.from_csv("value", columns).alias("cells"))
-        .select(ROW_POSITION, "cells.*")
+    header = _header(spark, path, HEADER_ROW[name])
+    cells = [f"_c{i}" for i in range(len(header))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*cells, "_wrong")])
+    records = (
+        spark.read.schema(schema)
+        .options(multiLine=True, escape='"', columnNameOfCorruptRecord="_wrong", columnPruning=False)
+        .csv(path)
+        # The file is one partition, so numbers follow its order.
+        .withColumn(ROW_POSITION, F.monotonically_increasing_id())
     )
-    return type_convert(clean_names(promote_header(cells, ROW_POSITION, header_row)), SCHEMAS[name])
+    is_header = F.lit(True)
+    for cell, text in zip(cells, header):
+        is_header &= F.coalesce(F.col(cell), F.lit("")) == text
+    position = records.where(is_header).agg(F.min(ROW_POSITION)).first()[0]
+    message = F.concat(F.lit(f"a record of {path} does not have {len(header)} cells: "), F.col("_wrong"))
+    first = F.when(F.col("_wrong").isNull(), F.col("_c0")).otherwise(F.raise_error(message))
+    checked = records.withColumn("_c0", F.when(F.col(ROW_POSITION) > position, first).otherwise(F.col("_c0")))
+    promoted = promote_header(checked.select(ROW_POSITION, *cells), ROW_POSITION, position)
+    return type_convert(clean_names(promoted), SCHEMAS[name], unreadable="error")
+
+
+def _dated_exports(spark: SparkSession, name: str, path: str, snapshots: Sequence[date]) -> DataFrame:
+    """The exports of all snapshots; `{snapshot}` in the path stands for the date.
+    A path without it is a sheet that holds for every date."""
+    tables = [
+        read_export(spark, name, path.replace("{snapshot}", day.isoformat())).withColumn(SNAPSHOT, F.lit(day))
+        for day in snapshots
+    ]
+    together = tables[0]
+    for table in tables[1:]:
+        together = together.unionByName(table)
+    return together
 
 
 def load_sources(
@@ -68,6 +105,8 @@ def load_sources(
     """Read every source named in `paths` (a sheet of a workbook is one path)."""
 
     def read(name: str) -> DataFrame:
+        if export and snapshots:
+            return _dated_exports(spark, name, paths[name], snapshots)
         return read_export(spark, name, paths[name]) if export else read_typed(spark, name, paths[name], snapshots)
 
     return Sources(**{f.name: read(f.name) for f in fields(Sources) if f.name in paths})

@@ -44,18 +44,28 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def parse_cell(text: Column, kind: T.DataType) -> Column:
-    """One trimmed text cell as `kind`; unreadable text becomes NULL."""
+UNREADABLE = ("null", "error")
+
+
+def parse_cell(text: Column, kind: T.DataType, name: str = "", unreadable: str = "null") -> Column:
+    """One trimmed text cell as `kind`. Unreadable text is no missing value: it
+    becomes NULL only if asked for, else it ends the job with its text."""
     cell = F.trim(text)
     value = F.when(~cell.isin(*MISSING), cell)
     if isinstance(kind, T.StringType):
         return value
-    if isinstance(kind, T.IntegerType):
-        return value.try_cast("double").try_cast("int")
-    return value.try_cast(kind)
+    typed = value.try_cast("double").try_cast("int") if isinstance(kind, T.IntegerType) else value.try_cast(kind)
+    if unreadable == "null":
+        return typed
+    message = F.concat(F.lit(f"column {name}: cannot read as {kind.simpleString()}: "), value)
+    return F.when(value.isNotNull() & typed.isNull(), F.raise_error(message)).otherwise(typed)
 
 
-def type_convert(df: DataFrame, schema: T.StructType) -> DataFrame:
+def type_convert(df: DataFrame, schema: T.StructType, unreadable: str = "null") -> DataFrame:
     """Select the declared columns from a text table and give them their type.
     Columns that are not declared are dropped, so scans stay narrow."""
-    return df.select(*[parse_cell(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
+    if unreadable not in UNREADABLE:
+        raise ValueError(f"{unreadable!r} is not one of {UNREADABLE}")
+    return df.select(
+        *[parse_cell(F.col(f.name), f.dataType, f.name, unreadable).alias(f.name) for f in schema.fields]
+    )

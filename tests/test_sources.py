@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,47 @@ def test_read_export_skips_the_preamble(spark, tmp_path):
     assert got == [("10", "12-3", 44797.0, 5.0), ("10", "45", 44798.5, None)]
 
 
+def test_records_may_hold_line_breaks_and_quotes(spark, tmp_path):
+    path = tmp_path / "types.csv"
+    text = ["note,with comma"] * 7 + ['"Ship Ref","Type","More"', '10-1,"line one\nline two",x', '10-2,"says ""so""",', ",,"]
+    path.write_text("\n".join(text) + "\n")
+    got = sorted(tuple(r) for r in read_export(spark, "item_type", str(path)).collect() if r[0])
+    assert got == [("10-1", "line one\nline two"), ("10-2", 'says "so"')]
+
+
+@pytest.mark.parametrize("record, message", [("10,12,44797", "does not have 4 cells"), ("10,12,44797,5,6", "does not have 4 cells"), ('10,12,44797,"1,250"', "cannot read as double: 1,250")])
+def test_faulty_exports_are_errors(spark, tmp_path, record, message):
+    path = tmp_path / "orders.csv"
+    _write_export(path, HEADER_ROW["customer_orders"], EXPORT_HEADERS["customer_orders"], [("10", "1", "44797", "5")])
+    path.write_text(path.read_text() + record + "\n")
+    with pytest.raises(Exception, match=message):
+        read_export(spark, "customer_orders", str(path)).collect()
+
+
+def test_absent_columns_are_errors(spark, tmp_path):
+    sample_sources(spark, "/root/testdata/sf0.001").customer_orders.drop("oo_cases").write.parquet(str(tmp_path / "o"))
+    with pytest.raises(ValueError, match="oo_cases"):
+        read_typed(spark, "customer_orders", str(tmp_path / "o"))
+
+
+def test_job_reads_dated_exports(spark, tmp_path):
+    sources = make_sources(spark, inventory_lots=[lot("1", "L1", 20, 8.0)], customer_orders=[order("1", 3.0)], forecast=forecast("1", 30.0))
+    days = [AS_OF, AS_OF + timedelta(weeks=1)]
+    argv = ["weekly", "--export", "--out", str(tmp_path / "out"), *[x for d in days for x in ("--snapshot", d.isoformat())]]
+    for name in SCHEMAS:
+        rows = [tuple(r) for r in as_export(getattr(sources, name), name).collect()]
+        for d in days:
+            (tmp_path / d.isoformat()).mkdir(exist_ok=True)
+            _write_export(tmp_path / d.isoformat() / f"{name}.csv", HEADER_ROW[name], EXPORT_HEADERS[name], rows)
+        argv += ["--source", f"{name}={tmp_path}/{{snapshot}}/{name}.csv"]
+    job.run(spark, job.arguments(argv))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    for d in days:
+        expected = report(sources, ReportParams.weekly(d)).collect()
+        got = written.where(F.col("snapshot_date") == d).drop("snapshot_date").collect()
+        assert sorted(map(str, got)) == sorted(map(str, expected)) and len(got) == 1
+
+
 def test_exports_and_parquet_give_the_same_report(spark, tmp_path):
     sources = make_sources(
         spark,
