@@ -81,4 +81,58 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.h = b.h
 """
 
-ORACLES = {"op3_quality_lines": OP3, "op10_mix_sources": OP10}
+#: Every window of 50 words with the smallest document that it starts in.
+OP4 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), w AS (
+  SELECT r, doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS h
+  FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50 AND doc_id IS NOT NULL)
+), f AS (
+  SELECT h, min(doc_id) AS earliest FROM w GROUP BY h
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM w JOIN f USING (h) WHERE earliest < doc_id
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY k) AS rest, count(*) AS n
+  FROM (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM d) ANTI JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+#: All pairs with a common shingle, and who is reached over the links.
+OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, array_to_string(ws[i:i+4], ' ') AS shingle
+  FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM d)
+), n AS (
+  SELECT r, count(*) AS size FROM s GROUP BY r
+), pairs AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 75 * (x.size + y.size - shared)
+), reached AS (
+  SELECT r, r AS other FROM d
+  UNION
+  SELECT reached.r, b FROM reached JOIN links ON links.a = other
+)
+SELECT d.doc_id, coalesce(any_value(size), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id,
+       coalesce(d.doc_id = min(o.doc_id), true) AS kept
+FROM d LEFT JOIN n USING (r) JOIN reached USING (r) JOIN d o ON o.r = other GROUP BY d.r, d.doc_id
+"""
+
+ORACLES = {
+    "op3_quality_lines": OP3,
+    "op4_seed_extend": OP4,
+    "op7_superminhash": OP7,
+    "op10_mix_sources": OP10,
+}
