@@ -5,7 +5,8 @@ positions in a random order, its own permutation, with value rank plus a random
 fraction; a position keeps its least value. A text stops as soon as no later rank can lower any value.
 Equal sets are one node from the start. Nodes that agree in a band of the signature meet; of those, only a
 forest of the likeliest links is confirmed on full sets, since links inside a
-component add nothing. Then whatever is still in different components and may be linked is confirmed too.
+component add nothing. Then members of a bucket that are still in different components and may be linked are compared on full
+sets, chunk by chunk; only links that join components leave a task.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing; so is
 a row with a null id, which has no component and stays. A text of fewer than five words is one shingle.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -37,6 +38,8 @@ SIZE, ROWS = 128, 4
 LEAST_AGREEMENT = 0.58
 #: Members of a bucket that are compared in one task.
 CHUNK = 1024
+#: Elements of their sets that are compared in one task.
+CHUNK_ITEMS = 1 << 19
 
 _RANK = U64(57)
 
@@ -78,7 +81,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> np.
                 break
             if order is None:
                 elements, owner, at = elements[stays], owner[stays], at[stays]
-                order = np.tile(np.arange(size, dtype=np.uint8), (len(elements), 1))
+                order = np.tile(np.arange(size, dtype=np.min_scalar_type(size - 1)), (len(elements), 1))
                 order[np.arange(len(at)), at] = 0
             elif not stays.all():
                 elements, owner, order = elements[stays], owner[stays], order[stays]
@@ -113,7 +116,7 @@ def signed_sets(docs: DataFrame) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, 1 << 19):
+        for batch in pieces(batches, 1 << 18):
             n = batch.num_rows
             hashes, offsets = shingle_sets(batch)
             size = np.diff(offsets)
@@ -141,7 +144,7 @@ def signed_sets(docs: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches that end with the end of a group of equal (key, part), and the groups' offsets."""
+    """Batches that end with the end of a group of equal (key, part), and the starts of the groups."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
@@ -151,12 +154,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         key, part = (batch.column(x).to_numpy() for x in ("key", "part"))
         edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
         if len(edges):
-            yield batch.slice(0, edges[-1]), np.concatenate([[0], edges])
+            yield batch.slice(0, edges[-1]), np.append(0, edges[:-1])
             rest = batch.slice(edges[-1])
         else:
             rest = batch
     if rest is not None:
-        yield rest, np.array([0, rest.num_rows])
+        yield rest, np.array([0])
 
 
 def _agreement(sketch: np.ndarray, one: np.ndarray, n: np.ndarray, n_one: int) -> np.ndarray:
@@ -185,73 +188,127 @@ def _forest(sketch: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of different components that agree enough. The largest component's members are
-    only compared with the others."""
-    names, which = np.unique(component, return_inverse=True)
+def _questioned(sketch: np.ndarray, n: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Members that agree enough with one of another component."""
+    _, which = np.unique(component, return_inverse=True)
     largest = np.bincount(which).argmax()
-    out = []
+    out = np.zeros(len(n), bool)
     for i in np.flatnonzero(which != largest):
         near = (_agreement(sketch, sketch[i], n, n[i]) >= LEAST_AGREEMENT) & (which != which[i])
-        near &= (which == largest) | (np.arange(len(n)) > i)
-        out.extend((i, j) for j in np.flatnonzero(near))
+        out |= near
+        out[i] |= near.any()
+    return out
+
+
+def _links(items: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join different components, found on full sets: a member's elements are looked up among those of all
+    members at once, so its intersections with all of them are counted together."""
+    _, which = np.unique(component, return_inverse=True)
+    largest = np.bincount(which).argmax()
+    sizes = np.array([len(x) for x in items])
+    everything = np.concatenate(items)
+    order = np.argsort(everything)
+    sorted_items, owner = everything[order], np.repeat(np.arange(len(items)), sizes)[order]
+    out = []
+    for i in np.flatnonzero(which != largest):
+        low, high = np.searchsorted(sorted_items, items[i]), np.searchsorted(sorted_items, items[i], "right")
+        held = np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]), high - low) + np.arange((high - low).sum())
+        both = np.bincount(owner[held], minlength=len(items))
+        linked = 100 * both >= PERCENT * (sizes + sizes[i] - both)
+        for j in np.flatnonzero(linked):
+            if which[j] != which[i]:
+                out.append((i, j))
+                which[which == which[j]] = which[i]
     return out
 
 
-def _candidates(members: DataFrame, components_known: bool) -> DataFrame:
-    """Pairs (a, b) of nodes to confirm, from members (key, part, node, n, sketch[, root])."""
-    schema = "a long, b long"
+def _placed(members: DataFrame) -> DataFrame:
+    """The members of each (key, part) one after the other in one partition."""
+    return members.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
+
+def _sketches(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def _pairs(node: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Distinct pairs (a, b) of nodes, a < b."""
+    ends = node[np.array(found, np.int64).reshape(-1, 2)]
+    pairs = np.unique(np.sort(ends, axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """The likeliest links (a, b) in every part of members (key, part, node, n, sketch): a forest of each part."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in _groups(batches):
-            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-            root = batch.column("root").to_numpy() if components_known else node
+            node, n, sketch = batch.column("node").to_numpy(), batch.column("n").to_numpy(), _sketches(batch)
             ends = np.append(starts[1:], len(node))
             two = starts[ends - starts == 2]
-            first, second = [two], [two + 1]
-            if len(two):
-                same = ((sketch[two] == sketch[two + 1]).mean(axis=1) * 256 - 1) / 255
-                n1, n2 = n[two], n[two + 1]
-                fits = (same >= LEAST_AGREEMENT) & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)) & (root[two] != root[two + 1])
-                first, second = [two[fits]], [two[fits] + 1]
+            same = ((sketch[two] == sketch[two + 1]).mean(axis=1) * 256 - 1) / 255 if len(two) else np.zeros(0)
+            n1, n2 = n[two], n[two + 1]
+            fits = (same >= LEAST_AGREEMENT) & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2))
+            found = [(i, i + 1) for i in two[fits]]
             for s, e in zip(starts, ends):
-                if e - s < 3:
-                    continue
-                if components_known:
-                    found = _across(sketch[s:e], n[s:e], root[s:e])
-                else:
-                    found = _forest(sketch[s:e], n[s:e])
-                if found:
-                    pairs = np.array(found) + s
-                    first.append(pairs[:, 0])
-                    second.append(pairs[:, 1])
-            a, b = node[np.concatenate(first)], node[np.concatenate(second)]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    placed = members.repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    return placed.mapInArrow(paired, schema).distinct()
+                if e - s > 2:
+                    found += [(s + i, s + j) for i, j in _forest(sketch[s:e], n[s:e])]
+            yield _pairs(node, found)
 
+    return _placed(members).mapInArrow(paired, "a long, b long").distinct()
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough. docs come from with_key; nodes have (node, doc_id, _h)."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(ends, "node").select("node", "doc_id", "_h"), "wanted")
-    # A node's text may occur in several rows with one key; any of them will do.
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """(key, node, n, root) of members (key, part, node, n, sketch, root) that may have a link to another component."""
+
+    def questioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _groups(batches):
+            n, root, sketch = batch.column("n").to_numpy(), batch.column("root").to_numpy(), _sketches(batch)
+            take = np.zeros(len(n), bool)
+            for s, e in zip(starts, np.append(starts[1:], len(n))):
+                take[s:e] = _questioned(sketch[s:e], n[s:e], root[s:e])
+            yield batch.select(["key", "node", "n", "root"]).filter(pa.array(take))
+
+    return _placed(members).mapInArrow(questioned, "key long, node long, n long, root long").distinct()
+
+
+def _joining(members: DataFrame) -> DataFrame:
+    """Links (a, b) between components in the parts of members (key, part, node, root, items)."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _groups(batches):
+            node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+            items = [np.frombuffer(x.as_buffer(), U64) for x in batch.column("items")]
+            found = []
+            for s, e in zip(starts, np.append(starts[1:], len(node))):
+                found += [(s + i, s + j) for i, j in _links(items[s:e], root[s:e])]
+            yield _pairs(node, found)
+
+    columns = members.select("key", "part", "node", "root", "items")
+    return _placed(columns).mapInArrow(joined, "a long, b long").distinct()
+
+
+def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, items) with the full set of every node in ends. docs come from with_key; nodes have (node, doc_id, _h)."""
+    wanted = written(nodes.join(ends.distinct(), "node").select("node", "doc_id", "_h"), "wanted")
+    # Rows with one key are equal, so any of them will do.
     listed = wanted.groupBy("doc_id", "_h").agg(F.min("node").alias("_node"))
     texts = with_lists(passing(docs, key_filter(wanted), True), listed, "_node").where("_node IS NOT NULL")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 19):
+        for batch in pieces(batches, 1 << 18):
             hashes, offsets = shingle_sets(batch)
             found = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(found, pa.binary())], ["node", "items"])
 
-    full = written(
-        texts.select("text", "_node").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets"
-    )
+    full = texts.select("text", "_node").mapInArrow(sets, "node long, items binary")
+    return written(full.dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    full = _sets(ends, docs, nodes)
     left = full.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = full.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
 
@@ -267,17 +324,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(similar, "a long, b long")
 
 
-def _dealt(members: DataFrame, across: bool) -> DataFrame:
-    """members (key, node, total, least, ...) with `part`: large buckets in chunks of about CHUNK members. Each chunk also
-    has the bucket's first member; `across` gives every pair of chunks a part instead."""
-    chunks = F.ceil(F.col("total") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    every = F.sequence(F.lit(0), chunks - 1)
+def _dealt(members: DataFrame, chunks: Column, across: bool) -> DataFrame:
+    """members (key, node, ...) with `part`: a bucket's members in `chunks` chunks. Each chunk also
+    has the bucket's first member `least`; `across` gives every pair of chunks a part instead."""
+    own = F.pmod(F.xxhash64("node"), chunks).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)
     if across:
-        parts = F.transform(every, lambda o: F.least(own, o) * 65536 * 16 + F.greatest(own, o))
+        parts = F.transform(every, lambda o: F.least(own, o) * (1 << 32) + F.greatest(own, o))
     else:
         parts = F.when(F.col("node") == F.col("least"), every).otherwise(F.array(own))
-    return members.withColumn("part", F.explode(parts.cast("array<long>")))
+    return members.withColumn("part", F.explode(parts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -295,15 +351,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     busy = keys.groupBy("key").agg(F.count("*").alias("total"), F.min("node").alias("least")).where("total > 1")
     members = written(keys.join(written(busy, "busy"), "key"), "members")
     described = written(members.join(nodes.select("node", "n", "sketch"), "node"), "described")
-    forest = written(_candidates(_dealt(described, False), False), "forest")
+    by_count = F.ceil(F.col("total") / CHUNK)
+    forest = written(_candidates(_dealt(described, by_count, False)), "forest")
     links = written(_confirmed(forest, keyed, nodes), "links")
     roots = written(components(links), "roots")
-    # What is still apart in a bucket, and wasn't compared yet.
-    placed = described.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What is still apart in a bucket and may be linked. The one pair of a bucket of two is settled.
+    placed = described.where("total > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("key")
-    across = _candidates(_dealt(placed.join(written(apart, "apart"), "key"), True), True)
-    more = written(across.join(forest, ["a", "b"], "left_anti"), "across")
-    more_links = written(_confirmed(more, keyed, nodes), "more-links")
+    open_members = placed.join(written(apart, "apart"), "key")
+    unsettled = written(_unsettled(_dealt(open_members, by_count, True)), "unsettled")
+    weights = written(unsettled.groupBy("key").agg(F.count("*").alias("total"), F.sum("n").alias("items_total")), "weights")
+    by_size = F.greatest(by_count, F.ceil(F.col("items_total") / CHUNK_ITEMS))
+    questions = _dealt(unsettled.join(weights, "key"), by_size, True).select("key", "part", "node", "root")
+    full = _sets(unsettled.select("node"), keyed, nodes)
+    more_links = written(_joining(questions.join(full, "node")), "more-links")
     all_roots = written(components(links.unionByName(more_links)), "all-roots")
     rooted = classes.join(all_roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")
