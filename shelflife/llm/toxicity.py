@@ -34,7 +34,7 @@ PREFIXES = (4, 5, 6)
 SAMPLE_EACH = 1500
 MOST_FEATURES = 2048
 FOLDS = 3
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 _BREAKS = not_letters()
 
@@ -86,18 +86,28 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights and a last bias of a logistic regression, by accelerated gradient descent."""
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200) -> np.ndarray:
+    """Weights and a last bias of a logistic regression, by accelerated gradient descent on
+    centred columns; the step is the inverse of the loss's largest curvature."""
     if y.min() == y.max():
         return np.append(np.zeros(x.shape[1]), 40.0 if y[0] else -40.0)
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    rate = 4.0 / max(1.0, float((x1.sum(axis=1)).max()) * 0.25)
-    w = look = np.zeros(x1.shape[1], x.dtype)
+    n, mean = len(y), x.mean(axis=0)
+    centred = np.hstack([x - mean, np.ones((n, 1), x.dtype)])
+    shrink = np.append(np.full(x.shape[1], penalty, x.dtype), x.dtype.type(0))
+    direction = np.ones(centred.shape[1], x.dtype)
+    for _ in range(20):
+        direction = centred.T @ (centred @ direction)
+        largest = np.linalg.norm(direction)
+        direction /= largest
+    rate = x.dtype.type(1 / (0.3 * largest / n + penalty))
+    w = look = np.zeros(centred.shape[1], x.dtype)
     for t in range(steps):
-        slope = x1.T @ (_sigmoid(x1 @ look) - y).astype(x.dtype) / len(y) + penalty * look * (np.arange(len(w)) < len(w) - 1)
+        slope = centred.T @ (_sigmoid(centred @ look) - y).astype(x.dtype) / n + shrink * look
         new = look - rate * slope
-        look, w = new + t / (t + 3) * (new - w), new
-    return w.astype(np.float64)
+        look, w = new + x.dtype.type(t / (t + 3)) * (new - w), new
+    weights = w.astype(np.float64)
+    weights[-1] -= weights[:-1] @ mean
+    return weights
 
 
 def _telling(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
