@@ -354,17 +354,9 @@ def _on_sources(build: Callable[[Sources], DataFrame], snapshots: bool = False)
     return run
 
 
-def registry() -> dict[str, Query]:
-    found: dict[str, Query] = {f"src_{name}": _source(name) for name in SCHEMAS}
-    found |= {
-        "promote_header": promoted,
-        "clean_names": cleaned,
-        "type_convert": converted,
-        "excel_serial_to_date": serials,
-        "build_ref_key": ref_keys,
-        "r_ifelse_semantics": ifelse_semantics,
-    }
-    on_sources: dict[str, Callable[[Sources], DataFrame]] = {
+def on_sources() -> dict[str, Callable[[Sources], DataFrame]]:
+    """The queries that read the sources of one day."""
+    return {
         "normalize_lots": _normalized,
         "supply_by_lot": lambda s: supply.supply_by_lot(_normalized(s), BASE),
         "lot_sequence": lot_sequence,
@@ -418,14 +410,30 @@ def registry() -> dict[str, Query]:
         "report_transfer": lambda s: reports.report(s, TRANSFER),
         "inspect_ref": inspect_ref,
     }
-    found |= {name: _on_sources(build) for name, build in on_sources.items()}
+
+
+def on_snapshots() -> dict[str, Callable[[Sources], DataFrame]]:
+    """The queries that read the sources of three snapshots."""
+    return {
+        "report_backfill": lambda s: reports.report(s, BACKFILL),
+        "report_backfill_defaults": lambda s: reports.report(s, BACKFILL_DEFAULTS),
+        "report_backfill_transfer": lambda s: reports.report(s, BACKFILL_TRANSFER),
+    }
+
+
+def registry() -> dict[str, Query]:
+    found: dict[str, Query] = {f"src_{name}": _source(name) for name in SCHEMAS}
     found |= {
+        "promote_header": promoted,
+        "clean_names": cleaned,
+        "type_convert": converted,
+        "excel_serial_to_date": serials,
+        "build_ref_key": ref_keys,
+        "r_ifelse_semantics": ifelse_semantics,
         "consumption_prev_shippable": _consumption("prev_shippable"),
         "consumption_same_ref": _consumption("same_ref"),
         "consumption_self_shippable": _consumption("self_shippable"),
-        "report_backfill": _on_sources(lambda s: reports.report(s, BACKFILL), snapshots=True),
-        "report_backfill_defaults": _on_sources(lambda s: reports.report(s, BACKFILL_DEFAULTS), snapshots=True),
-        "report_backfill_transfer": _on_sources(lambda s: reports.report(s, BACKFILL_TRANSFER), snapshots=True),
         "sink_report": sink_report,
     }
-    return found
+    found |= {name: _on_sources(build) for name, build in on_sources().items()}
+    return found | {name: _on_sources(build, snapshots=True) for name, build in on_snapshots().items()}
