@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,6 +162,23 @@ def sample_sources(spark: SparkSession, sf_dir: str, snapshots: bool = False) ->
     return Sources(lots, orders, directory, item_planner, item_type, forecast, mfg_locations)
 
 
+def with_second_sites(sources: Sources) -> Sources:
+    """A second manufacturing site for every fourth item, with a forecast of its own."""
+
+    def second(table: DataFrame, item: str, site: str) -> DataFrame:
+        number = F.col(item).cast("bigint")
+        return table.where(number % 4 == 0).withColumn(site, ((number + 1) % 5).cast("string"))
+
+    site = "product_manufacturing_location"
+    more = second(sources.forecast, "product_label_sku_code", f"{site}_code")
+    more = more.withColumn("adjusted_forecast_cases", F.col("adjusted_forecast_cases") * 2)
+    return replace(
+        sources,
+        mfg_locations=sources.mfg_locations.unionByName(second(sources.mfg_locations, "item", site)).distinct(),
+        forecast=sources.forecast.unionByName(more),
+    )
+
+
 def as_export(table: DataFrame, name: str) -> DataFrame:
     """A source as its export would hold it: text cells under export headers,
     `NA` for a missing value."""

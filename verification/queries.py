@@ -16,7 +16,7 @@ from shelflife.operators.hot_refs import Layout, over_parts
 from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, write_report
-from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources
+from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources, with_second_sites
 from shelflife.sources.schemas import SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
 
@@ -408,6 +408,10 @@ def on_sources() -> dict[str, Callable[[Sources], DataFrame]]:
         "report_base": lambda s: reports.report(s, BASE),
         "report_weekly": lambda s: reports.report(s, WEEKLY),
         "report_transfer": lambda s: reports.report(s, TRANSFER),
+        "report_transfer_fanout": lambda s: reports.report(with_second_sites(s), TRANSFER),
+        "transfer_flag_fanout": lambda s: transfer_flag(with_second_sites(s)),
+        "demand_share_fanout": lambda s: demand_share(with_second_sites(s)),
+        "join_daily_forecast_fanout": lambda s: join_daily_forecast(with_second_sites(s), TRANSFER),
         "inspect_ref": inspect_ref,
     }
 
