@@ -28,7 +28,7 @@ from shelflife.llm.text import pieces
 
 LENGTH = 2048
 END_TOKEN = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 #: Tokens in open windows beyond which a shard joins and cuts them early.
 MOST_OPEN = 1 << 22
 #: Sequence ids of one shard.

@@ -77,6 +77,8 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 21) -> Iter
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    # The worker may wait for other tasks; it need not keep what this one used.
+    pa.default_memory_pool().release_unused()
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -110,30 +110,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int =
     return weights
 
 
-def _telling(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Hashes whose share among positive and negative examples differs most."""
-    names, at = np.unique(hashes, return_inverse=True)
-    with_it = np.bincount(at, minlength=len(names))
-    positive = np.bincount(at, y[rows], minlength=len(names))
-    base = y.mean()
+def _telling(names: np.ndarray, with_it: np.ndarray, positive: np.ndarray, base: float, most: int) -> np.ndarray:
+    """Names whose share among positive and negative examples differs most."""
     z = (positive - with_it * base) / np.sqrt(np.maximum(with_it * base * (1 - base), 1e-9))
     score = np.where(with_it >= 3, np.abs(z), 0)
     best = np.argsort(-score, kind="stable")[:most]
     return names[best[score[best] > 3]]
 
 
+def _distinct(texts: list[bytes], at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct features of every text."""
+    rows, hashes = [np.zeros(0, np.int32)], [np.zeros(0, U64)]
+    for first in range(0, len(texts), at_once):
+        some = texts[first : first + at_once]
+        row, found = features(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        order = np.lexsort((found, row))
+        row, found = row[order], found[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+        rows.append((row[new] + first).astype(np.int32))
+        hashes.append(found[new])
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, categories: Sequence[str], most: int = MOST_FEATURES) -> Chain:
     """labels: examples x categories, 0 or 1."""
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    rows, hashes = features(data, offsets)
-    pairs = np.unique(np.stack([rows.astype(U64), hashes]), axis=1) if len(rows) else np.zeros((2, 0), U64)
-    rows, hashes = pairs[0].astype(np.int64), pairs[1]
+    rows, hashes = _distinct(texts)
+    names, at = np.unique(hashes, return_inverse=True)
+    with_it = np.bincount(at, minlength=len(names))
     share = most // len(categories)
-    known = np.unique(np.concatenate([_telling(rows, hashes, y, share) for y in labels.T.astype(float)]))
+    best = [
+        _telling(names, with_it, np.bincount(at, y[rows], minlength=len(names)), y.mean(), share)
+        for y in labels.T.astype(float)
+    ]
+    known = np.unique(np.concatenate(best))
+    del rows, hashes, names, at
     chain = Chain(list(categories), known)
-    at, ids = chain.present(data, offsets)
     x = np.zeros((len(texts), len(known)), np.float32)
-    x[at, ids] = 1
+    for first in range(0, len(texts), 200):
+        some = texts[first : first + 200]
+        at, ids = chain.present(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        x[at + first, ids] = 1
     fold = np.random.default_rng(7).integers(0, FOLDS, len(texts))
     earlier = np.zeros((len(texts), 0), np.float32)
     for y in labels.T.astype(np.float64):

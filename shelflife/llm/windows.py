@@ -365,17 +365,16 @@ def key_filter(keyed: DataFrame) -> np.ndarray:
     return words
 
 
+def _chosen(batches: Iterator[pa.RecordBatch], words: np.ndarray, wanted: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = batch.column("_slot").to_numpy()
+        yield batch.filter(pa.array(((words[slot >> 6] >> (slot & 63)) & 1 == 1) == wanted))
+
+
 def passing(docs: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
     """The rows of docs whose key may be (wanted) or can't be (not wanted) in the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for batch in batches:
-            slot = batch.column("_slot").to_numpy()
-            yield batch.filter(pa.array(((words[slot >> 6] >> (slot & 63)) & 1 == 1) == wanted))
-
-    return docs.mapInArrow(chosen, docs.schema)
+    return docs.mapInArrow(lambda batches: _chosen(batches, shared.value, wanted), docs.schema)
 
 
 def with_lists(docs: DataFrame, listed: DataFrame, name: str) -> DataFrame:
@@ -410,6 +409,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: StructTy
                 covered = [(start[t - k : t], end[t - k : t]) for k, t in zip(n, to)]
             yield cut(batch, covered)
 
-    untouched = passing(docs, bits, False).mapInArrow(removed, schema)
+    # One Python step for both: each has a worker of its own in every task.
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    untouched = docs.mapInArrow(lambda batches: removed(_chosen(batches, shared.value, False)), schema)
     touched = with_lists(passing(docs, bits, True), listed, "_spans").mapInArrow(removed, schema)
     return untouched.unionByName(touched)
