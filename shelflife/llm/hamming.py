@@ -78,7 +78,8 @@ class Index:
                 low, high = self.starts[j][keys], self.starts[j][keys + 1]
                 hit = np.flatnonzero(high > low)
                 if len(hit):
-                    places = np.concatenate([np.arange(a, b) for a, b in zip(low[hit], high[hit])])
+                    count = high[hit] - low[hit]
+                    places = np.repeat(low[hit] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
                     entries = self.order[j][places]
                     entries = entries[~seen[entries]]
                     seen[entries] = True
