@@ -1,32 +1,30 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the frequent n-grams of the training texts: those of one and two words are
+States are the n-grams of the training texts, all of them: those of one and two words are
 contexts, those of up to three are arcs. An arc carries a discounted probability; where a
 state has no arc for the next word, its failure arc leads to the state without the first word
 and costs the state's backoff weight; the last state is the root, whose arcs are all words, by add-one counts.
-One traversal from left to right carries the state and adds logarithms.
 
-Frequent is relative: a share of `WORD_SHARE` or `GRAM_SHARE` of all training tokens, so the
-same rule holds at every size and at most 1 / share n-grams can have it. This bounds what is
-sent to the executors. A frequent n-gram has frequent parts only, so counting by
-rising length loses none. All other words are known to the root alone; their counts, which
-have no bound, are looked up by a join.
+No n-gram is left out, however rare. Words, pairs and triples are written tables that grow with the input;
+discounts and backoff weights are sums by context. A token that the broadcast part doesn't settle takes its
+arc or its failure arcs by joins. Broadcast are the words that have the share `WORD_SHARE` of all training
+tokens and the triples that have `GRAM_SHARE`, at most 1 / share; the shares change no result.
 
 A null text is empty and has the end token alone. A row with a null id is scored but not
 learned from. Repeated rows count as often as they occur and get equal scores. An
 empty training table leaves only the unknown word. A row carries its own number, so
-ids needn't be unique. Words are identified by a 64-bit hash.
+ids needn't be unique. Words and pairs are identified by a 64-bit hash, triples by those of their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
@@ -42,6 +40,8 @@ TALLIED = 1 << 19
 PIECE = 1 << 19
 
 _END = U64(0x5E5E5E5E00000001)
+_START = U64(0x5E5E5E5E00000002)
+_FIRST = U64(0x9E3779B97F4A7C15)
 _BITS = 22  # of a word's or pair's number
 
 
@@ -86,36 +86,52 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-class Tally:
-    """Counts of keys, passed on as batches of bounded size."""
+def joined_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in their order."""
+    return mix(mix(first * _FIRST) + second)
+
 
-    def __init__(self):
-        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+def grams(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the pair that ends at each token, and whether a pair and a triple ends there."""
+    place = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return joined_keys(np.roll(hashes, 1), hashes), place >= 1, place >= 2
 
-    def add(self, keys: np.ndarray) -> None:
-        new, n = np.unique(keys, return_counts=True)
-        both, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
-        self.counts = np.bincount(at, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
-        self.keys = both
 
-    def batch(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(signed(self.keys)), pa.array(self.counts)], ["key", "n"])
-        self.__init__()
+class Tally:
+    """Counts of keys in parts, passed on as batches of bounded size."""
+
+    def __init__(self, parts: int = 1):
+        self.keys = np.zeros(0, U64)
+        self.parts, self.counts = np.zeros((parts, 0), U64), np.zeros(0, np.int64)
+
+    def add(self, *parts: np.ndarray) -> None:
+        keys = joined_keys(*parts[:2]) if len(parts) > 1 else parts[0]  # a third part follows from them
+        new, at, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts = np.concatenate([self.parts, np.stack([x[at] for x in parts])], axis=1)
+        both, at, to = np.unique(np.concatenate([self.keys, new]), return_index=True, return_inverse=True)
+        self.counts = np.bincount(to, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
+        self.keys, self.parts = both, self.parts[:, at]
+
+    def batch(self, names: Sequence[str]) -> pa.RecordBatch:
+        arrays = [pa.array(signed(x)) for x in self.parts]
+        out = pa.RecordBatch.from_arrays([*arrays, pa.array(self.counts)], [*names, "n"])
+        self.__init__(len(arrays))
         return out
 
 
-def count_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, n) over all texts, summed in the tasks before the shuffle."""
+def count_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], Sequence[np.ndarray]], *names: str) -> DataFrame:
+    """(names, n) over all texts, summed in the tasks before the shuffle."""
 
     def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(len(names))
         for batch in pieces(batches, PIECE):
-            tally.add(keys_of(*tokens(batch)))
+            tally.add(*keys_of(*tokens(batch)))
             if len(tally.keys) > TALLIED:
-                yield tally.batch()
-        yield tally.batch()
+                yield tally.batch(names)
+        yield tally.batch(names)
 
-    return docs.select("text").mapInArrow(tallied, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join([*(f"{x} long" for x in names), "n long"])
+    return docs.select("text").mapInArrow(tallied, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -129,43 +145,6 @@ class Automaton:
     word_fail: np.ndarray  # backoff weights of one-word states
     pair_fail: np.ndarray  # and of two-word states
 
-    def open(self) -> Automaton:
-        self.find_word, self.find_pair, self.find_triple = map(Lookup, (self.words, self.pairs, self.triples))
-        return self
-
-    def numbers(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: its word's number and the number of the pair that ends there, -1 if none."""
-        word = self.find_word.find(hashes)
-        pair = np.full(len(word), -1, np.int64)
-        second = np.flatnonzero((word[1:] >= 0) & (word[:-1] >= 0)) + 1
-        first_tokens = np.zeros(len(word) + 1, bool)
-        first_tokens[offsets] = True
-        second = second[~first_tokens[second]]
-        pair[second] = self.find_pair.find(pair_keys(word[second - 1], word[second]))
-        return word, pair
-
-    def traverse(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: its word's number, its root probability and its probability from its state (log10). The state
-        before a token is the longest of the last two words, the last word or the root
-        that exists; a missing arc takes the failure arcs in turn. A word of number -1 counts 0 at the root."""
-        word, pair = self.numbers(hashes, offsets)
-        root = np.where(word >= 0, self.word_log[word] if len(self.words) else 0.0, 0.0)
-        first = np.zeros(len(word) + 1, bool)
-        first[offsets] = True
-        first = first[:-1]
-        before = np.where(first, -1, np.roll(word, 1))
-        from_word = root + np.where(before >= 0, self.word_fail[before] if len(self.words) else 0.0, 0.0)
-        if len(self.pairs):
-            from_word = np.where(pair >= 0, self.pair_log[pair], from_word)
-            state = np.where(first, -1, np.roll(pair, 1))
-            out = from_word + np.where(state >= 0, self.pair_fail[state], 0.0)
-            at = np.flatnonzero((state >= 0) & (pair >= 0))
-            found = self.find_triple.find(pair_keys(state[at], word[at]))
-            hit = found >= 0
-            out[at[hit]] = self.triple_log[found[hit]]
-            return word, root, out
-        return word, root, from_word
-
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first.astype(U64) << U64(_BITS)) | second.astype(U64)
@@ -194,55 +173,122 @@ def weigh(words, word_n, pairs, pair_n, triples, triple_n, tokens_n: int, distin
     )
 
 
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least `least`, by key; the share bounds how many there are."""
-    table = counts.where(F.col("n") >= F.lit(least)).toArrow()
-    keys = table.column("key").to_numpy().view(np.int64).astype(np.int64).view(U64)
-    n = table.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+@dataclass
+class Hot:
+    """What every task holds: the words and triples of the shares, with log10 probabilities."""
+
+    words: np.ndarray
+    word_log: np.ndarray
+    triples: np.ndarray  # hash of the triple's pairs
+    triple_log: np.ndarray
+
+    def open(self) -> Hot:
+        self.find_word, self.find_triple = Lookup(self.words), Lookup(self.triples)
+        return self
+
+    def settle(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: whether its word is held, its root probability if so, its probability after two words
+        if the triple is held, and whether joins must find the latter."""
+        word = self.find_word.find(hashes)
+        root = np.zeros(len(hashes))
+        root[word >= 0] = self.word_log[word[word >= 0]]
+        pair, second, third = grams(hashes, offsets)
+        at = np.flatnonzero(third)
+        found = self.find_triple.find(joined_keys(pair[at - 1], pair[at]))
+        held, logs = found >= 0, np.zeros(len(hashes))
+        logs[at[held]] = self.triple_log[found[held]]
+        left = second.copy()
+        left[at[held]] = False
+        return word >= 0, root, logs, left
 
 
 @dataclass
 class Trained:
-    automaton: Automaton
+    """The model as tables, and the hot part of it. Keys are hashes, probabilities and weights log10."""
+
+    hot: Hot
     counts: DataFrame  # of all words: key, n
+    contexts: DataFrame  # of all words that another follows: key, fail
+    pairs: DataFrame  # a, b, key, n, log, fail
+    triples: DataFrame  # first, last (its pairs), n, log
     tokens: int
     distinct: int
 
+    @property
+    def automaton(self) -> Automaton:
+        """The whole automaton in memory, for small training tables."""
+        words, word_n = _gathered(self.counts, "key")
+        if len(words) > 1 << _BITS:
+            raise ValueError(f"{len(words)} words are too many to gather")
+        number = lambda known, keys: np.searchsorted(known, keys)
+        a, b, keys, pair_n = _gathered(self.pairs, "a", "b", "key")
+        pairs = pair_keys(number(words, a), number(words, b))
+        order = np.argsort(keys)
+        first, last, triple_n = _gathered(self.triples, "first", "last")
+        state, lower = (order[np.searchsorted(keys, x, sorter=order)] for x in (first, last))
+        triples = pair_keys(state, number(words, b[lower]))
+        return weigh(words, word_n, pairs, pair_n, triples, triple_n, self.tokens, self.distinct)
+
+
+def _gathered(counts: DataFrame, *keys: str) -> list[np.ndarray]:
+    """The key columns and n, in the order of the keys."""
+    table = counts.select(*keys, "n").toArrow()
+    columns = [table.column(c).to_numpy().astype(np.int64) for c in (*keys, "n")]
+    columns[:-1] = [c.view(U64) for c in columns[:-1]]
+    order = np.lexsort(columns[-2::-1])
+    return [c[order] for c in columns]
+
+
+def _failing(arcs: DataFrame, context: str, lower: Column) -> DataFrame:
+    """(context, total, fail) of arcs with counts n and the lower state's probabilities."""
+    found = arcs.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("arcs"), F.sum(lower).alias("lower"))
+    left = F.greatest(F.lit(DISCOUNT) * F.col("arcs") / F.col("total"), F.lit(1e-9))
+    fail = F.log10(left / F.greatest(1 - F.col("lower"), F.lit(1e-9)))
+    return found.select(context, "total", fail.alias("fail"))
+
 
 def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Trained:
     """Counts over all rows of docs, in one pass for each length of n-gram."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    counts = written(count_keys(docs, lambda hashes, offsets: hashes), "lm-words")
+    text_batches(docs.sparkSession)
+    counts = written(count_keys(docs, lambda hashes, offsets: [hashes], "key"), "lm-words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    words, word_n = _frequent(counts, word_share * n)
-    none = np.zeros(0, U64), np.zeros(0, np.int64)
-    so_far = spark.sparkContext.broadcast(weigh(words, word_n, *none, *none, n, v))
-
-    def pairs_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        word = opened(so_far).find_word.find(hashes)
-        inside = (word[1:] >= 0) & (word[:-1] >= 0)
-        inside[offsets[1:-1] - 1] = False
-        at = np.flatnonzero(inside)
-        return pair_keys(word[at], word[at + 1])
-
-    pairs, pair_n = _frequent(count_keys(docs, pairs_of), gram_share * n)
-    with_pairs = spark.sparkContext.broadcast(weigh(words, word_n, pairs, pair_n, *none, n, v))
 
-    def triples_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        word, pair = opened(with_pairs).numbers(hashes, offsets)
-        at = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0))
-        return pair_keys(pair[at], word[at + 1])
-
-    triples, triple_n = _frequent(count_keys(docs, triples_of), gram_share * n)
-    return Trained(weigh(words, word_n, pairs, pair_n, triples, triple_n, n, v), counts, n, v)
-
-
-def opened(shared) -> Automaton:
-    """The broadcast automaton with its tables, made once in each worker."""
+    def pairs_of(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        pair, second, _ = grams(hashes, offsets)
+        at = np.flatnonzero(second)
+        return [hashes[at - 1], hashes[at], pair[at]]
+
+    def triples_of(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        pair, _, third = grams(hashes, offsets)
+        at = np.flatnonzero(third)
+        return [pair[at - 1], pair[at]]
+
+    # Totals are sums over the arcs: every token but the last of a text is followed by one.
+    arc = lambda: F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("log")
+    pair_n = written(count_keys(docs, pairs_of, "a", "b", "key"), "lm-pair-counts")
+    word_n = counts.select(F.col("key").alias("b"), ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("root"))
+    contexts = written(_failing(pair_n.join(word_n, "b"), "a", F.col("root")), "lm-contexts")
+    pair_log = written(pair_n.join(contexts, "a").select("a", "b", "key", "n", arc()), "lm-pair-logs")
+    triple_n = written(count_keys(docs, triples_of, "first", "last"), "lm-triple-counts")
+    lower = pair_log.select(F.col("key").alias("last"), "log")
+    states = written(_failing(triple_n.join(lower, "last"), "first", F.pow(F.lit(10.0), "log")), "lm-states")
+    fail = states.select(F.col("first").alias("key"), "fail")
+    pairs = written(pair_log.join(fail, "key", "left").withColumn("fail", F.coalesce("fail", F.lit(0.0))), "lm-pairs")
+    triples = written(triple_n.join(states, "first").select("first", "last", "n", arc()), "lm-triples")
+
+    words = counts.where(F.col("n") >= F.lit(word_share * n)).toArrow()
+    hot = triples.where(F.col("n") >= F.lit(gram_share * n)).toArrow()
+    keys = lambda table, name: table.column(name).to_numpy().astype(np.int64).view(U64)
+    found = Hot(
+        keys(words, "key"), np.log10((words.column("n").to_numpy().astype(np.int64) + 1) / (n + v + 1)),
+        joined_keys(keys(hot, "first"), keys(hot, "last")), hot.column("log").to_numpy().astype(float),
+    )
+    return Trained(found, counts, contexts.select(F.col("a").alias("key"), "fail"), pairs, triples, n, v)
+
+
+def opened(shared) -> Hot:
+    """The broadcast part with its tables, made once in each worker."""
     model = shared.value
     return model if hasattr(model, "find_word") else model.open()
 
@@ -251,38 +297,91 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
     """docs' columns but text, with a struct `lm`: n_tokens, n_known, base_score, score."""
     text_batches(docs.sparkSession)
     box = boxed(docs, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
+    shared = docs.sparkSession.sparkContext.broadcast(model.hot)
 
-    def traversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, row = opened(shared), TaskContext.get().partitionId() << 36
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, row = opened(shared), TaskContext.get().partitionId() << 36
         for batch in pieces(batches, PIECE):
             n = batch.num_rows
             hashes, offsets = tokens(batch)
-            word, root, logs = automaton.traverse(hashes, offsets)
-            rare = word < 0
+            known, root, logs, left = hot.settle(hashes, offsets)
+            logs[offsets[:-1]] = root[offsets[:-1]]  # the first token starts at the root
             sums = lambda x: np.add.reduceat(x, offsets[:-1])
-            ends = np.append(0, np.cumsum(sums(rare.astype(np.int32)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(hashes[rare])))
+
+            def lists(values: np.ndarray, which: np.ndarray) -> pa.Array:
+                ends = np.append(0, np.cumsum(sums(which.astype(np.int32)))).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(values[which])))
+
             counted = [pa.array(x) for x in (np.arange(row, row + n), np.diff(offsets), sums(root), sums(logs))]
-            yield pa.RecordBatch.from_arrays([batch.column("_box"), *counted, lists], schema.names)
+            every = lists(hashes, np.ones(len(hashes), bool))
+            arrays = [batch.column("_box"), *counted, lists(hashes, ~known), every]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
             row += n
 
     schema = StructType([box.schema["_box"]])
     for name, kind in (("row", LongType()), ("tokens", LongType()), ("base", DoubleType()), ("score", DoubleType())):
         schema = schema.add(name, kind)
-    schema = schema.add("rare", ArrayType(LongType()))
-    passed = written(box.mapInArrow(traversed, schema), "lm-passed")
-    rare = passed.select("row", F.explode("rare").alias("key"))
-    each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))
-    looked_up = rare.join(model.counts, "key", "left").groupBy("row").agg(
-        F.sum(each).alias("more"), F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias("unknown")
+    schema = schema.add("rare", ArrayType(LongType())).add("words", ArrayType(LongType()))
+    passed = written(box.mapInArrow(settled, schema), "lm-passed")
+
+    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = opened(shared)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                lists = part.column("words")
+                hashes = lists.flatten().to_numpy().astype(np.int64).view(U64)
+                sizes = lists.value_lengths().to_numpy().astype(np.int64)
+                offsets = np.append(0, np.cumsum(sizes))
+                pair, _, third = grams(hashes, offsets)
+                to = np.flatnonzero(hot.settle(hashes, offsets)[3])
+                rows = np.repeat(part.column("row").to_numpy(), sizes)[to]
+                first, b = pair[to - 1], hashes[to - 1]
+                lone = ~third[to]  # no pair ends before a text's second token
+                first[lone] = joined_keys(np.full(lone.sum(), _START, U64), b[lone])
+                arrays = [pa.array(rows), *(pa.array(signed(x)) for x in (first, pair[to], b, hashes[to]))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "first", "last", "b", "c"])
+
+    root = lambda n: F.log10((F.coalesce(n, F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))
+    open_ = passed.select("row", "words").mapInArrow(unsettled, "row long, first long, last long, b long, c long")
+    third = written(
+        open_.join(model.triples.select("first", "last", "log"), ["first", "last"], "left").select(
+            "row", "log", *[F.when(F.col("log").isNull(), F.col(c)).alias(c) for c in ("first", "last", "b", "c")]
+        ),
+        "lm-third",
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    state = model.pairs.select(F.col("key").alias("first"), "fail")
+    arc = model.pairs.select(F.col("key").alias("last"), "log")
+    second = written(
+        third.where("log IS NULL").drop("log").join(state, "first", "left").join(arc, "last", "left")
+        .select("row", zero("fail").alias("fail"), "log", "b", "c"),
+        "lm-second",
+    )
+    context = model.contexts.select(F.col("key").alias("b"), F.col("fail").alias("more"))
+    word = model.counts.select(F.col("key").alias("c"), "n")
+    first = second.where("log IS NULL").join(context, "b", "left").join(word, "c", "left")
+    # The first token of a text starts at the root; a rare one counts nothing so far.
+    lead = passed.where(F.get("rare", F.lit(0)) == F.get("words", F.lit(0))).select("row", F.col("words")[0].alias("c"))
+    lead = lead.join(word, "c", "left")
+    arcs = (
+        third.where("log IS NOT NULL").select("row", "log")
+        .unionAll(second.where("log IS NOT NULL").select("row", F.col("fail") + F.col("log")))
+        .unionAll(first.select("row", F.col("fail") + zero("more") + root(F.col("n"))))
+        .unionAll(lead.select("row", root(F.col("n"))))
+        .groupBy("row").agg(F.sum("log").alias("arcs"))
+    )
+
+    rare = passed.select("row", F.explode("rare").alias("key")).join(model.counts, "key", "left")
+    looked_up = rare.groupBy("row").agg(
+        F.sum(root(F.col("n"))).alias("more"), F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias("unknown")
     )
     more = F.coalesce("more", F.lit(0.0))
     result = F.struct(
         F.col("tokens").alias("n_tokens"),
         (F.col("tokens") - F.coalesce("unknown", F.lit(0))).alias("n_known"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + zero("arcs")).alias("score"),
     )
-    found = passed.drop("rare").join(looked_up, "row", "left").withColumn("lm", result)
+    found = passed.drop("rare", "words").join(looked_up, "row", "left").join(arcs, "row", "left").withColumn("lm", result)
     return unboxed(found, [c for c in docs.columns if c not in ("text", "lm")], (), "lm")

@@ -143,6 +143,53 @@ def test_traversal_equals_the_automaton(spark, shares):
     assert got == expected
 
 
+def backoff(counts, n, v, history, word):
+    """log10 probability of a word after a history, from the counts of all n-grams."""
+    root = lambda w: (counts.get((w,), 0) + 1) / (n + v + 1)
+
+    def p(state, w):
+        if not state:
+            return root(w)
+        arcs = counts.get(("after", *state))
+        if not arcs:
+            return p(state[1:], w)
+        total = sum(arcs.values())
+        if w in arcs:
+            return (arcs[w] - 0.5) / total
+        left = max(0.5 * len(arcs) / total, 1e-9)
+        return left / max(1 - sum(p(state[1:], x) for x in arcs), 1e-9) * p(state[1:], w)
+
+    return math.log10(p(history, word))
+
+
+@pytest.mark.parametrize("shares", [(2.0**-22, 2.0**-20), (1 / 300, 1 / 200), (2, 2)])
+def test_no_rare_gram_is_left_out(spark, shares):
+    rows = odd_texts() + [(200 + k, "the cat sat on the mat and the cat ran " * (k % 3 + 1)) for k in range(12)]
+    rows += [(300, "rare words once"), (None, "rare words once more"), (None, "other rare words"), (None, "words once more")]
+    texts = [[*words(lower(t)), None] for _, t in rows]
+    counts = {}
+    for (i, _), text in zip(rows, texts):
+        if i is None:
+            continue
+        for k, word in enumerate(text):
+            counts[(word,)] = counts.get((word,), 0) + 1
+            for m in (1, 2):
+                if k >= m:
+                    arcs = counts.setdefault(("after", *text[k - m : k]), {})
+                    arcs[word] = arcs.get(word, 0) + 1
+    v = sum(len(key) == 1 for key in counts)
+    n = sum(c for key, c in counts.items() if len(key) == 1)
+    docs = table(spark, rows)
+    model = backoff_lm.train(docs.where("doc_id IS NOT NULL"), *shares)
+    got = sorted((str(r["doc_id"]), r["lm"]["n_tokens"], r["lm"]["score"]) for r in backoff_lm.score(docs, model).collect())
+    expected = sorted(
+        (str(i), len(t), sum(backoff(counts, n, v, tuple(t[max(0, k - 2) : k]), w) for k, w in enumerate(t)))
+        for (i, _), t in zip(rows, texts)
+    )
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected])
+
+
 def test_states_are_normalised(spark):
     docs = table(spark, [(k, "a b a c a b d b a") for k in range(5)] + [(9, "b a d c")])
     model = backoff_lm.train(docs)
