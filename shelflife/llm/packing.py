@@ -9,13 +9,15 @@ windows are joined and cut again, which leaves one partially filled window at mo
 
 A null or empty text is one piece with the end token. Repeated rows and repeated
 doc_ids are packed one by one. An empty table gives no pieces. Only doc_id and
-text are read, so other columns may have any names. A special token's name in a
-text is ordinary text.
+text are read, so other columns may have any names. The name of an added
+token in a text is that token with json_encoder, and ordinary text with public_encoder.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,9 +44,10 @@ class WordEncoder:
 
     The vocabulary's pattern cuts a text before every single space between two other
     characters, so words are encoded one by one and remembered. A text
-    with other white space next to a space is encoded whole."""
+    with other white space next to a space is encoded whole. Names of `added`
+    tokens are cut out first, the longest at each place, and stand for their ids."""
 
-    def __init__(self, ranks_file: str, pattern: str, cached: int = CACHED_WORDS):
+    def __init__(self, ranks_file: str, pattern: str, cached: int = CACHED_WORDS, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_file, "rb") as lines:
@@ -53,6 +56,8 @@ class WordEncoder:
         self._ids = coding.encode_ordinary
         self._cached = cached
         self._words: dict[str, bytes | None] = {}
+        self._added = {name: np.array([i], "<u4").tobytes() for name, i in (added or {}).items()}
+        self._names = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
@@ -66,6 +71,12 @@ class WordEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not any(name in text for name in self._added):
+            return self._between(text)
+        parts = self._names.split(text)
+        return b"".join(self._added[x] if k % 2 else self._between(x) for k, x in enumerate(parts))
+
+    def _between(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return self._encode(text)
@@ -221,3 +232,15 @@ def public_encoder() -> WordEncoder:
 
     return WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
+
+def json_encoder() -> WordEncoder:
+    """The encoder whose ids are those of `tokenizers` with byte_bpe_50k.json and add_special_tokens=False,
+    which finds the file's added tokens inside a text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that depend on what is beside them aren't built")
+    ids = {token["content"]: token["id"] for token in added}
+    return WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=ids)

@@ -14,7 +14,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(documents(spark, sf_dir), packing.public_encoder)
+    found = packing.pack(documents(spark, sf_dir), packing.json_encoder)
     return found.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset",

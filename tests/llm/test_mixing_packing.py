@@ -73,6 +73,30 @@ def test_pack_query_round_trip(spark):
         assert at == len(ids)
 
 
+def test_added_tokens_are_found_in_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", f"x {end} y", end, f" {end}  y\n{end}", end * 3, f"{end[:-1]} {end}>", "no end", "", f"<{end} 's{end}'s"]
+    texts += [t for _, t in odd_texts() if t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    for found in (QUERIES["op1_pack_windows"](spark, str(tmp_path)), stage(spark, docs, str(tmp_path))):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["doc_id"], []).append(r)
+        for i, text in enumerate(texts):
+            ids, at = np.array([*coder.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+            for r in sorted(got[i], key=lambda r: r["start"]):
+                assert (r["start"], r["doc_tokens"]) == (at, len(ids))
+                assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+                at += r["length"]
+            assert at == len(ids)
+
+
 def test_items_go_where_the_sum_of_squares_is_least():
     rng = np.random.default_rng(5)
     levels, counts = packing.Levels(16), Counter()
