@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, quality, seed_extend, superminhash, toxicity
+from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, quality, seed_extend, site_templates, superminhash, toxicity
 from shelflife.llm.sampling import text_crc
 
 
@@ -86,6 +86,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = site_templates.extract_text(pages)
+    return found.select("page_id", "url", "extracted.*")
+
+
 QUERIES = {
     "op1_pack_windows": op1_pack_windows,
     "op2_hamming_search": op2_hamming_search,
@@ -97,4 +103,5 @@ QUERIES = {
     "op8_backoff_lm": op8_backoff_lm,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
+    "op12_site_templates": op12_site_templates,
 }
