@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, quality, seed_extend, site_templates, superminhash, toxicity
+from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, quality, seed_extend, site_templates, superminhash, token_alignment, toxicity
 from shelflife.llm.sampling import text_crc
 
 
@@ -92,6 +92,12 @@ def op12_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "extracted.*")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps"]
+    return found.select("doc_id", *[f"alignment.{c}" for c in names])
+
+
 QUERIES = {
     "op1_pack_windows": op1_pack_windows,
     "op2_hamming_search": op2_hamming_search,
@@ -104,4 +110,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
     "op12_site_templates": op12_site_templates,
+    "op13_token_alignment": op13_token_alignment,
 }
