@@ -130,9 +130,61 @@ SELECT d.doc_id, coalesce(any_value(size), 0)::BIGINT AS n_shingles, min(o.doc_i
 FROM d LEFT JOIN n USING (r) JOIN reached USING (r) JOIN d o ON o.r = other GROUP BY d.r, d.doc_id
 """
 
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, coalesce(text, '') AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos, k,
+         len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM t
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))
+         ), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM numbered)
+), heads AS (
+  SELECT c.conv_id, n.pos AS depth, n.k, n.words FROM convs c JOIN numbered n ON n.conv_id = c.base AND n.pos <= c.h
+), lead_in AS (
+  SELECT conv_id, count(*) AS m FROM heads GROUP BY conv_id
+), turns AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT n.conv_id, n.pos - c.h + coalesce(m, 0), n.k, n.words
+  FROM numbered n JOIN convs c USING (conv_id) LEFT JOIN lead_in USING (conv_id) WHERE n.pos > c.h
+), paths AS (
+  SELECT conv_id, depth, words, md5(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS p,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS last
+  FROM turns
+  UNION ALL
+  SELECT c.conv_id, 0, 0, '', t.conv_id IS NULL FROM convs c LEFT JOIN (SELECT DISTINCT conv_id FROM turns) t USING (conv_id)
+), nodes AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM paths GROUP BY depth, p
+), edges AS (
+  SELECT n.*, up.p AS parent, parent.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN paths up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1
+               LEFT JOIN nodes parent ON parent.depth = up.depth AND parent.p = up.p
+), kids AS (
+  SELECT depth - 1 AS depth, parent AS p, count(*) AS n_children FROM edges WHERE depth > 0 GROUP BY ALL
+), own AS (
+  SELECT e.*, coalesce(n_children, 0) AS n_children FROM edges e LEFT JOIN kids k USING (depth, p)
+), sums AS (
+  SELECT up.depth, up.p, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * own.words) AS saved_tokens
+  FROM own JOIN paths up ON up.conv_id = own.conv_id AND up.depth <= own.depth GROUP BY up.depth, up.p
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM own JOIN sums USING (depth, p)
+"""
+
 ORACLES = {
     "op3_quality_lines": OP3,
     "op4_seed_extend": OP4,
     "op7_superminhash": OP7,
     "op10_mix_sources": OP10,
+    "op11_prefix_trie": OP11,
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, quality, seed_extend, site_templates, superminhash, token_alignment, toxicity
+from shelflife.llm import backoff_lm, bucket_refine, hamming, langid, mixing, packing, prefix_trie, quality, seed_extend, site_templates, superminhash, token_alignment, toxicity
 from shelflife.llm.sampling import text_crc
+from shelflife.llm.scratch import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    nodes = prefix_trie.prefix_trie(*prefix_trie.rebuilt_prefixes(written(turns, "turns")))
+    return nodes.drop("n_ends")
+
+
 def op12_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = site_templates.extract_text(pages)
@@ -109,6 +116,7 @@ QUERIES = {
     "op8_backoff_lm": op8_backoff_lm,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_site_templates": op12_site_templates,
     "op13_token_alignment": op13_token_alignment,
 }
