@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that have one of so many equal shares of all rows, or more, are looked up by broadcast.
 SHARES = 1 << 12
 
 
-def join_uneven(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: Column | int) -> DataFrame:
+def join_uneven(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
     """Inner join of `rows` with `table`, unique on `keys`, whose column `weight` is the number of rows of each key.
 
     The weights sum to `total` at most, so no more than SHARES keys have total / SHARES rows or more: those
