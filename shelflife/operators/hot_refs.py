@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelflife.sources.shared import shared_folder
+
 BLOCK = "lot_block"
 
 @dataclass(frozen=True)
@@ -118,8 +120,5 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, which all executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(spark))
     return context.getCheckpointDir()

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelflife.functions import composite_key, divide, if_else, percent_text
 from shelflife.operators.hot_refs import Layout
+from shelflife.operators.repeats import repeat_rows
 from shelflife.params import ReportParams
 
 
@@ -52,63 +54,84 @@ def join_mfg_location(items: DataFrame, mfg: DataFrame, params: ReportParams) ->
     )
 
 
-def transfer_flag(items: DataFrame, attrs: DataFrame, params: ReportParams) -> DataFrame:
+def site_totals(items: DataFrame, pivot_mfg: DataFrame, params: ReportParams) -> DataFrame:
+    """What the site columns need, on the rows of `items`: the item-location's forecast sites (`_sites`), those that also serve
+    others (`_shared`) or aren't the item-location itself (`_foreign`), and the current month's demand by item-location and by site.
+
+    Items and forecast pairs go through one shuffle by site and one by item-location. Sums over the two partitionings give
+    all levels at once; no level is aggregated and joined back."""
+    pairs = pivot_mfg.select(
+        *params.ref_keys, F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("mfg_loc"), "mfg_ref", "current_month",
+        F.lit(1).alias("_pair"),
+    )
+    none = {"current_month": F.lit(None).cast("double"), "_pair": F.lit(0)}
+    rows = items.select(*params.ref_keys, "sku", "mfg_loc", "mfg_ref").withColumns(none).unionByName(pairs)
+    site, ref = W.partitionBy(*params.snapshot_keys, "mfg_ref"), W.partitionBy(*params.ref_keys)
+    rows = rows.withColumns(
+        {"_served": F.sum("_pair").over(site), "sum_of_current_month_mfg_ref": F.sum("current_month").over(site)}
+    )
+    is_pair = F.col("_pair") == 1
+    rows = rows.withColumns(
+        {
+            "_sites": F.sum("_pair").over(ref),
+            "_shared": F.count(F.when(is_pair & (F.col("_served") > 1), 1)).over(ref),
+            "_foreign": F.count(F.when(is_pair & (F.col("mfg_ref") != F.col("ref")), 1)).over(ref),
+            "sum_of_current_month_ref": F.sum("current_month").over(ref),
+        }
+    )
+    return rows.where("_pair = 0").drop("_pair", "_served", "current_month")
+
+
+def transfer_flag(totals: DataFrame) -> DataFrame:
     """`Y` if the item-location's site also serves other item-locations.
 
     The report matches "is the site itself" and "number served" separately, so
     an item-location with k sites has k * k flags. How many of them are `Y`
     follows from three counts, so no pairs are formed: every row of a shared
     site is `Y` with all k, and one of an unshared site with the foreign ones.
+    The flags come as two rows at most, with their number in `times`.
     """
-    counts = attrs.groupBy(*params.ref_keys).agg(
-        F.count("*").alias("_sites"),
-        F.count(F.when(F.col("count_of_mfg_ref") > 1, 1)).alias("_shared"),
-        F.count(F.when(F.col("mfg_equal_ref") == 0, 1)).alias("_foreign"),
-    )
     sites, shared = F.col("_sites"), F.col("_shared")
     yes = shared * sites + (sites - shared) * F.col("_foreign")
-    flags = F.concat(
-        F.array_repeat(F.lit("Y"), yes.cast("int")), F.array_repeat(F.lit("N"), (sites * sites - yes).cast("int"))
-    )
-    return (
-        items.join(counts, list(params.ref_keys), "left")
-        .withColumn("xfer_to_other_loc", F.explode(F.coalesce(flags, F.array(F.lit("N")))))
-        .drop("_sites", "_shared", "_foreign")
-    )
+    counted = [
+        F.struct(F.lit(flag).alias("xfer_to_other_loc"), times.cast("bigint").alias("times"))
+        for flag, times in (("Y", yes), ("N", F.when(sites == 0, 1).otherwise(sites * sites - yes)))
+    ]
+    flags = F.inline(F.filter(F.array(*counted), lambda f: f["times"] > 0))
+    kept = [c for c in totals.columns if c not in ("_sites", "_shared", "_foreign")]
+    return totals.select(*kept, flags)
 
 
-def demand_share(items: DataFrame, by_ref: DataFrame, by_mfg_ref: DataFrame, params: ReportParams) -> DataFrame:
+def demand_share(totals: DataFrame) -> DataFrame:
     share = divide(F.col("sum_of_current_month_ref"), F.col("sum_of_current_month_mfg_ref"))
-    return (
-        items.join(by_ref, list(params.ref_keys), "left")
-        .join(by_mfg_ref, [*params.snapshot_keys, "mfg_ref"], "left")
-        .withColumn("percent_of_overall_demand", percent_text(share))
-    )
+    return totals.withColumn("percent_of_overall_demand", percent_text(share))
 
 
 def site_columns(lots: DataFrame, mfg: DataFrame, pivot_mfg: DataFrame, params: ReportParams) -> DataFrame:
-    """The site columns per item-location, as an array of the rows that each
-    of its lots gets. They do not depend on the lot, so they are worked out on
-    item-locations and joined to the ledger once."""
+    """The site columns per item-location and item number, as rows with the number of `times` that each repeats a lot. They do
+    not depend on the lot, so they are worked out on item-locations and joined to the ledger once."""
     items = join_mfg_location(item_locations(lots, params), mfg, params)
-    items = transfer_flag(items, transfer_attrs(pivot_mfg, params), params)
-    pairs = demand_by_pair(pivot_mfg, params)
-    items = demand_share(items, demand_by_ref(pairs, params), demand_by_mfg_ref(pairs, params), params)
-    row = F.struct(F.col("sku").alias("_sku"), "mfg_loc", "xfer_to_other_loc", "percent_of_overall_demand")
-    return items.groupBy(*params.ref_keys).agg(F.collect_list(row).alias("_sites"))
+    rows = transfer_flag(demand_share(site_totals(items, pivot_mfg, params)))
+    return rows.select(*params.ref_keys, "sku", "mfg_loc", "xfer_to_other_loc", "percent_of_overall_demand", "times")
 
 
 def join_site_columns(ledger: DataFrame, sites: DataFrame, layout: Layout) -> DataFrame:
-    """Attach `site_columns` on the key the ledger is already partitioned by,
-    and pick the rows of the lot's own item number after the join: with the
-    item number in the join key the whole ledger would be shuffled again."""
-    columns = ledger.columns
-    own = F.filter("_sites", lambda site: site["_sku"] == F.coalesce("sku", F.lit("NA")))
-    joined = layout.join(ledger, sites).withColumn("_own", own)
+    """Attach `site_columns` on the key the ledger is already partitioned by. The lot's own item number is matched by a range,
+    not by an equality: with the item number in the join key the whole ledger would be shuffled again. Rows are
+    repeated last, after the join."""
+    names = ("mfg_loc", "xfer_to_other_loc", "percent_of_overall_demand", "times")
+    side = layout.align(sites.withColumnRenamed("sku", "_sku"))
+    side = side.select(*[F.col(c).alias(f"_at_{c}") for c in layout.partition], "_sku", *names)
+    own = F.coalesce(F.col("sku"), F.lit("NA"))
+    on = (F.col("_sku") >= own) & (F.col("_sku") <= own)
+    for column in layout.partition:
+        on = on & (F.col(column) == F.col(f"_at_{column}"))
     # A lot without any site row stays, with what the report shows for none.
-    return joined.select(*columns, F.inline_outer("_own")).withColumns(
+    joined = ledger.join(side, on, "left").withColumns(
         {
             "xfer_to_other_loc": F.coalesce("xfer_to_other_loc", F.lit("N")),
             "percent_of_overall_demand": F.coalesce("percent_of_overall_demand", F.lit("0%")),
+            "times": F.coalesce("times", F.lit(1)),
         }
-    ).drop("_sku")
+    )
+    return repeat_rows(joined.select(*ledger.columns, *names), "times")

@@ -13,6 +13,7 @@ from shelflife.operators import demand, dims, ledger, projection, supply, transf
 from shelflife.operators.hot_refs import Layout, Part, over_parts, rows_per_key, split_hot_refs
 from shelflife.params import ReportParams
 from shelflife.sources.readers import Sources
+from shelflife.sources.shared import stored
 
 # Report columns in order, with their display headers.
 BASE_HEADERS = {
@@ -68,7 +69,17 @@ def aggregated_lots(sources: Sources, params: ReportParams) -> DataFrame:
     return supply.as_ledger(supply.supply_by_lot(supply.normalize_lots(sources.inventory_lots, params), params))
 
 
-def lot_parts(sources: Sources, params: ReportParams, described: bool = True) -> list[Part]:
+def site_forecast(sources: Sources, params: ReportParams) -> DataFrame | None:
+    """The forecast per item-location and site, as a table in the shared folder: rates, site columns and the
+    count of sites read it, so the forecast itself is read once. None without sites."""
+    if params.horizon_rule != "transfer":
+        return None
+    return stored(demand.forecast_pivot_mfg(sources.forecast, params), "forecast-by-site")
+
+
+def lot_parts(
+    sources: Sources, params: ReportParams, described: bool = True, pivot_mfg: DataFrame | None = None
+) -> list[Part]:
     """Aggregated and (by default) described lots, with the item-locations
     that are too large for one task in a part of their own."""
     counted = supply.normalize_lots(sources.inventory_lots, params).select(*params.ref_keys)
@@ -79,8 +90,9 @@ def lot_parts(sources: Sources, params: ReportParams, described: bool = True) ->
         repeats = [planners, dims.item_type_dim(sources.item_type, params)]
     if described and params.horizon_rule == "transfer":
         # A rate for each of k sites, and k * k flags for each of the site rows.
-        pairs = demand.normalize_forecast(sources.forecast, params).select(*params.ref_keys, "mfg_ref").distinct()
-        sites = pairs.groupBy(*params.ref_keys).agg(F.pow(F.count("*"), F.lit(3)).alias("times"))
+        if pivot_mfg is None:
+            pivot_mfg = demand.forecast_pivot_mfg(sources.forecast, params)
+        sites = pivot_mfg.groupBy(*params.ref_keys).agg(F.pow(F.count("*"), F.lit(3)).alias("times"))
         repeats += [sites, dims.mfg_dim(sources.mfg_locations, params)]
     return split_hot_refs(
         aggregated_lots(sources, params),
@@ -129,24 +141,26 @@ def allocated_lots(lots: DataFrame, sources: Sources, params: ReportParams, layo
     return ledger.ending_inventory(ledger.allocate_orders(lots))
 
 
-def net_forecast(sources: Sources, params: ReportParams) -> DataFrame:
-    pivot = demand.forecast_pivot_mfg(sources.forecast, params)
+def net_forecast(sources: Sources, params: ReportParams, pivot_mfg: DataFrame | None = None) -> DataFrame:
+    pivot = demand.forecast_pivot_mfg(sources.forecast, params) if pivot_mfg is None else pivot_mfg
     return demand.daily_forecast_transfer(
         demand.forecast_net_of_orders(pivot, open_orders(sources, params), params), params
     )
 
 
-def daily_rates(sources: Sources, params: ReportParams) -> DataFrame:
+def daily_rates(sources: Sources, params: ReportParams, pivot_mfg: DataFrame | None = None) -> DataFrame:
     if params.horizon_rule == "transfer":
-        return net_forecast(sources, params)
+        return net_forecast(sources, params, pivot_mfg)
     return demand.daily_forecast(demand.forecast_pivot(sources.forecast, params), params)
 
 
-def projected_lots(lots: DataFrame, sources: Sources, params: ReportParams, layout: Layout) -> DataFrame:
+def projected_lots(
+    lots: DataFrame, sources: Sources, params: ReportParams, layout: Layout, pivot_mfg: DataFrame | None = None
+) -> DataFrame:
     """Allocation and projection. A rate per item-location cannot repeat lots,
     so it is joined first and the whole ledger is sorted once. With a rate per
     manufacturing site a lot repeats, but only after the allocation."""
-    daily = daily_rates(sources, params)
+    daily = daily_rates(sources, params, pivot_mfg)
     if params.horizon_rule == "transfer":
         lots = allocated_lots(lots, sources, params, layout)
         lots = projection.join_daily_forecast(lots, daily, layout)
@@ -171,17 +185,14 @@ def report(sources: Sources, params: ReportParams) -> DataFrame:
     the manufacturing-location source the transfer report (29 columns)."""
     if params.horizon_rule != "transfer":
         return _display(full_ledger(sources, params), BASE_HEADERS, params)
-    sites = transfer.site_columns(
-        supply.normalize_lots(sources.inventory_lots, params),
-        dims.mfg_dim(sources.mfg_locations, params),
-        demand.forecast_pivot_mfg(sources.forecast, params),
-        params,
-    )
+    pivot = site_forecast(sources, params)
+    lots = supply.normalize_lots(sources.inventory_lots, params)
+    sites = transfer.site_columns(lots, dims.mfg_dim(sources.mfg_locations, params), pivot, params)
 
     def with_sites(lots: DataFrame, layout: Layout) -> DataFrame:
-        return transfer.join_site_columns(projected_lots(lots, sources, params, layout), sites, layout)
+        return transfer.join_site_columns(projected_lots(lots, sources, params, layout, pivot), sites, layout)
 
-    return _display(over_parts(lot_parts(sources, params), with_sites), TRANSFER_HEADERS, params)
+    return _display(over_parts(lot_parts(sources, params, pivot_mfg=pivot), with_sites), TRANSFER_HEADERS, params)
 
 
 def inspect_ref(sources: Sources, params: ReportParams, ref: str) -> DataFrame:

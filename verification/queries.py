@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,25 +12,16 @@ from pyspark.sql import types as T
 from shelflife.functions import composite_key, if_else, serial_to_date, strip_dashes
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
 from shelflife.operators.hot_refs import Layout, over_parts
+from shelflife.operators.repeats import repeat_rows
 from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, write_report
 from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources, with_second_sites
 from shelflife.sources.schemas import SCHEMAS
+from shelflife.sources.shared import shared_folder
 from shelflife.sources.staging import clean_names, promote_header, type_convert
 
 
-def session_folder(spark: SparkSession) -> str:
-    """The shared folder of the session. A local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="shelflife-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 BASE = ReportParams.base(AS_OF)
@@ -299,10 +289,8 @@ def _items(sources: Sources) -> DataFrame:
 
 
 def transfer_flag(sources: Sources) -> DataFrame:
-    attrs = transfer.transfer_attrs(_pivot_mfg(sources), TRANSFER)
-    return transfer.transfer_flag(_items(sources), attrs, TRANSFER).select(
-        "ref", "mfg_loc", "xfer_to_other_loc"
-    )
+    flags = transfer.transfer_flag(transfer.site_totals(_items(sources), _pivot_mfg(sources), TRANSFER))
+    return repeat_rows(flags.select("ref", "mfg_loc", "xfer_to_other_loc", "times"), "times")
 
 
 def demand_rollups(sources: Sources) -> DataFrame:
@@ -319,13 +307,7 @@ def demand_rollups(sources: Sources) -> DataFrame:
 
 
 def demand_share(sources: Sources) -> DataFrame:
-    pairs = transfer.demand_by_pair(_pivot_mfg(sources), TRANSFER)
-    shares = transfer.demand_share(
-        _items(sources),
-        transfer.demand_by_ref(pairs, TRANSFER),
-        transfer.demand_by_mfg_ref(pairs, TRANSFER),
-        TRANSFER,
-    )
+    shares = transfer.demand_share(transfer.site_totals(_items(sources), _pivot_mfg(sources), TRANSFER))
     return shares.select(
         "ref", "mfg_ref", "sum_of_current_month_ref", "sum_of_current_month_mfg_ref", "percent_of_overall_demand"
     )
@@ -339,7 +321,7 @@ def inspect_ref(sources: Sources) -> DataFrame:
 
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the base report and read it back."""
-    path = f"{session_folder(spark)}/report-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     write_report(
         reports.report(sample_sources(spark, sf_dir), BASE), path, order=reports.report_order(BASE)
     )
@@ -348,7 +330,7 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _on_sources(build: Callable[[Sources], DataFrame], snapshots: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        session_folder(spark)
+        shared_folder(spark)
         return build(sample_sources(spark, sf_dir, snapshots))
 
     return run
