@@ -30,7 +30,6 @@ from shelflife.llm.text import pieces
 
 LENGTH = 2048
 END_TOKEN = 1
-CACHED_WORDS = 100_000
 #: Tokens in open windows beyond which a shard joins and cuts them early.
 MOST_OPEN = 1 << 22
 #: Sequence ids of one shard.
@@ -39,56 +38,27 @@ SHARD_SPAN = 1 << 40
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class WordEncoder:
-    """Token ids (little-endian unsigned 32-bit) of texts.
-
-    The vocabulary's pattern cuts a text before every single space between two other
-    characters, so words are encoded one by one and remembered. A text
-    with other white space next to a space is encoded whole. Names of `added`
+class RankEncoder:
+    """Token ids (little-endian unsigned 32-bit) of whole texts by a vocabulary of ranks. Names of `added`
     tokens are cut out first, the longest at each place, and stand for their ids."""
 
-    def __init__(self, ranks_file: str, pattern: str, cached: int = CACHED_WORDS, added: dict[str, int] | None = None):
+    def __init__(self, ranks_file: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._ids = coding.encode_ordinary
-        self._cached = cached
-        self._words: dict[str, bytes | None] = {}
-        self._added = {name: np.array([i], "<u4").tobytes() for name, i in (added or {}).items()}
+        self._added = {name: [i] for name, i in (added or {}).items()}
         self._names = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a space and the word; None if the space isn't a place to cut."""
-        if len(self._words) >= self._cached:
-            self._words.clear()
-        cut = word and not word[0].isspace() and not word[-1].isspace()
-        ids = self._words[word] = self._encode(" " + word) if cut else None
-        return ids
-
     def encode(self, text: str) -> bytes:
-        if not any(name in text for name in self._added):
-            return self._between(text)
+        ids = self._ids(text) if not any(name in text for name in self._added) else self._around(text)
+        return np.array(ids, "<u4").tobytes()
+
+    def _around(self, text: str) -> list[int]:
         parts = self._names.split(text)
-        return b"".join(self._added[x] if k % 2 else self._between(x) for k, x in enumerate(parts))
-
-    def _between(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._encode(text)
-        out, known = [self._encode(first)], self._words
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if ids is None:
-                    return self._encode(text)
-            out.append(ids)
-        return b"".join(out)
+        return [i for k, part in enumerate(parts) for i in (self._added[part] if k % 2 else self._ids(part))]
 
 
 class Levels:
@@ -186,7 +156,7 @@ class Shard:
 
 def pack(
     docs: DataFrame,
-    encoder: Callable[[], WordEncoder],
+    encoder: Callable[[], RankEncoder],
     length: int = LENGTH,
     end_token: int = END_TOKEN,
 ) -> DataFrame:
@@ -225,15 +195,15 @@ def pack(
     return docs.select("doc_id", "text").mapInArrow(packed, f"doc_id {id_type}, {PIECES}")
 
 
-def public_encoder() -> WordEncoder:
+def public_encoder() -> RankEncoder:
     """The encoder of the public 50k byte-level vocabulary; its rank file holds
     the same vocabulary as byte_bpe_50k.json."""
     import public_tokenizers
 
-    return WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return RankEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def json_encoder() -> WordEncoder:
+def json_encoder() -> RankEncoder:
     """The encoder whose ids are those of `tokenizers` with byte_bpe_50k.json and add_special_tokens=False,
     which finds the file's added tokens inside a text."""
     import public_tokenizers
@@ -243,4 +213,4 @@ def json_encoder() -> WordEncoder:
     if any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError("added tokens that depend on what is beside them aren't built")
     ids = {token["content"]: token["id"] for token in added}
-    return WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=ids)
+    return RankEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=ids)
