@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflife.functions import composite_key, if_else, strip_dashes
@@ -65,17 +65,31 @@ def mfg_dim(mfg_locations: DataFrame, params: ReportParams) -> DataFrame:
     )
 
 
+def counted(dim: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number in `times`."""
+    return dim.groupBy(*dim.columns).agg(F.count("*").alias("times"))
+
+
 def named_planners(planners: DataFrame, directory: DataFrame, params: ReportParams) -> DataFrame:
     """Planner number and name per item-location. The name is looked up on the
     dimension, which is far smaller than the lots and has the same fan-out."""
     joined = planners.join(directory, [*params.snapshot_keys, "planner_number"], "left")
-    return joined.select(
-        *params.ref_keys,
-        "planner_number",
-        F.when(F.col("planner_number") == NO_PLANNER, NO_PLANNER)
-        .when(F.col("planner_number") != UNASSIGNED, F.col("planner_name"))
-        .alias("planner_name"),
-    )
+    return joined.select(*params.ref_keys, "planner_number", _shown_name())
+
+
+def counted_planners(planners: DataFrame, directory: DataFrame, params: ReportParams) -> DataFrame:
+    """`named_planners` with equal rows as one. Neither side's equal rows are formed on the way."""
+    named = counted(directory).withColumnRenamed("times", "_named")
+    joined = counted(planners).join(named, [*params.snapshot_keys, "planner_number"], "left")
+    times = F.col("times") * F.coalesce("_named", F.lit(1))
+    rows = joined.select(*params.ref_keys, "planner_number", _shown_name(), times.alias("times"))
+    return rows.groupBy(*params.ref_keys, "planner_number", "planner_name").agg(F.sum("times").alias("times"))
+
+
+def _shown_name() -> Column:
+    number = F.col("planner_number")
+    shown = F.when(number == NO_PLANNER, NO_PLANNER).when(number != UNASSIGNED, F.col("planner_name"))
+    return shown.alias("planner_name")
 
 
 def join_planner_number(lots: DataFrame, planners: DataFrame, params: ReportParams) -> DataFrame:

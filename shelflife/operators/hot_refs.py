@@ -17,9 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelflife.operators.repeats import spread
 from shelflife.sources.shared import shared_folder
 
 BLOCK = "lot_block"
+#: The number of a lot among repeats that are equal in all columns.
+REPEAT = "lot_repeat"
+#: A hot key's equal repeats are formed in pieces of a task's share of lots, so that tasks come out even.
+PIECES = 64
 
 @dataclass(frozen=True)
 class Layout:
@@ -61,7 +66,7 @@ class Part:
 
 def over_parts(parts: Sequence[Part], step: Callable[[DataFrame, Layout], DataFrame]) -> DataFrame:
     """Apply `step` to each part and put the results together."""
-    results = [step(part.lots, part.layout).drop(BLOCK) for part in parts]
+    results = [step(part.lots, part.layout).drop(BLOCK, REPEAT) for part in parts]
     together = results[0]
     for result in results[1:]:
         together = together.unionByName(result)
@@ -74,23 +79,27 @@ def split_hot_refs(
     keys: tuple[str, ...],
     order: Callable[[DataFrame], Sequence[str]],
     lots_per_task: int,
-    enrich: Callable[[DataFrame, DataFrame | None], DataFrame],
+    enrich: Callable[[DataFrame, DataFrame | None, bool], DataFrame] | None,
 ) -> list[Part]:
     """The enriched lots as one part or, when some keys are hot, as a plain
     part and a part in blocks. `counts` holds an upper bound of the enriched
-    rows per key as `rows`; `enrich` gets the lots and, for the hot ones, the
-    keys they are limited to.
+    rows per key as `rows`; `enrich` gets the lots, the hot keys if there are any, and
+    whether the lots are theirs. Then it may give equal rows as one with their number in `times`;
+    they are formed over all tasks, and being equal they may lie in any blocks.
 
     One number is fetched while the plan is built: how many tasks the hot keys
     need. The keys themselves stay a table, however many there are."""
     hot = counts.where(F.col("rows") > lots_per_task)
     tasks = hot.agg(F.sum(F.ceil(F.col("rows") / lots_per_task))).first()[0]
+    enrich = enrich or (lambda some, keys, large: some)
     if not tasks:
-        return [Part(enrich(lots, None), Layout(keys))]
+        return [Part(enrich(lots, None, False), Layout(keys))]
     checkpoint_folder(lots.sparkSession)
     hot_keys = hot.select(*keys).checkpoint()
     plain = lots.join(hot_keys, list(keys), "left_anti")
-    large = enrich(lots.join(hot_keys, list(keys), "left_semi"), hot_keys)
+    large = enrich(lots.join(hot_keys, list(keys), "left_semi"), hot_keys, True)
+    if "times" in large.columns:
+        large = _formed(large, keys, lots_per_task, int(tasks))
     blocks = (
         large.repartitionByRange(int(tasks), *[F.col(c).asc_nulls_last() for c in (*keys, *order(large))])
         .withColumn(BLOCK, F.spark_partition_id())
@@ -99,7 +108,14 @@ def split_hot_refs(
         .checkpoint()
     )
     layout = Layout(keys, blocks.select(*keys, BLOCK).distinct())
-    return [Part(enrich(plain, None), Layout(keys)), Part(blocks, layout)]
+    return [Part(enrich(plain, hot_keys, False), Layout(keys)), Part(blocks, layout)]
+
+
+def _formed(lots: DataFrame, keys: tuple[str, ...], lots_per_task: int, tasks: int) -> DataFrame:
+    """Every lot as often as `times` says, numbered in REPEAT; the repeats of one lot come from many tasks."""
+    pieces = spread(lots, F.col("times"), max(1, lots_per_task // PIECES)).drop("times")
+    pieces = pieces.repartition(2 * tasks, *keys, *[c for c in ("lot_number", "planner_name", "mbx") if c in lots.columns], "_first")
+    return pieces.withColumn(REPEAT, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_length") - 1))).drop("_first", "_length")
 
 
 def rows_per_key(lots: DataFrame, repeats: Sequence[DataFrame], keys: tuple[str, ...]) -> DataFrame:
@@ -108,7 +124,7 @@ def rows_per_key(lots: DataFrame, repeats: Sequence[DataFrame], keys: tuple[str,
     Only keys that occur more than once in such a table change a count."""
     counts = lots.groupBy(*keys).agg(F.count("*").cast("double").alias("rows"))
     for table in repeats:
-        times = F.max("times") if "times" in table.columns else F.count("*")
+        times = F.sum("times") if "times" in table.columns else F.count("*")
         more = table.groupBy(*keys).agg(times.alias("times")).where(F.col("times") > 1)
         counts = counts.join(more, list(keys), "left").withColumn(
             "rows", F.col("rows") * F.coalesce("times", F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelflife.functions import floor_at_zero, if_else, or_zero
-from shelflife.operators.hot_refs import BLOCK, Layout
+from shelflife.operators.hot_refs import BLOCK, REPEAT, Layout
 from shelflife.operators.supply import LOT_ORDER, REPEAT_ORDER
 
 ORDERS = "total_custord_within_15_days"
@@ -27,7 +27,7 @@ def value_lots(lots: DataFrame) -> DataFrame:
 
 
 def lot_order_columns(lots: DataFrame) -> list[str]:
-    return [c for c in (*LOT_ORDER, *REPEAT_ORDER) if c in lots.columns]
+    return [c for c in (*LOT_ORDER, *REPEAT_ORDER, REPEAT) if c in lots.columns]
 
 
 def sequence_lots(lots: DataFrame, layout: Layout) -> DataFrame:

@@ -86,8 +86,8 @@ def lot_parts(
     repeats = []
     if described and params.on_duplicate == "expand":
         directory = dims.planner_directory_dim(sources.planner_directory, params)
-        planners = dims.named_planners(dims.item_planner_dim(sources.item_planner, params), directory, params)
-        repeats = [planners, dims.item_type_dim(sources.item_type, params)]
+        planners = dims.counted_planners(dims.item_planner_dim(sources.item_planner, params), directory, params)
+        repeats = [planners, dims.counted(dims.item_type_dim(sources.item_type, params))]
     if described and params.horizon_rule == "transfer":
         # A rate for each of k sites, and k * k flags for each of the site rows.
         if pivot_mfg is None:
@@ -100,24 +100,30 @@ def lot_parts(
         params.ref_keys,
         ledger.lot_order_columns,
         params.lots_per_task,
-        (lambda lots, only: describe_lots(lots, sources, params, only)) if described else (lambda lots, only: lots),
+        (lambda lots, hot, large: describe_lots(lots, sources, params, hot, large)) if described else None,
     )
 
 
 def describe_lots(
-    lots: DataFrame, sources: Sources, params: ReportParams, only: DataFrame | None = None
+    lots: DataFrame, sources: Sources, params: ReportParams, hot: DataFrame | None = None, large: bool = False
 ) -> DataFrame:
-    """Planner, item type, days to expiry and the days-left bucket. When the
-    lots are limited to the keys in `only`, so are the dimensions, which makes
-    them small enough for AQE to broadcast instead of joining on hot keys."""
+    """Planner, item type, days to expiry and the days-left bucket. When the lots are those of the keys in `hot`
+    (`large`) or of the others, so are the dimensions; the few of hot keys are small enough for AQE to broadcast
+    instead of joining on hot keys. A large lot comes once for equal dimension rows, with their number in `times`."""
     planners = dims.item_planner_dim(sources.item_planner, params)
     types = dims.item_type_dim(sources.item_type, params)
-    if only is not None:
-        planners = planners.join(only, list(params.ref_keys), "left_semi")
-        types = types.join(only, list(params.ref_keys), "left_semi")
     directory = dims.planner_directory_dim(sources.planner_directory, params)
-    lots = dims.join_planner(lots, dims.named_planners(planners, directory, params), params)
-    return add_days(dims.join_item_type(lots, types, params), params)
+    if hot is not None:
+        side = "left_semi" if large else "left_anti"
+        planners = planners.join(hot, list(params.ref_keys), side)
+        types = types.join(hot, list(params.ref_keys), side)
+    if not large:
+        lots = dims.join_planner(lots, dims.named_planners(planners, directory, params), params)
+        return add_days(dims.join_item_type(lots, types, params), params)
+    lots = dims.join_planner(lots, dims.counted_planners(planners, directory, params), params).withColumnRenamed("times", "_planners")
+    lots = dims.join_item_type(lots, dims.counted(types), params)
+    times = F.coalesce("_planners", F.lit(1)) * F.coalesce("times", F.lit(1))
+    return add_days(lots.withColumn("times", times).drop("_planners"), params)
 
 
 def add_days(lots: DataFrame, params: ReportParams) -> DataFrame:

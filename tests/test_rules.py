@@ -1,6 +1,7 @@
 """Rules that an earlier version had wrong: rounding of prices, default rules of
 snapshots, short forecasts, hot keys by every kind of repeat, written order."""
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inputs import AS_OF, MONTHS, forecast, lot, make_sources, order
 from shelflife.functions import round_half_even
+from shelflife.operators.hot_refs import BLOCK
 from shelflife.params import SNAPSHOT, ReportParams, SnapshotRules
 from shelflife.plans.reports import inspect_ref, lot_parts, report, report_order
 from shelflife.sources.readers import Sources, write_report
@@ -135,3 +137,35 @@ def test_lots_without_sites_stay(spark):
 
 def test_rules_may_be_left_out():
     assert SnapshotRules(date(2022, 1, 1)).consumption_rule is None
+
+
+def equal_rows(spark, n, types=1):
+    """Two lots whose planner is n times the same in the directory."""
+    sources = make_sources(
+        spark,
+        inventory_lots=[lot("1", "L1", 20, 5.0), lot("1", "L2", 30, 7.0), lot("2", "L3", 9, 1.0)],
+        customer_orders=[order("1", 23.0)],
+        item_planner=[("10", "1", "7"), ("10", "2", "8")],
+        item_type=[("10-1", "x")] * types,
+        forecast=forecast("1", 30.0),
+    )
+    directory = spark.range(n).selectExpr("'7' AS address_number", "'Seven' AS alpha_name")
+    return replace(sources, planner_directory=directory.unionByName(spark.createDataFrame([("8", "Eight")], directory.schema)))
+
+
+@pytest.mark.parametrize("make", [ReportParams.base, ReportParams.transfer])
+def test_equal_repeats_are_cut_apart(spark, make):
+    sources = equal_rows(spark, 60, types=2)
+    whole, split = make(AS_OF, lots_per_task=10**9), make(AS_OF, lots_per_task=16)
+    parts = lot_parts(sources, split)
+    assert parts[1].lots.groupBy(BLOCK).count().count() > 8
+    assert rows(report(sources, split)) == rows(report(sources, whole))
+    assert report(sources, whole).count() == 2 * 60 * 2 + 1
+
+
+def test_a_million_equal_directory_rows(spark):
+    """They meet the lots as one row with a number, and lie in blocks of the size of a task."""
+    params = ReportParams.base(AS_OF, lots_per_task=20_000)
+    parts = lot_parts(equal_rows(spark, 10**6), params)
+    sizes = [r["count"] for r in parts[1].lots.groupBy(BLOCK).count().collect()]
+    assert sum(sizes) == 2 * 10**6 and max(sizes) < 2 * params.lots_per_task
