@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+import io
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, fields
 from datetime import date
+from itertools import islice
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelflife.params import SNAPSHOT
 from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
-from shelflife.sources.staging import clean_names, promote_header, type_convert
+from shelflife.sources.staging import snake_names, type_convert, unreadable_cells
 
-ROW_POSITION = "_row_position"
-# Lines of an export in which its header record is looked for.
-PREAMBLE_LINES = 200
+#: Records of an export that are passed on together.
+RECORDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -46,57 +50,77 @@ def read_typed(spark: SparkSession, name: str, path: str, snapshots: Sequence[da
     return spark.read.schema(dated).parquet(path).where(F.col(SNAPSHOT).isin(list(snapshots)))
 
 
-def _header(spark: SparkSession, path: str, row: int) -> list[str]:
-    """Cells of the header record; reads the first lines only."""
-    lines = [r["value"] for r in spark.read.text(path).limit(PREAMBLE_LINES).collect()]
-    for k, record in enumerate(csv.reader([f"{line}\n" for line in lines])):
-        if k == row:
-            return record
-    raise ValueError(f"{path} has no row {row} to take the column names from")
+def read_export(
+    spark: SparkSession, name: str, path: str | Sequence[str], snapshots: Sequence[date] = (), unreadable: str = "error"
+) -> DataFrame:
+    """A source kept as CSV exports of one sheet, each file with its own preamble and header.
 
-
-def read_export(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A source kept as the CSV export of one sheet, with its preamble rows.
-
-    `path` names a single file: a preamble belongs to one sheet, row order is only
-    defined within a file, and a cell may hold line breaks. A record with another
-    number of cells than the header, or a cell that can't be read as its type, is an error.
+    All files are read in one scan, in parallel, a file by one task; an order of columns of its own is no matter. A cell may hold line breaks.
+    With `snapshots`, `{snapshot}` in the path stands for the date and becomes the column `snapshot_date`; a path without it holds for
+    every date. A file without the header or a declared column, and a record with another number of cells than its
+    header, are errors; so is a cell that can't be read as its type, unless `unreadable` is "null".
     """
-    files = spark.read.text(path)
-    if len(files.inputFiles()) > 1:
-        raise ValueError(f"{path} holds several files; read each export on its own and union them")
-    header = _header(spark, path, HEADER_ROW[name])
-    cells = [f"_c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*cells, "_wrong")])
-    records = (
-        spark.read.schema(schema)
-        .options(multiLine=True, escape='"', columnNameOfCorruptRecord="_wrong", columnPruning=False)
-        .csv(path)
-        # The file is one partition, so numbers follow its order.
-        .withColumn(ROW_POSITION, F.monotonically_increasing_id())
+    cells = export_cells(spark, name, path, snapshots)
+    dated = [SNAPSHOT] if snapshots else []
+    return type_convert(cells, SCHEMAS[name], unreadable, dated)
+
+
+def rejected_cells(spark: SparkSession, name: str, path: str | Sequence[str], snapshots: Sequence[date] = ()) -> DataFrame:
+    """The cells of exports that can't be read as their type: snapshot date if dated, file, record, column, type and cell."""
+    cells = export_cells(spark, name, path, snapshots)
+    return unreadable_cells(cells, SCHEMAS[name], [*([SNAPSHOT] if snapshots else []), "file", "record"])
+
+
+def export_cells(spark: SparkSession, name: str, path: str | Sequence[str], snapshots: Sequence[date] = ()) -> DataFrame:
+    """The declared columns of exports as text, with the `file` and the number of the `record` in it (from 1 on after
+    the header), and the snapshot date if dated."""
+    paths = [path] if isinstance(path, str) else list(path)
+    days = [day.isoformat() for day in snapshots]
+    dated = bool(days) and any("{snapshot}" in p for p in paths)
+    files = [p.replace("{snapshot}", day) for p in paths for day in (days if dated else [""])]
+    texts = spark.read.text(list(dict.fromkeys(files)), wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    columns, header_row = SCHEMAS[name].names, HEADER_ROW[name]
+    schema = T.StructType(
+        [T.StructField("file", T.StringType()), T.StructField("record", T.LongType()), *[T.StructField(c, T.StringType()) for c in columns]]
     )
-    is_header = F.lit(True)
-    for cell, text in zip(cells, header):
-        is_header &= F.coalesce(F.col(cell), F.lit("")) == text
-    position = records.where(is_header).agg(F.min(ROW_POSITION)).first()[0]
-    message = F.concat(F.lit(f"a record of {path} does not have {len(header)} cells: "), F.col("_wrong"))
-    first = F.when(F.col("_wrong").isNull(), F.col("_c0")).otherwise(F.raise_error(message))
-    checked = records.withColumn("_c0", F.when(F.col(ROW_POSITION) > position, first).otherwise(F.col("_c0")))
-    promoted = promote_header(checked.select(ROW_POSITION, *cells), ROW_POSITION, position)
-    return type_convert(clean_names(promoted), SCHEMAS[name], unreadable="error")
-
-
-def _dated_exports(spark: SparkSession, name: str, path: str, snapshots: Sequence[date]) -> DataFrame:
-    """The exports of all snapshots; `{snapshot}` in the path stands for the date.
-    A path without it is a sheet that holds for every date."""
-    tables = [
-        read_export(spark, name, path.replace("{snapshot}", day.isoformat())).withColumn(SNAPSHOT, F.lit(day))
-        for day in snapshots
-    ]
-    together = tables[0]
-    for table in tables[1:]:
-        together = together.unionByName(table)
-    return together
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, file in zip(batch.column("value"), batch.column("file")):
+                yield from _records(text.as_py(), unquote(file.as_py()), columns, header_row)
+
+    cells = texts.mapInArrow(cut, schema)
+    if not days:
+        return cells
+    if not dated:
+        return cells.withColumn(SNAPSHOT, F.explode(F.array(*[F.lit(day).cast("date") for day in days])))
+    places = [re.escape(p.split("://")[-1]).replace(re.escape("{snapshot}"), "(" + "|".join(days) + ")", 1) for p in paths]
+    found = F.coalesce(*[F.nullif(F.regexp_extract("file", place.replace(re.escape("{snapshot}"), ".{10}"), 1), F.lit("")) for place in places])
+    return cells.withColumn(SNAPSHOT, found.cast("date"))
+
+
+def _records(text: str, file: str, columns: Sequence[str], header_row: int) -> Iterator[pa.RecordBatch]:
+    """The records of one export after its header, some thousand at a time."""
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+    records = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+    header = next((r for k, r in enumerate(records) if k == header_row), None)
+    if header is None:
+        raise ValueError(f"{file} has no row {header_row} to take the column names from")
+    names = snake_names(header)
+    missing = sorted(set(columns) - set(names))
+    if missing:
+        raise ValueError(f"{file} has no columns {missing}")
+    places, number = [names.index(c) for c in columns], 0
+    # A record without cells is an empty line.
+    filled = (r for r in records if r)
+    while part := list(islice(filled, RECORDS)):
+        for k, record in enumerate(part, number + 1):
+            if len(record) != len(header):
+                raise ValueError(f"record {k} of {file} does not have {len(header)} cells: {record}")
+        arrays = [pa.array([file] * len(part)), pa.array(range(number + 1, number + len(part) + 1), pa.int64())]
+        arrays += [pa.array([r[i] for r in part], pa.string()) for i in places]
+        number += len(part)
+        yield pa.RecordBatch.from_arrays(arrays, ["file", "record", *columns])
 
 
 def load_sources(
@@ -105,13 +129,27 @@ def load_sources(
     """Read every source named in `paths` (a sheet of a workbook is one path)."""
 
     def read(name: str) -> DataFrame:
-        if export and snapshots:
-            return _dated_exports(spark, name, paths[name], snapshots)
-        return read_export(spark, name, paths[name]) if export else read_typed(spark, name, paths[name], snapshots)
+        return (read_export if export else read_typed)(spark, name, paths[name], snapshots)
 
     return Sources(**{f.name: read(f.name) for f in fields(Sources) if f.name in paths})
 
 
+def write_export(table: DataFrame, name: str, path: str) -> None:
+    """A source as CSV exports, one per partition, each with a preamble and the header as read_export expects them."""
+    header = [f"{name.replace('_', ' ')} export", *[""] * HEADER_ROW[name]][: HEADER_ROW[name]]
+    titles = io.StringIO()
+    csv.writer(titles, lineterminator="").writerow(table.columns)
+    first = [*header, titles.getvalue()]
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(first)], ["value"])
+        yield from batches
+
+    cells = F.struct(*[F.col(f"`{c}`").cast("string") for c in table.columns])
+    records = table.select(F.to_csv(cells, {"escape": '"', "quoteAll": "true"}).alias("value"))
+    records.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def write_report(
     report: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str | Column] | None = None
 ) -> None:

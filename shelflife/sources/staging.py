@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +34,19 @@ def snake_case(name: str) -> str:
     return f"x{text}" if not text or text[0].isdigit() else text
 
 
-def clean_names(df: DataFrame) -> DataFrame:
-    """Snake-case all columns; a repeated name gets the suffix _2, _3, …"""
+def snake_names(columns: list[str]) -> list[str]:
+    """Snake-case names; a repeated name gets the suffix _2, _3, …"""
     seen: dict[str, int] = {}
     names = []
-    for column in df.columns:
+    for column in columns:
         name = snake_case(column)
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return df.toDF(*names)
+    return names
+
+
+def clean_names(df: DataFrame) -> DataFrame:
+    return df.toDF(*snake_names(df.columns))
 
 
 UNREADABLE = ("null", "error")
@@ -61,11 +66,22 @@ def parse_cell(text: Column, kind: T.DataType, name: str = "", unreadable: str =
     return F.when(value.isNotNull() & typed.isNull(), F.raise_error(message)).otherwise(typed)
 
 
-def type_convert(df: DataFrame, schema: T.StructType, unreadable: str = "null") -> DataFrame:
+def type_convert(df: DataFrame, schema: T.StructType, unreadable: str = "null", keep: Sequence[str] = ()) -> DataFrame:
     """Select the declared columns from a text table and give them their type.
-    Columns that are not declared are dropped, so scans stay narrow."""
+    Columns that are neither declared nor in `keep` are dropped, so scans stay narrow."""
     if unreadable not in UNREADABLE:
         raise ValueError(f"{unreadable!r} is not one of {UNREADABLE}")
     return df.select(
-        *[parse_cell(F.col(f.name), f.dataType, f.name, unreadable).alias(f.name) for f in schema.fields]
+        *[parse_cell(F.col(f.name), f.dataType, f.name, unreadable).alias(f.name) for f in schema.fields], *keep
     )
+
+
+def unreadable_cells(df: DataFrame, schema: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per cell that type_convert can't read: the columns in `keep`, the cell's `column`, declared `type` and `cell` text."""
+    faults = []
+    for field in schema.fields:
+        cell = F.trim(F.col(field.name))
+        wrong = cell.isNotNull() & ~cell.isin(*MISSING) & parse_cell(F.col(field.name), field.dataType).isNull()
+        fault = F.struct(F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("type"), cell.alias("cell"))
+        faults.append(F.when(wrong, fault))
+    return df.select(*keep, F.inline(F.filter(F.array(*faults), lambda fault: fault.isNotNull())))

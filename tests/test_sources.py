@@ -7,7 +7,7 @@ from inputs import AS_OF, forecast, lot, make_sources, order
 from shelflife import job
 from shelflife.params import ReportParams, SnapshotRules
 from shelflife.plans.reports import report, report_order
-from shelflife.sources.readers import Sources, load_sources, read_export, read_typed, write_report
+from shelflife.sources.readers import Sources, load_sources, read_export, read_typed, rejected_cells, write_export, write_report
 from shelflife.sources.sample import EXPORT_HEADERS, SNAPSHOT_DATES, as_export, sample_sources
 from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
@@ -68,6 +68,57 @@ def test_faulty_exports_are_errors(spark, tmp_path, record, message):
         read_export(spark, "customer_orders", str(path)).collect()
 
 
+@pytest.mark.parametrize("text, message", [("only one line\n", "has no row 2"), ("a\nb\nLocation,oo cases\n1,2\n", "has no columns")])
+def test_exports_without_a_header_are_errors(spark, tmp_path, text, message):
+    (tmp_path / "orders.csv").write_text(text)
+    with pytest.raises(Exception, match=message):
+        read_export(spark, "customer_orders", str(tmp_path / "orders.csv")).collect()
+
+
+def jobs_of(spark, group, build):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_dated_exports_are_one_scan(spark, tmp_path):
+    """Ten dates, one of them in two files with another order of columns; no job runs before the result is asked for."""
+    days = [AS_OF + timedelta(weeks=k) for k in range(10)]
+    for k, day in enumerate(days):
+        folder = tmp_path / f"week {day}"
+        folder.mkdir()
+        _write_export(folder / "a.csv", 2, EXPORT_HEADERS["customer_orders"], [("10", f"i{k}", "44797", "5")])
+    _write_export(tmp_path / f"week {days[3]}" / "b.csv", 2, EXPORT_HEADERS["customer_orders"][::-1], [("7", "44798", "i3", "20")])
+    path = f"{tmp_path}/week {{snapshot}}"
+    found, jobs = jobs_of(spark, "dated exports", lambda: read_export(spark, "customer_orders", path, days))
+    assert jobs == 0 and found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = sorted((r["snapshot_date"], r["location"], r["product_label_sku"], r["oo_cases"]) for r in found.collect())
+    assert got == sorted([(day, "10", f"i{k}", 5.0) for k, day in enumerate(days)] + [(days[3], "20", "i3", 7.0)])
+    every = read_export(spark, "customer_orders", str(tmp_path / f"week {days[0]}"), days[:2]).collect()
+    assert sorted(r["snapshot_date"] for r in every) == days[:2]
+
+
+def test_unreadable_cells_are_named(spark, tmp_path):
+    path = tmp_path / "orders.csv"
+    rows = [("10", "1", "44797", "5"), ("10", "2", "soon", "many"), ("10", "NA", "", "NA"), ("10", "4", "44797", "1e3")]
+    _write_export(path, 2, EXPORT_HEADERS["customer_orders"], rows)
+    found = [tuple(r)[1:] for r in rejected_cells(spark, "customer_orders", str(path)).collect()]
+    assert sorted(found) == [(2, "oo_cases", "double", "many"), (2, "sales_order_requested_ship_date", "double", "soon")]
+    assert rejected_cells(spark, "customer_orders", str(path)).first()["file"].endswith("orders.csv")
+    assert read_export(spark, "customer_orders", str(path), unreadable="null").where("oo_cases IS NULL").count() == 2
+
+
+def test_written_exports_read_back(spark, tmp_path):
+    rows = [("10", 'a "b", c', 'line\none', "L\\1", 44000.5, None, 1.0, -3, 2.5, 0.1), (None, "", "NA", None, None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows * 3, SCHEMAS["inventory_lots"]).repartition(4)
+    write_export(as_export(table, "inventory_lots"), "inventory_lots", str(tmp_path / "lots"))
+    none = (None,) * 10
+    want = [none if r[0] is None else r for r in rows * 3]
+    assert sorted(map(str, (tuple(r) for r in read_export(spark, "inventory_lots", str(tmp_path / "lots")).collect()))) == sorted(map(str, want))
+
+
 def test_absent_columns_are_errors(spark, tmp_path):
     sample_sources(spark, "/root/testdata/sf0.001").customer_orders.drop("oo_cases").write.parquet(str(tmp_path / "o"))
     with pytest.raises(ValueError, match="oo_cases"):

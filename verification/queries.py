@@ -15,7 +15,7 @@ from shelflife.operators.hot_refs import Layout, over_parts
 from shelflife.operators.repeats import repeat_rows
 from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
-from shelflife.sources.readers import Sources, write_report
+from shelflife.sources.readers import Sources, read_export, read_typed, write_export, write_report
 from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources, with_second_sites
 from shelflife.sources.schemas import SCHEMAS
 from shelflife.sources.shared import shared_folder
@@ -42,9 +42,23 @@ LOT = ("ref", "lot_number", "calculated_shippable_date", "days_left_on_ssl", "lo
 
 
 def _source(name: str) -> Query:
+    """The source written as exports and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/export-{name}-{uuid.uuid4().hex}"
+        write_export(as_export(getattr(sample_sources(spark, sf_dir), name), name), name, path)
+        return read_export(spark, name, path)
+
+    return run
+
+
+def _typed_source(name: str) -> Query:
+    """The source written as Parquet, with a column that isn't declared, and read back."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = getattr(sample_sources(spark, sf_dir), name)
-        return type_convert(clean_names(as_export(table, name)), SCHEMAS[name])
+        path = f"{shared_folder(spark)}/typed-{name}-{uuid.uuid4().hex}"
+        getattr(sample_sources(spark, sf_dir), name).withColumn("more", F.lit(1)).write.parquet(path)
+        return read_typed(spark, name, path)
 
     return run
 
@@ -409,6 +423,7 @@ def on_snapshots() -> dict[str, Callable[[Sources], DataFrame]]:
 
 def registry() -> dict[str, Query]:
     found: dict[str, Query] = {f"src_{name}": _source(name) for name in SCHEMAS}
+    found |= {f"src_typed_{name}": _typed_source(name) for name in ("inventory_lots", "forecast")}
     found |= {
         "promote_header": promoted,
         "clean_names": cleaned,
