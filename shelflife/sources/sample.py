@@ -179,6 +179,88 @@ def with_second_sites(sources: Sources) -> Sources:
     )
 
 
+def with_third_sites(sources: Sources) -> Sources:
+    """Second sites, and a third one without a row of its own in the site report for every eighth item."""
+    two = with_second_sites(sources)
+    number = F.col("product_label_sku_code").cast("bigint")
+    third = sources.forecast.where(number % 8 == 0)
+    third = third.withColumn("product_manufacturing_location_code", ((number + 2) % 5).cast("string"))
+    return replace(two, forecast=two.forecast.unionByName(third))
+
+
+def with_repeated_dimensions(sources: Sources) -> Sources:
+    """A second planner for every seventh item, a second type for every sixth, every fourth type twice the same,
+    and a second name for every third planner."""
+    item, ship = F.col("item_number").cast("bigint"), F.substring_index("ship_ref", "-", -1).cast("bigint")
+    number = F.col("address_number").cast("bigint")
+    planners, types, names = sources.item_planner, sources.item_type, sources.planner_directory
+    return replace(
+        sources,
+        item_planner=planners.unionByName(planners.where(item % 7 == 0).withColumn("planner", F.lit("3"))),
+        item_type=types.unionByName(types.where(ship % 6 == 0).withColumn("type", F.lit("SPARE"))).unionByName(types.where(ship % 4 == 0)),
+        planner_directory=names.unionByName(
+            names.where(number % 3 == 0).withColumn("alpha_name", F.concat("alpha_name", F.lit(" II")))
+        ),
+    )
+
+
+def with_odd_keys(sources: Sources) -> Sources:
+    """Dashed items (in the planner and type sources only every second one has its dash), lots without a location, fractional
+    cases, prices with three decimals, and items whose orders are all negative."""
+
+    def dashed(item: str, every: int) -> Column:
+        number = F.col(item).cast("bigint")
+        return F.when(number % every == 0, F.concat(F.substring(item, 1, 1), F.lit("-"), F.col(item))).otherwise(F.col(item))
+
+    def placed(column: str, item: str) -> Column:
+        return F.when(F.col(item).cast("bigint") % 4 != 3, F.col(column))
+
+    lots, orders, cells = sources.inventory_lots, sources.customer_orders, sources.forecast
+    line = F.substring_index("lot_number", "-", -1).cast("int")
+    more = F.when(line == 5, 0.125).otherwise(line / 1000)
+    sign = F.when(F.col("product_label_sku").cast("bigint") % 9 == 0, -1.0).otherwise(1.0)
+    ship = F.substring_index("ship_ref", "-", -1).cast("bigint")
+    tail = F.substring_index("ship_ref", "-", -1)
+    place = F.when(ship % 4 != 3, F.substring_index("ship_ref", "-", 1)).otherwise("NA")
+    return replace(
+        sources,
+        inventory_lots=lots.withColumns(
+            {
+                "location": placed("location", "sku"), "sku": dashed("sku", 5), "inventory_qty_cases": F.col("inventory_qty_cases") + line / 4,
+                "last_purchase_price": F.col("last_purchase_price") + more,
+            }
+        ),
+        customer_orders=orders.withColumns(
+            {
+                "location": placed("location", "product_label_sku"), "product_label_sku": dashed("product_label_sku", 5),
+                "oo_cases": F.col("oo_cases") * sign + 0.5,
+            }
+        ),
+        item_planner=sources.item_planner.withColumns({"b_p": placed("b_p", "item_number"), "item_number": dashed("item_number", 10)}),
+        item_type=sources.item_type.withColumn(
+            "ship_ref", F.concat(place, F.lit("-"), F.when(ship % 10 == 0, F.concat(F.substring(tail, 1, 1), F.lit("-"), tail)).otherwise(tail))
+        ),
+        forecast=cells.withColumns(
+            {"location_no": placed("location_no", "product_label_sku_code"), "product_label_sku_code": dashed("product_label_sku_code", 5)}
+        ),
+    )
+
+
+def with_unknown_days(sources: Sources) -> Sources:
+    """Lots without days left, without a shippable date, and without both."""
+    order = F.substring_index("lot_number", "-", 1).cast("bigint")
+    lots = sources.inventory_lots
+    return replace(
+        sources,
+        inventory_lots=lots.withColumns(
+            {
+                "calculated_days_left_to_ship": F.when(order % 5 != 1, F.col("calculated_days_left_to_ship")),
+                "calculated_shippable_date": F.when(order % 3 != 1, F.col("calculated_shippable_date")),
+            }
+        ),
+    )
+
+
 def as_export(table: DataFrame, name: str) -> DataFrame:
     """A source as its export would hold it: text cells under export headers,
     `NA` for a missing value."""

@@ -16,7 +16,10 @@ from shelflife.operators.repeats import repeat_rows
 from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, read_export, read_typed, write_export, write_report
-from shelflife.sources.sample import AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources, with_second_sites
+from shelflife.sources.sample import (
+    AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources, with_odd_keys, with_repeated_dimensions, with_second_sites,
+    with_third_sites, with_unknown_days,
+)
 from shelflife.sources.schemas import SCHEMAS
 from shelflife.sources.shared import shared_folder
 from shelflife.sources.staging import clean_names, promote_header, type_convert
@@ -25,6 +28,8 @@ from shelflife.sources.staging import clean_names, promote_header, type_convert
 Query = Callable[[SparkSession, str], DataFrame]
 
 BASE = ReportParams.base(AS_OF)
+#: Puts the larger item-locations of the test tables into blocks.
+HOT = ReportParams.base(AS_OF, lots_per_task=40)
 WEEKLY = ReportParams.weekly(AS_OF)
 TRANSFER = ReportParams.transfer(AS_OF)
 # The rules changed from week to week; so do those of the three snapshots.
@@ -408,6 +413,12 @@ def on_sources() -> dict[str, Callable[[Sources], DataFrame]]:
         "transfer_flag_fanout": lambda s: transfer_flag(with_second_sites(s)),
         "demand_share_fanout": lambda s: demand_share(with_second_sites(s)),
         "join_daily_forecast_fanout": lambda s: join_daily_forecast(with_second_sites(s), TRANSFER),
+        "report_base_fanout": lambda s: reports.report(with_repeated_dimensions(s), BASE),
+        "report_base_fanout_hot": lambda s: reports.report(with_repeated_dimensions(s), HOT),
+        "report_base_keys": lambda s: reports.report(with_odd_keys(s), BASE),
+        "project_inventory_nulls": lambda s: project_inventory(with_unknown_days(s)),
+        "transfer_flag_three_sites": lambda s: transfer_flag(with_third_sites(s)),
+        "demand_share_three_sites": lambda s: demand_share(with_third_sites(s)),
         "inspect_ref": inspect_ref,
     }
 
