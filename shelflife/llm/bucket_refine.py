@@ -1,10 +1,12 @@
 """Exact removal of repeated byte strings by bucket refinement.
 
 Every 400-byte string belongs to the bucket of its least 40-byte gram. Buckets with
-several members are refined by identifiers of longer texts at later offsets around
-that gram, level by level; identifiers and counts of one level decide which members are carried to the
-next, down to single strings (see windows.py). Singletons leave at once, as do members
-that are equal in whole.
+several members are refined level by level, down to single strings (see windows.py). Singletons leave at
+once, as do members that are equal in whole.
+
+This isn't the refinement by pointers that the method is named after: a level compares hashes of the bytes around
+the gram, in cells of 64, 8 and 1 offsets, and not the bucket identifiers of later offsets that the level before gave. Identifiers for all offsets
+would need a row per byte and a shuffle of them all in each round; here a row stands for all strings around one gram.
 
 Texts are UTF-8 bytes; a null text is empty. Strings never cross texts, and the same text
 may hold both copies. Rows that are equal in full repeat each other, and all of both

@@ -233,6 +233,18 @@ def test_hamming_search_of_odd_rows(spark):
     assert hamming.nearest_codes(hamming.sign_codes(empty, "embedding"), "vec_id", F.lit(True)).count() == 0
 
 
+def test_near_duplicates_under_equal_and_null_ids(spark):
+    """Of each group of rows with similar texts one row stays, whatever the ids."""
+    long = " ".join(f"w{k}" for k in range(200))
+    near = long.replace("w77 ", "other ")
+    rows = [(None, long), (5, near), (5, long), (5, "short text"), (None, "short text"), (None, None), (7, None), (7, ""), (3, "something else")]
+    found = dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, table(spark, rows), SF)
+    assert found.columns == DOCS.names
+    got = [(r["doc_id"], r["text"]) for r in found.collect()]
+    assert len(got) == 6 and Counter(i for i, _ in got) == Counter([5, 5, None, 7, 7, 3])
+    assert [t for i, t in got if i == 5 and t != "short text"][0] in (long, near)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = [docs.count()]
