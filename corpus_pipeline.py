@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from shelflife.llm import mixing, packing, seed_extend, superminhash, toxicity
 from shelflife.llm.scratch import written
-from shelflife.llm.windows import text_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows that are equal in id and text
-    stay or go together."""
-    found = superminhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash")).distinct()
-    keyed = docs.select("doc_id", text_key().alias("_h"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"))
-    same = (keyed["doc_id"] == gone["_id"]) & (keyed["_h"] == gone["_hash"])
-    return keyed.join(gone, same, "left_anti").select("_doc.*")
+    """Of each group of near duplicates one row stays, the one with the smallest id (null last). Rows are told apart by numbers
+    of their own, so equal and null ids hide no copies."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = written(docs.select(whole, F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = superminhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_doc.text"))
+    ids = rows.select("_row", F.col("_doc.doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
+    grouped = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row").groupBy("component_id")
+    return rows.join(grouped.agg(first.alias("_row")), "_row", "left_semi").select("_doc.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
