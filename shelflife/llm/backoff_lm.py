@@ -1,24 +1,29 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the n-grams of the training texts, all of them: those of one and two words are
+States are the n-grams of the learned texts, all of them: those of one and two words are
 contexts, those of up to three are arcs. An arc carries a discounted probability; where a
 state has no arc for the next word, its failure arc leads to the state without the first word
 and costs the state's backoff weight; the last state is the root, whose arcs are all words, by add-one counts.
 
-No n-gram is left out, however rare. Words, pairs and triples are written tables that grow with the input;
-discounts and backoff weights are sums by context. A token that the broadcast part doesn't settle takes its
-arc or its failure arcs by joins. Broadcast are the words that have the share `WORD_SHARE` of all training
-tokens and the triples that have `GRAM_SHARE`, at most 1 / share; the shares change no result.
-
-A null text is empty and has the end token alone. A row with a null id is scored but not
-learned from. Repeated rows count as often as they occur and get equal scores. An
-empty training table leaves only the unknown word. A row carries its own number, so
-ids needn't be unique. Words and pairs are identified by a 64-bit hash, triples by those of their pairs.
+No n-gram is left out, however rare. Texts are gathered into chunks of `chunk_tokens` tokens, each a
+dictionary of its words and one number per token, written once. A chunk asks for what its states need
+and is answered in three rounds: counts of its words and pairs; counts of its triples and, by word, the sums
+that backoff weights are made of; these sums by pair. Then it has the part of the automaton that its texts visit,
+and every text is read from left to right along it. A question is the sorted distinct hashes of a chunk,
+dealt by hash into buckets of some `bucket_tokens` keys, so neither a frequent word nor a frequent context makes a bucket large:
+a chunk asks for an n-gram once, however often it holds it, and sums by context are formed in the chunks,
+each distinct arc in the one chunk that the bucket calls its owner. A pair that occurs once in all texts has one arc at most,
+which the chunk knows, so only triples after pairs that occur again are asked for.
+
+A null text is empty and has the end token alone. Rows where `learned` is false or null are scored but not
+learned from. Repeated rows count as often as they occur and get equal scores. With nothing learned there is
+only the unknown word. Ids needn't be unique, rows aren't told apart by them. N-grams are identified by
+64-bit hashes. A text is scored as a whole in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,52 +31,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
 from shelflife.llm.scratch import boxed, text_batches, unboxed, written
-from shelflife.llm.text import U64, Words, mix, pieces, signed, text_of
+from shelflife.llm.text import U64, Words, mix, pieces, text_of
 
-WORD_SHARE = 2.0**-22
-GRAM_SHARE = 2.0**-20
 DISCOUNT = 0.5
-#: Distinct keys that a task holds before it passes them on.
-TALLIED = 1 << 19
+CHUNK_TOKENS = 5 << 18
+BUCKET_TOKENS = 1 << 20
 #: Bytes of text that are worked on at once.
-PIECE = 1 << 19
+PIECE = 1 << 20
 
 _END = U64(0x5E5E5E5E00000001)
-_START = U64(0x5E5E5E5E00000002)
 _FIRST = U64(0x9E3779B97F4A7C15)
-_BITS = 22  # of a word's or pair's number
-
-
-class Lookup:
-    """Numbers of 64-bit keys, for many keys at once."""
-
-    def __init__(self, keys: np.ndarray):
-        hashes = mix(keys.astype(U64))
-        self._order = np.argsort(hashes)
-        self._hashes = hashes[self._order]
-        bits = max(1, len(keys).bit_length())
-        self._shift = U64(64 - bits)
-        self._starts = np.searchsorted(self._hashes >> self._shift, np.arange((1 << bits) + 1, dtype=U64))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key in the array that the table was made from; -1 if absent."""
-        out = np.full(len(keys), -1, np.int64)
-        if not len(self._hashes):
-            return out
-        hashes = mix(keys.astype(U64))
-        buckets = (hashes >> self._shift).astype(np.int64)
-        at, end, rows = self._starts[buckets], self._starts[buckets + 1], np.arange(len(keys))
-        while len(rows):
-            left = at < end
-            rows, at, end, hashes = rows[left], at[left], end[left], hashes[left]
-            hit = self._hashes[at] == hashes
-            out[rows[hit]] = self._order[at[hit]]
-            miss = ~hit
-            rows, at, end, hashes = rows[miss], at[miss] + 1, end[miss], hashes[miss]
-        return out
+#: What a question is about; a bucket's number is _KIND times this, and its place.
+_KIND = 1 << 40
+_WORDS, _PAIRS, _TRIPLES, _AFTER_WORD, _AFTER_PAIR = range(5)
+#: Marks of an answer: the chunk is the key's owner; the key occurs twice or more in all texts; some of that isn't learned.
+_OWNER, _AGAIN, _OUTSIDE = 1, 2, 4
+_COUNTS = (np.int64, np.uint8)
+_SUMS = (np.int64, np.float64)
+_QUESTION = "bucket long, chunk long, blob binary"
+_ANSWER = "chunk long, bucket long, blob binary, n long, v long"
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -91,297 +72,318 @@ def joined_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first * _FIRST) + second)
 
 
-def grams(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of the pair that ends at each token, and whether a pair and a triple ends there."""
-    place = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
-    return joined_keys(np.roll(hashes, 1), hashes), place >= 1, place >= 2
-
-
-class Tally:
-    """Counts of keys in parts, passed on as batches of bounded size."""
-
-    def __init__(self, parts: int = 1):
-        self.keys = np.zeros(0, U64)
-        self.parts, self.counts = np.zeros((parts, 0), U64), np.zeros(0, np.int64)
-
-    def add(self, *parts: np.ndarray) -> None:
-        keys = joined_keys(*parts[:2]) if len(parts) > 1 else parts[0]  # a third part follows from them
-        new, at, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts = np.concatenate([self.parts, np.stack([x[at] for x in parts])], axis=1)
-        both, at, to = np.unique(np.concatenate([self.keys, new]), return_index=True, return_inverse=True)
-        self.counts = np.bincount(to, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
-        self.keys, self.parts = both, self.parts[:, at]
-
-    def batch(self, names: Sequence[str]) -> pa.RecordBatch:
-        arrays = [pa.array(signed(x)) for x in self.parts]
-        out = pa.RecordBatch.from_arrays([*arrays, pa.array(self.counts)], [*names, "n"])
-        self.__init__(len(arrays))
-        return out
-
-
-def count_keys(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], Sequence[np.ndarray]], *names: str) -> DataFrame:
-    """(names, n) over all texts, summed in the tasks before the shuffle."""
-
-    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(len(names))
-        for batch in pieces(batches, PIECE):
-            tally.add(*keys_of(*tokens(batch)))
-            if len(tally.keys) > TALLIED:
-                yield tally.batch(names)
-        yield tally.batch(names)
-
-    schema = ", ".join([*(f"{x} long" for x in names), "n long"])
-    return docs.select("text").mapInArrow(tallied, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte in order of significance and compressed."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).ravel() for c in columns]
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: pa.BinaryScalar, *types: type) -> list[np.ndarray]:
+    data = blob.as_py()
+    n, widths = int.from_bytes(data[:8], "little"), [np.dtype(t).itemsize for t in types]
+    planes = np.frombuffer(pa.decompress(data[8:], n * sum(widths), "zstd"), np.uint8).reshape(sum(widths), n)
+    ends = np.cumsum(widths)
+    return [np.ascontiguousarray(planes[e - w : e].T).view(t).ravel() for e, w, t in zip(ends, widths, types)]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each, and the number of each place's key."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[order[new]], order[new], number
+
+
+def _asked(kind: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) for sorted keys and what is known of them, dealt by the keys' first bits."""
+    place = ((keys >> U64(32)) * U64(buckets)) >> U64(32)
+    edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(keys)) if len(keys) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        steps = np.diff(keys[a:b], prepend=U64(0))
+        yield kind * _KIND + int(place[a]), packed(steps, *(c[a:b] for c in columns))
+
+
+def _questions(chunk: int, asked: list[tuple[int, bytes]]) -> pa.Table:
+    buckets, blobs = zip(*asked) if asked else ((), ())
+    columns = [pa.array(buckets, pa.int64()), pa.array([chunk] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())]
+    return pa.table(columns, ["bucket", "chunk", "blob"])
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def _answer(questions: pa.Table) -> pa.Table:
+    """The answers of one bucket, to each chunk for its keys in order. Chunks are taken in order, so that
+    a task that runs again answers alike."""
+    questions = questions.sort_by("chunk")
+    bucket = questions.column("bucket")[0].as_py()
+    blobs, chunks = questions.column("blob"), questions.column("chunk")
+    sums = bucket // _KIND >= _AFTER_WORD
+    known = [unpacked(b, U64, *(_SUMS if sums else (np.int32, np.int32))) for b in blobs]
+    keys, one, two = (np.concatenate([np.cumsum(k[0]) if c == 0 else k[c] for k in known]) for c in range(3))
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+    one, two = _sums(one[order].astype(np.int64), starts), _sums(two[order].astype(np.float64 if sums else np.int64), starts)
+    if sums:
+        answers = (one, two)
+    else:
+        answers = (one, (_AGAIN * (two > 1) + _OUTSIDE * (two > one)).astype(np.uint8))
+    columns = [np.empty(len(keys), a.dtype) for a in answers]
+    for column, answer in zip(columns, answers):
+        column[order] = answer[which]
+    if not sums:
+        columns[1][order[starts]] |= _OWNER
+    ends = np.cumsum([len(k[0]) for k in known])
+    found = [packed(*(c[e - len(k[0]) : e] for c in columns)) for k, e in zip(known, ends)]
+    totals = (int(one.sum()), int((one > 0).sum())) if bucket // _KIND == _WORDS else (0, 0)
+    rest = [pa.array([t] + [0] * (len(found) - 1), pa.int64()) for t in totals]
+    same = pa.array([bucket] * len(found), pa.int64())
+    return pa.table([chunks, same, pa.array(found, pa.binary()), *rest], ["chunk", "bucket", "blob", "n", "v"])
+
+
+def _answers(questions: DataFrame, name: str) -> DataFrame:
+    """The questions of all chunks, answered bucket by bucket."""
+    return written(questions.groupBy("bucket").applyInArrow(_answer, _ANSWER), name, "zstd", freed=True)
 
 
 @dataclass
-class Automaton:
-    words: np.ndarray  # hashes of the frequent words
-    pairs: np.ndarray  # first word's number << _BITS | second's
-    triples: np.ndarray  # pair's number << _BITS | third word's number
-    word_log: np.ndarray
-    pair_log: np.ndarray
-    triple_log: np.ndarray
-    word_fail: np.ndarray  # backoff weights of one-word states
-    pair_fail: np.ndarray  # and of two-word states
-
-
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (first.astype(U64) << U64(_BITS)) | second.astype(U64)
-
-
-def weigh(words, word_n, pairs, pair_n, triples, triple_n, tokens_n: int, distinct: int) -> Automaton:
-    """Probabilities by absolute discounting; what the arcs of a state leave goes to its failure arc."""
-    low = U64((1 << _BITS) - 1)
-    word_p = (word_n + 1) / (tokens_n + distinct + 1)
-
-    def arcs(contexts: int, context: np.ndarray, n: np.ndarray, context_n: np.ndarray, lower: np.ndarray):
-        p = (n - DISCOUNT) / context_n[context]
-        left = 1 - np.bincount(context, p, minlength=contexts)
-        lower_left = 1 - np.bincount(context, lower, minlength=contexts)
-        has = np.bincount(context, minlength=contexts) > 0
-        fail = np.where(has, np.log10(np.maximum(left, 1e-9) / np.maximum(lower_left, 1e-9)), 0.0)
-        return p, fail
-
-    first, second = (pairs >> U64(_BITS)).astype(np.int64), (pairs & low).astype(np.int64)
-    pair_p, word_fail = arcs(len(words), first, pair_n, word_n, word_p[second])
-    state, third = (triples >> U64(_BITS)).astype(np.int64), (triples & low).astype(np.int64)
-    lower = Lookup(pairs).find(pair_keys(second[state], third)) if len(triples) else np.zeros(0, np.int64)
-    triple_p, pair_fail = arcs(len(pairs), state, triple_n, pair_n, pair_p[lower])
-    return Automaton(
-        words, pairs, triples, np.log10(word_p), np.log10(pair_p), np.log10(triple_p), word_fail, pair_fail
-    )
+class Chunk:
+    """The texts of one chunk: words are the distinct hashes, most frequent first, ids the tokens' numbers in them."""
 
+    words: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray
+    learned: np.ndarray
+
+    @classmethod
+    def of(cls, row: pa.Table) -> Chunk:
+        field = lambda name, kind: unpacked(row.column(name)[0], kind)[0]
+        return cls(field("words", U64), field("ids", np.int32), field("sizes", np.int64), field("learned", np.bool_))
+
+    def __post_init__(self):
+        self.offsets = np.append(0, np.cumsum(self.sizes))
+        self.place = np.arange(len(self.ids)) - np.repeat(self.offsets[:-1], self.sizes)
+        self.counts = np.repeat(self.learned, self.sizes)  # whether a token is learned from
+        self.order = np.argsort(self.words)
+        # Pairs: the tokens at which one ends, their distinct keys, one's place, and each token's number.
+        self.second = np.flatnonzero(self.place >= 1)
+        keys = joined_keys(self.words[self.ids[self.second - 1]], self.words[self.ids[self.second]])
+        self.pairs, at, number = _distinct(keys)
+        self.first, self.last = self.ids[self.second[at] - 1], self.ids[self.second[at]]
+        self.pair_of = np.zeros(len(self.ids), np.int32)
+        self.pair_of[self.second] = number
+
+    def tallies(self, number: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+        """Learned and all occurrences of n keys, from the key's number of each of the tokens `at`."""
+        return [np.bincount(x, minlength=n).astype(np.int32) for x in (number[self.counts[at]], number)]
+
+    def hear(self, answers: pa.Table) -> None:
+        """Answers of every round so far, in the order of the questions."""
+        answers = answers.sort_by("bucket")
+        kinds = answers.column("bucket").to_numpy() // _KIND
+        blobs = answers.column("blob")
+
+        def of(kind: int, types: tuple[type, ...]) -> list[np.ndarray]:
+            known = [unpacked(blobs[int(i)], *types) for i in np.flatnonzero(kinds == kind)]
+            return [np.concatenate([np.zeros(0, t), *(k[c] for k in known)]) for c, t in enumerate(types)]
+
+        n, marks = of(_WORDS, _COUNTS)
+        self.word_n, self.word_marks = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.uint8)
+        self.word_n[self.order], self.word_marks[self.order] = n, marks
+        self.pair_n, self.pair_marks = of(_PAIRS, _COUNTS)
+        self.heard = of
+
+    def ask_triples(self) -> None:
+        """The tokens whose state is a pair of learned texts that occurs again, and their distinct triples."""
+        third = np.flatnonzero(self.place >= 2)
+        state = self.pair_of[third - 1]
+        self.after = third[(self.pair_n[state] > 0) & (self.pair_marks[state] & _AGAIN > 0)]
+        keys = joined_keys(self.pairs[self.pair_of[self.after - 1]], self.words[self.ids[self.after]])
+        self.triples, at, self.triple_of = _distinct(keys)
+        self.state, self.lower = self.pair_of[self.after[at] - 1], self.pair_of[self.after[at]]
+
+    def pair_p(self) -> np.ndarray:
+        """Probabilities of the arcs of one-word states."""
+        return np.maximum(self.pair_n - DISCOUNT, 0) / np.maximum(self.word_n[self.first], 1)
+
+    def sums(self, context: np.ndarray, owned: np.ndarray, lower: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(context, arcs, lower) from the arcs this chunk owns, for contexts that have some or are wanted."""
+        arcs = np.bincount(context[owned], minlength=len(wanted))
+        below = np.bincount(context[owned], lower[owned], minlength=len(wanted))
+        at = np.flatnonzero(wanted | (arcs > 0))
+        return at, arcs[at], below[at]
+
+
+def _failure(total: np.ndarray, arcs: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 weight of the failure arcs of states: what its arcs leave, over what theirs leave in the next state."""
+    left = np.maximum(DISCOUNT * arcs / np.maximum(total, 1), 1e-9)
+    return np.where(arcs > 0, np.log10(np.where(arcs > 0, left, 1) / np.maximum(1 - lower, 1e-9)), 0.0)
+
+
+class Model:
+    """What all chunks share: the numbers of tokens and words that were learned, and of buckets."""
+
+    def __init__(self, buckets: int, tokens: int = 0, distinct: int = 0):
+        self.buckets, self.tokens, self.distinct = buckets, tokens, distinct
+
+    def root(self, chunk: Chunk) -> np.ndarray:
+        return (chunk.word_n + 1) / (self.tokens + self.distinct + 1)
+
+    def counts(self, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        """First round: words and pairs, with their occurrences in the chunk."""
+        every = np.arange(len(chunk.ids))
+        words = [c[chunk.order] for c in chunk.tallies(chunk.ids, every, len(chunk.words))]
+        yield from _asked(_WORDS, self.buckets, chunk.words[chunk.order], *words)
+        pairs = chunk.tallies(chunk.pair_of[chunk.second], chunk.second, len(chunk.pairs))
+        yield from _asked(_PAIRS, self.buckets, chunk.pairs, *pairs)
+
+    def arcs(self, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        """Second round: triples, and sums over the arcs of words that a text can leave by a failure arc."""
+        chunk.ask_triples()
+        yield from _asked(_TRIPLES, self.buckets, chunk.triples, *chunk.tallies(chunk.triple_of, chunk.after, len(chunk.triples)))
+        failing = np.zeros(len(chunk.words), bool)
+        failing[chunk.first[chunk.pair_n == 0]] = True
+        owned = (chunk.pair_marks & _OWNER > 0) & (chunk.pair_n > 0) & (chunk.word_marks[chunk.first] & _OUTSIDE > 0)
+        at, n, lower = chunk.sums(chunk.first, owned, self.root(chunk)[chunk.last], failing & (chunk.word_n > 0))
+        order = np.argsort(chunk.words[at])
+        yield from _asked(_AFTER_WORD, self.buckets, chunk.words[at][order], n[order], lower[order])
+
+    def _contexts(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chunk.ask_triples()
+        chunk.triple_n, chunk.triple_marks = chunk.heard(_TRIPLES, _COUNTS)
+        failing = np.zeros(len(chunk.pairs), bool)
+        failing[chunk.state[chunk.triple_n == 0]] = True
+        owned = (chunk.triple_marks & _OWNER > 0) & (chunk.triple_n > 0) & (chunk.pair_marks[chunk.state] & _OUTSIDE > 0)
+        return chunk.sums(chunk.state, owned, chunk.pair_p()[chunk.lower], failing)
+
+    def states(self, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        """Third round: sums over the arcs of pairs that a text can leave by a failure arc."""
+        at, n, lower = self._contexts(chunk)
+        yield from _asked(_AFTER_PAIR, self.buckets, chunk.pairs[at], n, lower)
+
+    def traverse(self, chunk: Chunk) -> pa.Table:
+        """Every text from left to right, with the chunk's part of the automaton."""
+        root = self.root(chunk)
+        word_log, pair_log = np.log10(root), np.log10(np.where(chunk.pair_n > 0, chunk.pair_p(), 1))
+        at, *_ = self._contexts(chunk)
+        pair_fail = np.zeros(len(chunk.pairs))
+        pair_fail[at] = _failure(chunk.pair_n[at], *chunk.heard(_AFTER_PAIR, _SUMS))
+        # A failing one-word state has its sums; the others were asked for their arcs' sake.
+        failing = np.zeros(len(chunk.words), bool)
+        failing[chunk.first[chunk.pair_n == 0]] = True
+        owned = (chunk.pair_marks & _OWNER > 0) & (chunk.pair_n > 0) & (chunk.word_marks[chunk.first] & _OUTSIDE > 0)
+        words, *_ = chunk.sums(chunk.first, owned, root[chunk.last], failing & (chunk.word_n > 0))
+        words = words[np.argsort(chunk.words[words])]
+        word_fail = np.zeros(len(chunk.words))
+        word_fail[words] = _failure(chunk.word_n[words], *chunk.heard(_AFTER_WORD, _SUMS))
+
+        logs = np.zeros(len(chunk.ids))
+        at = np.flatnonzero(chunk.place == 0)  # a text starts at the root
+        logs[at] = word_log[chunk.ids[at]]
+        at = chunk.second  # from one-word states, or from where a two-word state's failure arc leads
+        pair = chunk.pair_of[at]
+        arc = chunk.pair_n[pair] > 0
+        logs[at] = np.where(arc, pair_log[pair], word_fail[chunk.ids[at - 1]] + word_log[chunk.ids[at]])
+        third = np.flatnonzero(chunk.place >= 2)
+        state = chunk.pair_of[third - 1]
+        # A pair that occurs once and is learned has the arc that follows it here.
+        alone = third[(chunk.pair_n[state] > 0) & (chunk.pair_marks[state] & _AGAIN == 0)]
+        logs[alone] = np.log10(1 - DISCOUNT)
+        state, n = chunk.pair_of[chunk.after - 1], chunk.triple_n[chunk.triple_of]
+        p = np.log10(np.where(n > 0, n - DISCOUNT, 1) / np.maximum(chunk.pair_n[state], 1))
+        logs[chunk.after] = np.where(n > 0, p, pair_fail[state] + logs[chunk.after])
+
+        by_text = lambda x: _sums(x, chunk.offsets[:-1])
+        known = by_text((chunk.word_n[chunk.ids] > 0).astype(np.int64))
+        n = pa.array(np.full(len(chunk.sizes), self.tokens))
+        columns = [pa.array(x) for x in (chunk.sizes, known, by_text(word_log[chunk.ids]), by_text(logs))]
+        return pa.StructArray.from_arrays([*columns, n], ["n_tokens", "n_known", "base_score", "score", "train_tokens"])
+
+
+def _chunks(docs: DataFrame, learned: Column, chunk_tokens: int) -> DataFrame:
+    """(chunk, tokens, words, ids, sizes, learned, boxes): all rows of docs, gathered."""
+    flag = F.coalesce(learned, F.lit(False))
+    box = boxed(docs.withColumn("_learned", flag), "text", "_learned")
+    schema = StructType().add("chunk", LongType()).add("tokens", LongType())
+    for name in ("words", "ids", "sizes", "learned"):
+        schema = schema.add(name, BinaryType())
+    schema = schema.add("boxes", ArrayType(box.schema["_box"].dataType))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, []
+
+        def row() -> pa.RecordBatch:
+            words, ids, n = np.unique(np.concatenate([h for h, *_ in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            sizes, flags = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+            blobs = [pa.array([packed(x)], pa.binary()) for x in (words[order], rank[ids], sizes, flags)]
+            boxes = pa.concat_arrays([h[3] for h in held])
+            boxes = pa.ListArray.from_arrays(pa.array([0, len(boxes)], pa.int32()), boxes)
+            counts = [pa.array([x], pa.int64()) for x in (chunk, len(ids))]
+            return pa.RecordBatch.from_arrays([*counts, *blobs, boxes], schema.names)
 
-@dataclass
-class Hot:
-    """What every task holds: the words and triples of the shares, with log10 probabilities."""
+        for batch in pieces(batches, PIECE):
+            hashes, offsets = tokens(batch)
+            flags = batch.column("_learned").to_numpy(zero_copy_only=False)
+            held.append((hashes, np.diff(offsets), flags, batch.column("_box")))
+            if sum(len(h) for h, *_ in held) >= chunk_tokens:
+                yield row()
+                chunk, held = chunk + 1, []
+        if held:
+            yield row()
 
-    words: np.ndarray
-    word_log: np.ndarray
-    triples: np.ndarray  # hash of the triple's pairs
-    triple_log: np.ndarray
-
-    def open(self) -> Hot:
-        self.find_word, self.find_triple = Lookup(self.words), Lookup(self.triples)
-        return self
-
-    def settle(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: whether its word is held, its root probability if so, its probability after two words
-        if the triple is held, and whether joins must find the latter."""
-        word = self.find_word.find(hashes)
-        root = np.zeros(len(hashes))
-        root[word >= 0] = self.word_log[word[word >= 0]]
-        pair, second, third = grams(hashes, offsets)
-        at = np.flatnonzero(third)
-        found = self.find_triple.find(joined_keys(pair[at - 1], pair[at]))
-        held, logs = found >= 0, np.zeros(len(hashes))
-        logs[at[held]] = self.triple_log[found[held]]
-        left = second.copy()
-        left[at[held]] = False
-        return word >= 0, root, logs, left
+    return written(box.mapInArrow(gathered, schema), "lm-chunks", "zstd")
 
 
-@dataclass
-class Trained:
-    """The model as tables, and the hot part of it. Keys are hashes, probabilities and weights log10."""
-
-    hot: Hot
-    counts: DataFrame  # of all words: key, n
-    contexts: DataFrame  # of all words that another follows: key, fail
-    pairs: DataFrame  # a, b, key, n, log, fail
-    triples: DataFrame  # first, last (its pairs), n, log
-    tokens: int
-    distinct: int
-
-    @property
-    def automaton(self) -> Automaton:
-        """The whole automaton in memory, for small training tables."""
-        words, word_n = _gathered(self.counts, "key")
-        if len(words) > 1 << _BITS:
-            raise ValueError(f"{len(words)} words are too many to gather")
-        number = lambda known, keys: np.searchsorted(known, keys)
-        a, b, keys, pair_n = _gathered(self.pairs, "a", "b", "key")
-        pairs = pair_keys(number(words, a), number(words, b))
-        order = np.argsort(keys)
-        first, last, triple_n = _gathered(self.triples, "first", "last")
-        state, lower = (order[np.searchsorted(keys, x, sorter=order)] for x in (first, last))
-        triples = pair_keys(state, number(words, b[lower]))
-        return weigh(words, word_n, pairs, pair_n, triples, triple_n, self.tokens, self.distinct)
-
-
-def _gathered(counts: DataFrame, *keys: str) -> list[np.ndarray]:
-    """The key columns and n, in the order of the keys."""
-    table = counts.select(*keys, "n").toArrow()
-    columns = [table.column(c).to_numpy().astype(np.int64) for c in (*keys, "n")]
-    columns[:-1] = [c.view(U64) for c in columns[:-1]]
-    order = np.lexsort(columns[-2::-1])
-    return [c[order] for c in columns]
-
-
-def _failing(arcs: DataFrame, context: str, lower: Column) -> DataFrame:
-    """(context, total, fail) of arcs with counts n and the lower state's probabilities."""
-    found = arcs.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("arcs"), F.sum(lower).alias("lower"))
-    left = F.greatest(F.lit(DISCOUNT) * F.col("arcs") / F.col("total"), F.lit(1e-9))
-    fail = F.log10(left / F.greatest(1 - F.col("lower"), F.lit(1e-9)))
-    return found.select(context, "total", fail.alias("fail"))
-
-
-def train(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Trained:
-    """Counts over all rows of docs, in one pass for each length of n-gram."""
-    text_batches(docs.sparkSession)
-    counts = written(count_keys(docs, lambda hashes, offsets: [hashes], "key"), "lm-words")
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-
-    def pairs_of(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        pair, second, _ = grams(hashes, offsets)
-        at = np.flatnonzero(second)
-        return [hashes[at - 1], hashes[at], pair[at]]
-
-    def triples_of(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        pair, _, third = grams(hashes, offsets)
-        at = np.flatnonzero(third)
-        return [pair[at - 1], pair[at]]
-
-    # Totals are sums over the arcs: every token but the last of a text is followed by one.
-    arc = lambda: F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("log")
-    pair_n = written(count_keys(docs, pairs_of, "a", "b", "key"), "lm-pair-counts")
-    word_n = counts.select(F.col("key").alias("b"), ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("root"))
-    contexts = written(_failing(pair_n.join(word_n, "b"), "a", F.col("root")), "lm-contexts")
-    pair_log = written(pair_n.join(contexts, "a").select("a", "b", "key", "n", arc()), "lm-pair-logs")
-    triple_n = written(count_keys(docs, triples_of, "first", "last"), "lm-triple-counts")
-    lower = pair_log.select(F.col("key").alias("last"), "log")
-    states = written(_failing(triple_n.join(lower, "last"), "first", F.pow(F.lit(10.0), "log")), "lm-states")
-    fail = states.select(F.col("first").alias("key"), "fail")
-    pairs = written(pair_log.join(fail, "key", "left").withColumn("fail", F.coalesce("fail", F.lit(0.0))), "lm-pairs")
-    triples = written(triple_n.join(states, "first").select("first", "last", "n", arc()), "lm-triples")
-
-    words = counts.where(F.col("n") >= F.lit(word_share * n)).toArrow()
-    hot = triples.where(F.col("n") >= F.lit(gram_share * n)).toArrow()
-    keys = lambda table, name: table.column(name).to_numpy().astype(np.int64).view(U64)
-    found = Hot(
-        keys(words, "key"), np.log10((words.column("n").to_numpy().astype(np.int64) + 1) / (n + v + 1)),
-        joined_keys(keys(hot, "first"), keys(hot, "last")), hot.column("log").to_numpy().astype(float),
-    )
-    return Trained(found, counts, contexts.select(F.col("a").alias("key"), "fail"), pairs, triples, n, v)
-
-
-def opened(shared) -> Hot:
-    """The broadcast part with its tables, made once in each worker."""
-    model = shared.value
-    return model if hasattr(model, "find_word") else model.open()
-
-
-def score(docs: DataFrame, model: Trained) -> DataFrame:
-    """docs' columns but text, with a struct `lm`: n_tokens, n_known, base_score, score."""
+def score(docs: DataFrame, learned: Column, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """docs' columns but text, with a struct `lm`: n_tokens, n_known, base_score, score, train_tokens.
+    The model is that of the rows where `learned` is true; to score other texts by it, add them as rows that aren't."""
     text_batches(docs.sparkSession)
-    box = boxed(docs, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model.hot)
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, row = opened(shared), TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, PIECE):
-            n = batch.num_rows
-            hashes, offsets = tokens(batch)
-            known, root, logs, left = hot.settle(hashes, offsets)
-            logs[offsets[:-1]] = root[offsets[:-1]]  # the first token starts at the root
-            sums = lambda x: np.add.reduceat(x, offsets[:-1])
-
-            def lists(values: np.ndarray, which: np.ndarray) -> pa.Array:
-                ends = np.append(0, np.cumsum(sums(which.astype(np.int32)))).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(values[which])))
-
-            counted = [pa.array(x) for x in (np.arange(row, row + n), np.diff(offsets), sums(root), sums(logs))]
-            every = lists(hashes, np.ones(len(hashes), bool))
-            arrays = [batch.column("_box"), *counted, lists(hashes, ~known), every]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
-            row += n
-
-    schema = StructType([box.schema["_box"]])
-    for name, kind in (("row", LongType()), ("tokens", LongType()), ("base", DoubleType()), ("score", DoubleType())):
-        schema = schema.add(name, kind)
-    schema = schema.add("rare", ArrayType(LongType())).add("words", ArrayType(LongType()))
-    passed = written(box.mapInArrow(settled, schema), "lm-passed")
-
-    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = opened(shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                lists = part.column("words")
-                hashes = lists.flatten().to_numpy().astype(np.int64).view(U64)
-                sizes = lists.value_lengths().to_numpy().astype(np.int64)
-                offsets = np.append(0, np.cumsum(sizes))
-                pair, _, third = grams(hashes, offsets)
-                to = np.flatnonzero(hot.settle(hashes, offsets)[3])
-                rows = np.repeat(part.column("row").to_numpy(), sizes)[to]
-                first, b = pair[to - 1], hashes[to - 1]
-                lone = ~third[to]  # no pair ends before a text's second token
-                first[lone] = joined_keys(np.full(lone.sum(), _START, U64), b[lone])
-                arrays = [pa.array(rows), *(pa.array(signed(x)) for x in (first, pair[to], b, hashes[to]))]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "first", "last", "b", "c"])
-
-    root = lambda n: F.log10((F.coalesce(n, F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))
-    open_ = passed.select("row", "words").mapInArrow(unsettled, "row long, first long, last long, b long, c long")
-    third = written(
-        open_.join(model.triples.select("first", "last", "log"), ["first", "last"], "left").select(
-            "row", "log", *[F.when(F.col("log").isNull(), F.col(c)).alias(c) for c in ("first", "last", "b", "c")]
-        ),
-        "lm-third",
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    state = model.pairs.select(F.col("key").alias("first"), "fail")
-    arc = model.pairs.select(F.col("key").alias("last"), "log")
-    second = written(
-        third.where("log IS NULL").drop("log").join(state, "first", "left").join(arc, "last", "left")
-        .select("row", zero("fail").alias("fail"), "log", "b", "c"),
-        "lm-second",
-    )
-    context = model.contexts.select(F.col("key").alias("b"), F.col("fail").alias("more"))
-    word = model.counts.select(F.col("key").alias("c"), "n")
-    first = second.where("log IS NULL").join(context, "b", "left").join(word, "c", "left")
-    # The first token of a text starts at the root; a rare one counts nothing so far.
-    lead = passed.where(F.get("rare", F.lit(0)) == F.get("words", F.lit(0))).select("row", F.col("words")[0].alias("c"))
-    lead = lead.join(word, "c", "left")
-    arcs = (
-        third.where("log IS NOT NULL").select("row", "log")
-        .unionAll(second.where("log IS NOT NULL").select("row", F.col("fail") + F.col("log")))
-        .unionAll(first.select("row", F.col("fail") + zero("more") + root(F.col("n"))))
-        .unionAll(lead.select("row", root(F.col("n"))))
-        .groupBy("row").agg(F.sum("log").alias("arcs"))
-    )
-
-    rare = passed.select("row", F.explode("rare").alias("key")).join(model.counts, "key", "left")
-    looked_up = rare.groupBy("row").agg(
-        F.sum(root(F.col("n"))).alias("more"), F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias("unknown")
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    result = F.struct(
-        F.col("tokens").alias("n_tokens"),
-        (F.col("tokens") - F.coalesce("unknown", F.lit(0))).alias("n_known"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + zero("arcs")).alias("score"),
-    )
-    found = passed.drop("rare", "words").join(looked_up, "row", "left").join(arcs, "row", "left").withColumn("lm", result)
+    chunks = _chunks(docs, learned, chunk_tokens)
+    size = chunks.agg(F.sum("tokens")).first()[0] or 0
+    model = Model(max(1, -(-size // bucket_tokens)))
+    texts = chunks.select("chunk", "words", "ids", "sizes", "learned")
+
+    def first(row: pa.Table) -> pa.Table:
+        return _questions(row.column("chunk")[0].as_py(), list(model.counts(Chunk.of(row))))
+
+    def asking(ask):
+        def asked(row: pa.Table, heard: pa.Table) -> pa.Table:
+            chunk = Chunk.of(row)
+            chunk.hear(heard)
+            return _questions(row.column("chunk")[0].as_py(), list(ask(chunk)))
+
+        return asked
+
+    def again(ask, answers: DataFrame) -> DataFrame:
+        by_chunk = answers.select("chunk", "bucket", "blob").groupBy("chunk")
+        return texts.groupBy("chunk").cogroup(by_chunk).applyInArrow(asking(ask), _QUESTION)
+
+    counts = _answers(texts.groupBy("chunk").applyInArrow(first, _QUESTION), "lm-counts")
+    learnt = counts.agg(F.sum("n"), F.sum("v")).first()
+    model = Model(model.buckets, learnt[0] or 0, learnt[1] or 0)
+    arcs = counts.unionByName(_answers(again(model.arcs, counts), "lm-arcs"))
+    states = arcs.unionByName(_answers(again(model.states, arcs), "lm-states"))
+
+    boxes = chunks.schema["boxes"].dataType.elementType
+    lm = StructType()
+    for name in ("n_tokens", "n_known", "base_score", "score", "train_tokens"):
+        lm = lm.add(name, DoubleType() if name.endswith("score") else LongType())
+    schema = StructType().add("_box", boxes).add("lm", lm)
+
+    def traversed(row: pa.Table, heard: pa.Table) -> pa.Table:
+        chunk = Chunk.of(row)
+        chunk.hear(heard)
+        found = model.traverse(chunk)
+        return pa.table([row.column("boxes").combine_chunks().flatten(), found], ["_box", "lm"])
+
+    by_chunk = states.select("chunk", "bucket", "blob").groupBy("chunk")
+    found = chunks.drop("tokens").groupBy("chunk").cogroup(by_chunk).applyInArrow(traversed, schema)
     return unboxed(found, [c for c in docs.columns if c not in ("text", "lm")], (), "lm")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session without one, as
@@ -21,12 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None, freed: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a
-    lost executor costs no recomputation of what led to it."""
-    path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no recomputation of what led to it. `freed`: shuffle files of the write
+    go when the table stands and not when the driver next collects garbage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREED, "false")
+    if freed:
+        spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if freed:
+            spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from shelflife.llm import backoff_lm, langid, toxicity
 from shelflife.llm.queries import QUERIES
-from shelflife.llm.text import U64
 from tests.llm.docs import DOCS, lower, odd_texts, table, words
 
 SF = "/root/testdata/sf0.01"
@@ -95,115 +94,106 @@ def test_backoff_query_has_the_base_scores(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def walk(model, tokens, unknown):
+def gram_counts(texts):
+    """Counts of words, and of what follows each word and each pair, from tokenized texts."""
+    counts = {}
+    for text in texts:
+        for k, word in enumerate(text):
+            counts[(word,)] = counts.get((word,), 0) + 1
+            for m in (1, 2):
+                if k >= m:
+                    arcs = counts.setdefault(("after", *text[k - m : k]), {})
+                    arcs[word] = arcs.get(word, 0) + 1
+    v = sum(len(key) == 1 for key in counts)
+    return counts, sum(c for key, c in counts.items() if len(key) == 1), v
+
+
+def probability(counts, n, v, state, w):
+    """The probability of a word after a state, from the counts of all n-grams."""
+    if not state:
+        return (counts.get((w,), 0) + 1) / (n + v + 1)
+    arcs = counts.get(("after", *state))
+    if not arcs:
+        return probability(counts, n, v, state[1:], w)
+    total = sum(arcs.values())
+    if w in arcs:
+        return (arcs[w] - 0.5) / total
+    left = max(0.5 * len(arcs) / total, 1e-9)
+    lower = sum(probability(counts, n, v, state[1:], x) for x in arcs)
+    return left / max(1 - lower, 1e-9) * probability(counts, n, v, state[1:], w)
+
+
+def walk(counts, n, v, text):
     """The automaton, one token after the other, with explicit states and failure arcs."""
-    word_of = {int(h): k for k, h in enumerate(model.words)}
-    low = (1 << 22) - 1
-    pairs = {(int(p) >> 22, int(p) & low): k for k, p in enumerate(model.pairs)}
-    triples = {(int(p) >> 22, int(p) & low): k for k, p in enumerate(model.triples)}
     state, total = (), 0.0
-    for token in tokens:
-        w = word_of.get(int(token))
-        while True:
-            if len(state) == 2 and w is not None and (pairs[state], w) in triples:
-                total += model.triple_log[triples[pairs[state], w]]
-                break
-            if len(state) == 1 and w is not None and (state[0], w) in pairs:
-                total += model.pair_log[pairs[state[0], w]]
-                break
-            if not state:
-                total += model.word_log[w] if w is not None else unknown(int(token))
-                break
-            total += model.pair_fail[pairs[state]] if len(state) == 2 else model.word_fail[state[0]]
+    for w in text:
+        while state and w not in counts.get(("after", *state), {}):
+            arcs = counts.get(("after", *state))
+            if arcs:
+                left = max(0.5 * len(arcs) / sum(arcs.values()), 1e-9)
+                lower = sum(probability(counts, n, v, state[1:], x) for x in arcs)
+                total += math.log10(left / max(1 - lower, 1e-9))
             state = state[1:]
-        history = (*state, w) if w is not None else ()
+        total += math.log10(probability(counts, n, v, state, w))
         # The longest suffix of what was read that is a state.
-        state = history if len(history) == 2 and history in pairs else history[-1:]
-        if len(history) == 3:
-            state = history[1:] if history[1:] in pairs else history[-1:]
+        history = (*state, w)[-2:]
+        while history and ("after", *history) not in counts:
+            history = history[1:]
+        state = history
     return total
 
 
-@pytest.mark.parametrize("shares", [(2.0**-22, 2.0**-20), (1 / 300, 1 / 200)])
-def test_traversal_equals_the_automaton(spark, shares):
-    rows = odd_texts() + [(200 + k, "the cat sat on the mat and the cat ran " * (k % 3 + 1)) for k in range(12)]
-    docs = table(spark, rows)
-    model = backoff_lm.train(docs.where("doc_id IS NOT NULL"), *shares)
-    counts = {r["key"] & (2**64 - 1): r["n"] for r in model.counts.collect()}
-    unknown = lambda t: math.log10((counts.get(t, 0) + 1) / (model.tokens + model.distinct + 1))
-    found = backoff_lm.score(docs, model)
-    assert found.columns == [*(c for c in docs.columns if c != "text"), "lm"]
-    got = Counter((r["doc_id"], r["lm"]["n_tokens"], round(r["lm"]["score"], 6)) for r in found.collect())
-    import pyarrow as pa
-
-    expected = Counter()
-    for i, t in rows:
-        tokens, _ = backoff_lm.tokens(pa.RecordBatch.from_pydict({"text": pa.array([t], pa.string())}))
-        expected[i, len(tokens), round(walk(model.automaton, tokens.astype(U64), unknown), 6)] += 1
-    assert got == expected
-
-
-def backoff(counts, n, v, history, word):
-    """log10 probability of a word after a history, from the counts of all n-grams."""
-    root = lambda w: (counts.get((w,), 0) + 1) / (n + v + 1)
-
-    def p(state, w):
-        if not state:
-            return root(w)
-        arcs = counts.get(("after", *state))
-        if not arcs:
-            return p(state[1:], w)
-        total = sum(arcs.values())
-        if w in arcs:
-            return (arcs[w] - 0.5) / total
-        left = max(0.5 * len(arcs) / total, 1e-9)
-        return left / max(1 - sum(p(state[1:], x) for x in arcs), 1e-9) * p(state[1:], w)
-
-    return math.log10(p(history, word))
-
-
-@pytest.mark.parametrize("shares", [(2.0**-22, 2.0**-20), (1 / 300, 1 / 200), (2, 2)])
-def test_no_rare_gram_is_left_out(spark, shares):
+SIZES = [{}, {"chunk_tokens": 500, "bucket_tokens": 1000}, {"chunk_tokens": 1, "bucket_tokens": 300}]
+
+
+def odd_rows():
     rows = odd_texts() + [(200 + k, "the cat sat on the mat and the cat ran " * (k % 3 + 1)) for k in range(12)]
     rows += [(300, "rare words once"), (None, "rare words once more"), (None, "other rare words"), (None, "words once more")]
+    return rows + [(301, "twice in one twice in one other"), (None, "twice in one twice in two"), (None, "the cat sat on a mat")]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_no_rare_gram_is_left_out(spark, sizes):
+    rows = odd_rows()
     texts = [[*words(lower(t)), None] for _, t in rows]
-    counts = {}
-    for (i, _), text in zip(rows, texts):
-        if i is None:
-            continue
-        for k, word in enumerate(text):
-            counts[(word,)] = counts.get((word,), 0) + 1
-            for m in (1, 2):
-                if k >= m:
-                    arcs = counts.setdefault(("after", *text[k - m : k]), {})
-                    arcs[word] = arcs.get(word, 0) + 1
-    v = sum(len(key) == 1 for key in counts)
-    n = sum(c for key, c in counts.items() if len(key) == 1)
+    counted = gram_counts([text for (i, _), text in zip(rows, texts) if i is not None])
     docs = table(spark, rows)
-    model = backoff_lm.train(docs.where("doc_id IS NOT NULL"), *shares)
-    got = sorted((str(r["doc_id"]), r["lm"]["n_tokens"], r["lm"]["score"]) for r in backoff_lm.score(docs, model).collect())
-    expected = sorted(
-        (str(i), len(t), sum(backoff(counts, n, v, tuple(t[max(0, k - 2) : k]), w) for k, w in enumerate(t)))
-        for (i, _), t in zip(rows, texts)
-    )
+    scored = backoff_lm.score(docs, F.col("doc_id").isNotNull(), **sizes)
+    assert scored.columns == [*(c for c in docs.columns if c != "text"), "lm"]
+    got = sorted((str(r["doc_id"]), r["lm"]["n_tokens"], r["lm"]["score"]) for r in scored.collect())
+    logs = lambda t: sum(math.log10(probability(*counted, tuple(t[max(0, k - 2) : k]), w)) for k, w in enumerate(t))
+    expected = sorted((str(i), len(t), logs(t)) for (i, _), t in zip(rows, texts))
     assert [g[:2] for g in got] == [e[:2] for e in expected]
     assert [g[2] for g in got] == pytest.approx([e[2] for e in expected])
 
 
+def test_traversal_equals_the_automaton(spark):
+    rows = odd_rows()
+    texts = [[*words(lower(t)), None] for _, t in rows]
+    counted = gram_counts([text for (i, _), text in zip(rows, texts) if i is not None])
+    scored = backoff_lm.score(table(spark, rows), F.col("doc_id").isNotNull(), chunk_tokens=2000)
+    got = Counter((r["doc_id"], r["lm"]["n_tokens"], round(r["lm"]["score"], 6)) for r in scored.collect())
+    assert got == Counter((i, len(t), round(walk(*counted, t), 6)) for (i, _), t in zip(rows, texts))
+
+
 def test_states_are_normalised(spark):
-    docs = table(spark, [(k, "a b a c a b d b a") for k in range(5)] + [(9, "b a d c")])
-    model = backoff_lm.train(docs)
-    m, low = model.automaton, (1 << 22) - 1
-    for state in range(len(m.words)):
-        seen = {int(p) & low: 10 ** m.pair_log[k] for k, p in enumerate(m.pairs) if int(p) >> 22 == state}
-        rest = sum(10 ** m.word_log[w] for w in range(len(m.words)) if w not in seen)
-        rest += 1 / (model.tokens + model.distinct + 1)  # of unknown words
-        assert sum(seen.values()) + 10 ** m.word_fail[state] * rest == pytest.approx(1)
+    """The learned text and one text for every word that may follow a state: their probabilities sum to one."""
+    vocabulary, states = ["a", "b", "c", "d"], ["a", "b", "d", "a b", "b a", "c c"]
+    rows = [(k, "a b a c a b d b a") for k in range(5)] + [(9, "b a d c")]
+    rows += [(None, f"{state} {w}") for state in states for w in [*vocabulary, "unseen"]] + [(None, state) for state in states]
+    found = backoff_lm.score(table(spark, rows).withColumn("kept", F.col("text")), F.col("doc_id").isNotNull()).collect()
+    score = {r["kept"]: r["lm"]["score"] for r in found}
+    counted = gram_counts([[*words(t), None] for i, t in rows if i is not None])
+    end = lambda *state: math.log10(probability(*counted, tuple(x.encode() for x in state), None))
+    for state in states:
+        before = score[state] - end(*state.split())
+        following = sum(10 ** (score[f"{state} {w}"] - end(state.split()[-1], w) - before) for w in [*vocabulary, "unseen"])
+        assert following + 10 ** end(*state.split()) == pytest.approx(1)
 
 
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], DOCS)
-    model = backoff_lm.train(empty)
-    assert backoff_lm.score(empty, model).count() == 0
-    found = backoff_lm.score(table(spark, odd_texts()), model).collect()
-    assert all(r["lm"]["n_known"] == 0 and r["lm"]["score"] == 0.0 for r in found)
+    assert backoff_lm.score(empty, F.lit(True)).count() == 0
+    found = backoff_lm.score(table(spark, odd_texts()), F.lit(None).cast("boolean")).collect()
+    assert len(found) == len(odd_texts())
+    assert all(r["lm"]["n_known"] == 0 and r["lm"]["score"] == 0.0 and r["lm"]["train_tokens"] == 0 for r in found)
