@@ -50,7 +50,7 @@ _WORDS, _PAIRS, _TRIPLES, _AFTER_WORD, _AFTER_PAIR = range(5)
 #: Marks of an answer: the chunk is the key's owner; the key occurs twice or more in all texts; some of that isn't learned.
 _OWNER, _AGAIN, _OUTSIDE = 1, 2, 4
 _COUNTS = (np.int64, np.uint8)
-_SUMS = (np.int64, np.float64)
+_SUMS = (np.int64, np.int64)
 _QUESTION = "bucket long, chunk long, blob binary"
 _ANSWER = "chunk long, bucket long, blob binary, n long, v long"
 
@@ -128,7 +128,7 @@ def _answer(questions: pa.Table) -> pa.Table:
     new = np.ones(len(keys), bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
     starts, which = np.flatnonzero(new), np.cumsum(new) - 1
-    one, two = _sums(one[order].astype(np.int64), starts), _sums(two[order].astype(np.float64 if sums else np.int64), starts)
+    one, two = (_sums(x[order].astype(np.int64), starts) for x in (one, two))
     if sums:
         answers = (one, two)
     else:
@@ -212,15 +212,16 @@ class Chunk:
         return np.maximum(self.pair_n - DISCOUNT, 0) / np.maximum(self.word_n[self.first], 1)
 
     def sums(self, context: np.ndarray, owned: np.ndarray, lower: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(context, arcs, lower) from the arcs this chunk owns, for contexts that have some or are wanted."""
-        arcs = np.bincount(context[owned], minlength=len(wanted))
-        below = np.bincount(context[owned], lower[owned], minlength=len(wanted))
+        """(context, arcs, their counts in the next state) from the arcs this chunk owns, for contexts that have some
+        or are wanted. Whole numbers, so that the order in which they are added doesn't matter."""
+        arcs, below = np.bincount(context[owned], minlength=len(wanted)), np.zeros(len(wanted), np.int64)
+        np.add.at(below, context[owned], lower[owned])
         at = np.flatnonzero(wanted | (arcs > 0))
         return at, arcs[at], below[at]
 
 
 def _failure(total: np.ndarray, arcs: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """log10 weight of the failure arcs of states: what its arcs leave, over what theirs leave in the next state."""
+    """log10 weight of the failure arcs of states: what their arcs leave, over what these leave in the next state."""
     left = np.maximum(DISCOUNT * arcs / np.maximum(total, 1), 1e-9)
     return np.where(arcs > 0, np.log10(np.where(arcs > 0, left, 1) / np.maximum(1 - lower, 1e-9)), 0.0)
 
@@ -242,45 +243,49 @@ class Model:
         pairs = chunk.tallies(chunk.pair_of[chunk.second], chunk.second, len(chunk.pairs))
         yield from _asked(_PAIRS, self.buckets, chunk.pairs, *pairs)
 
-    def arcs(self, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
-        """Second round: triples, and sums over the arcs of words that a text can leave by a failure arc."""
-        chunk.ask_triples()
-        yield from _asked(_TRIPLES, self.buckets, chunk.triples, *chunk.tallies(chunk.triple_of, chunk.after, len(chunk.triples)))
+    def _words(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
+        """One-word states that a text can leave by a failure arc, in the order of their hashes."""
         failing = np.zeros(len(chunk.words), bool)
         failing[chunk.first[chunk.pair_n == 0]] = True
         owned = (chunk.pair_marks & _OWNER > 0) & (chunk.pair_n > 0) & (chunk.word_marks[chunk.first] & _OUTSIDE > 0)
-        at, n, lower = chunk.sums(chunk.first, owned, self.root(chunk)[chunk.last], failing & (chunk.word_n > 0))
+        at, *sums = chunk.sums(chunk.first, owned, chunk.word_n[chunk.last] + 1, failing & (chunk.word_n > 0))
         order = np.argsort(chunk.words[at])
-        yield from _asked(_AFTER_WORD, self.buckets, chunk.words[at][order], n[order], lower[order])
+        return at[order], *(x[order] for x in sums)
+
+    def arcs(self, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        """Second round: triples, and sums over the arcs of words that a text can leave by a failure arc."""
+        chunk.ask_triples()
+        yield from _asked(_TRIPLES, self.buckets, chunk.triples, *chunk.tallies(chunk.triple_of, chunk.after, len(chunk.triples)))
+        at, *sums = self._words(chunk)
+        yield from _asked(_AFTER_WORD, self.buckets, chunk.words[at], *sums)
 
-    def _contexts(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _pairs(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
+        """Two-word states that a text can leave by a failure arc, in the order of their hashes."""
         chunk.ask_triples()
         chunk.triple_n, chunk.triple_marks = chunk.heard(_TRIPLES, _COUNTS)
         failing = np.zeros(len(chunk.pairs), bool)
         failing[chunk.state[chunk.triple_n == 0]] = True
         owned = (chunk.triple_marks & _OWNER > 0) & (chunk.triple_n > 0) & (chunk.pair_marks[chunk.state] & _OUTSIDE > 0)
-        return chunk.sums(chunk.state, owned, chunk.pair_p()[chunk.lower], failing)
+        return chunk.sums(chunk.state, owned, chunk.pair_n[chunk.lower], failing)
 
     def states(self, chunk: Chunk) -> Iterator[tuple[int, bytes]]:
         """Third round: sums over the arcs of pairs that a text can leave by a failure arc."""
-        at, n, lower = self._contexts(chunk)
-        yield from _asked(_AFTER_PAIR, self.buckets, chunk.pairs[at], n, lower)
+        at, *sums = self._pairs(chunk)
+        yield from _asked(_AFTER_PAIR, self.buckets, chunk.pairs[at], *sums)
 
     def traverse(self, chunk: Chunk) -> pa.Table:
         """Every text from left to right, with the chunk's part of the automaton."""
         root = self.root(chunk)
         word_log, pair_log = np.log10(root), np.log10(np.where(chunk.pair_n > 0, chunk.pair_p(), 1))
-        at, *_ = self._contexts(chunk)
-        pair_fail = np.zeros(len(chunk.pairs))
-        pair_fail[at] = _failure(chunk.pair_n[at], *chunk.heard(_AFTER_PAIR, _SUMS))
-        # A failing one-word state has its sums; the others were asked for their arcs' sake.
-        failing = np.zeros(len(chunk.words), bool)
-        failing[chunk.first[chunk.pair_n == 0]] = True
-        owned = (chunk.pair_marks & _OWNER > 0) & (chunk.pair_n > 0) & (chunk.word_marks[chunk.first] & _OUTSIDE > 0)
-        words, *_ = chunk.sums(chunk.first, owned, root[chunk.last], failing & (chunk.word_n > 0))
-        words = words[np.argsort(chunk.words[words])]
+        at, *_ = self._words(chunk)
+        arcs, lower = chunk.heard(_AFTER_WORD, _SUMS)
         word_fail = np.zeros(len(chunk.words))
-        word_fail[words] = _failure(chunk.word_n[words], *chunk.heard(_AFTER_WORD, _SUMS))
+        word_fail[at] = _failure(chunk.word_n[at], arcs, lower / (self.tokens + self.distinct + 1))
+        at, *_ = self._pairs(chunk)
+        arcs, lower = chunk.heard(_AFTER_PAIR, _SUMS)
+        pair_fail = np.zeros(len(chunk.pairs))
+        below = (lower - DISCOUNT * arcs) / np.maximum(chunk.word_n[chunk.last[at]], 1)
+        pair_fail[at] = _failure(chunk.pair_n[at], arcs, below)
 
         logs = np.zeros(len(chunk.ids))
         at = np.flatnonzero(chunk.place == 0)  # a text starts at the root
