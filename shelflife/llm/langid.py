@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelflife.llm.sampling import MOST_CHARS, sample_each
+from shelflife.llm.sampling import sample_each, text_hash
 from shelflife.llm.scratch import text_batches
 from shelflife.llm.text import lowered, pieces, text_of
 
@@ -153,15 +153,15 @@ def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
 
 def train(labelled: DataFrame, each: int = SAMPLE_EACH) -> Model | None:
     """A model from doc_id, text, lang; None without examples. What reaches the driver is
-    at most 1.2 * each texts per language of at most MOST_CHARS characters."""
-    short = labelled.select("doc_id", "text", "lang").where(
-        F.col("text").rlike(r"\p{L}") & (F.length("text") <= MOST_CHARS)
-    )
-    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("text"))
-    rows = sample_each(short, F.col("lang"), each, key).orderBy("doc_id", "lang").collect()
+    at most 1.2 * each texts per language, see sample_each()."""
+    texts = labelled.select("doc_id", "text", F.col("lang").alias("label"), text_hash().alias("hash"))
+    texts = texts.where(F.col("text").rlike(r"\p{L}"))
+    chosen = sample_each(texts.select("label", "hash", F.length("text").alias("chars")), each).select("label", "hash")
+    found = texts.join(F.broadcast(chosen), ["label", "hash"]).dropDuplicates(["label", "hash"])
+    rows = found.select("text", "label", "hash").orderBy("hash", "label").collect()
     if not rows:
         return None
-    return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows])
+    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from shelflife.llm.sampling import MOST_CHARS, sample_each
+from shelflife.llm.sampling import sample_each, text_hash
 from shelflife.llm.scratch import boxed, text_batches, unboxed
 from shelflife.llm.text import U64, Spans, Words, byte_symbols, mix, not_letters, pieces, row_of, text_of
 
@@ -166,26 +166,20 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: Sequence[str], most:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, each: int = SAMPLE_EACH) -> Chain | None:
-    """A chain from the labelled documents; None without examples. Ids are sampled first, so
-    only the sample's texts move; what reaches the driver is at most 1.2 * each texts
-    per combination of labels, of at most MOST_CHARS characters."""
-    known = labels.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").alias("_label_id"),
-        *[(F.col(c) == value).cast("int").alias(f"_label_{k}") for k, (c, value) in enumerate(categories)],
-    ).dropna()
-    names = [f"_label_{k}" for k in range(len(categories))]
-    ids = sample_each(known, F.concat(*[F.col(c).cast("string") for c in names]), each, F.col("_label_id"))
-    bound = int(1.2 * each * 2 ** len(categories))
-    texts = docs.select("doc_id", "text").where(F.length("text") <= MOST_CHARS)
-    rows = (
-        texts.join(F.broadcast(ids), texts["doc_id"] == ids["_label_id"])
-        .limit(bound)
-        .orderBy("doc_id", "text")
-        .collect()
-    )
+    """A chain from the labelled documents; None without examples. Labels meet the documents' lengths and
+    hashes first, then only the sample's texts move; what reaches the driver is at most 1.2 * each texts
+    per combination of labels, see sample_each()."""
+    flags = [(F.col(c) == value).cast("int").cast("string") for c, value in categories]
+    known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_label_id"), F.concat(*flags).alias("label"))
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text", text_hash().alias("hash"))
+    sizes = texts.select("doc_id", "hash", F.length("text").alias("chars"))
+    labelled = sizes.join(known.dropna().distinct(), F.col("doc_id") == F.col("_label_id"))
+    chosen = sample_each(labelled.select("label", "hash", "chars"), each).select("label", "hash")
+    found = texts.join(F.broadcast(chosen), "hash").dropDuplicates(["label", "hash"])
+    rows = found.select("text", "label", "hash").orderBy("hash", "label").collect()
     if not rows:
         return None
-    return fit([r["text"].encode() for r in rows], np.array([[r[c] for c in names] for r in rows]), [c for c, _ in categories])
+    return fit([r["text"].encode() for r in rows], np.array([[*map(int, r["label"])] for r in rows]), [c for c, _ in categories])
 
 
 def score(docs: DataFrame, chain: Chain | None, categories=CATEGORIES) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelflife.llm import backoff_lm, langid, toxicity
+from shelflife.llm import backoff_lm, langid, sampling, toxicity
 from shelflife.llm.queries import QUERIES
 from tests.llm.docs import DOCS, lower, odd_texts, table, words
 
@@ -197,3 +197,30 @@ def test_nothing_to_learn_from(spark):
     found = backoff_lm.score(table(spark, odd_texts()), F.lit(None).cast("boolean")).collect()
     assert len(found) == len(odd_texts())
     assert all(r["lm"]["n_known"] == 0 and r["lm"]["score"] == 0.0 and r["lm"]["train_tokens"] == 0 for r in found)
+
+
+def test_labels_with_long_texts_only_are_learned(spark):
+    """Texts beyond MOST_CHARS are examples where a label has no shorter ones."""
+    long = {"aa": "zwei wörter hier und dort ", "bb": "due parole qui e la "}
+    rows = [(k, f"{k} " + ("two words here and there " * 20)) for k in range(400)]
+    rows += [(400 + k, f"{k} " + long[("aa", "bb")[k % 2]] * 600) for k in range(400)]
+    lang = lambda i: "en" if i < 400 else ("aa", "bb")[i % 2]
+    docs = spark.createDataFrame([(i, t, lang(i)) for i, t in rows], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert all(found[i] == lang(i) for i, _ in rows)
+    texts = [(k, ("plain words here " * 700) + ("vile " * 40 if k % 2 else "")) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    scored = toxicity.detect(docs, labels).withColumn("bad", toxicity.is_toxic()).collect()
+    assert all(r["bad"] == bool(r["doc_id"] % 2) for r in scored)
+
+
+def test_sample_is_bounded_and_holds_every_label(spark):
+    rows = [("short", k, 100) for k in range(5000)] + [("long", k, 1 << (14 + k % 10)) for k in range(500)]
+    rows += [("huge", 7, 1 << 30), ("huge", 8, 1 << 31), (None, 3, 5)] + [("copies", 1, 50)] * 5000
+    texts = spark.createDataFrame(rows, "label string, k long, chars long").select("label", F.xxhash64("k").alias("hash"), "chars")
+    drawn = sampling.sample_each(texts, 100).collect()
+    n = Counter(r["label"] for r in drawn)
+    assert 70 < n["short"] <= 120 and n["huge"] == n["copies"] == 1 and 0 < n["long"] <= 120 and None not in n
+    assert sum(r["chars"] for r in drawn if r["label"] == "long") <= 3 * 100 * sampling.MOST_CHARS
+    assert sorted(drawn) == sorted(sampling.sample_each(texts, 100).collect())
