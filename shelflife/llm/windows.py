@@ -394,7 +394,8 @@ def merged(starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
 def cut_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: StructType) -> DataFrame:
     """cut(batch, covered) for all docs (from with_key). covered: per row the (starts, ends) to remove.
     Only documents that may have spans are shuffled to meet them."""
-    listed = spans.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    # Equal rows have equal spans: they are listed once, however often the row is there.
+    listed = spans.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     bits = key_filter(spans)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

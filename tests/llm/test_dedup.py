@@ -4,10 +4,12 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from shelflife.llm import bucket_refine, seed_extend, superminhash
+from shelflife.llm import bucket_refine, seed_extend, superminhash, windows
 from shelflife.llm.components import components
 from shelflife.llm.queries import QUERIES
 from tests.llm.docs import DOCS, odd_texts, shingles, table, words
@@ -100,6 +102,25 @@ def test_bucket_refine_on_odd_rows(spark, window, gram):
     assert Counter((*r[:4], bytes(r[4])) for r in found) == cut_bytes(rows, window)
 
 
+def test_spans_of_many_equal_rows_are_listed_once(spark):
+    """Equal rows have one list of spans, so k of them don't make k lists of k times the spans."""
+    rows = odd_texts() + [(None, odd_texts()[0][1])] * 300 + [(50, odd_texts()[0][1])] * 300
+    got = Counter(tuple(r) for r in bucket_refine.remove_repeated_bytes(table(spark, rows), 400, 40).select(
+        "doc_id", "n_bytes", "n_removed").collect())
+    n = len(odd_texts()[0][1].encode())
+    assert got[None, n, n] == 301 and got[50, n, n] == 300
+    spans = spark.createDataFrame([(1, 5, 0, 9)] * 500 + [(1, 5, 3, 20)] * 500, "doc_id long, _h long, start long, end long")
+    docs = spark.createDataFrame([(1, 5, "x" * 30, 0)], "doc_id long, _h long, text string, _slot long")
+    docs = docs.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(windows.FILTER_BITS)))
+
+    def cut(batch, covered):
+        sizes = pa.array([len(start) for start, _ in covered], pa.int64())
+        return pa.RecordBatch.from_arrays([sizes], ["n"])
+
+    listed = windows.cut_spans(docs, spans, cut, StructType().add("n", LongType())).collect()
+    assert sorted(r["n"] for r in listed) == [2]
+
+
 def grouped(rows):
     """(doc_id, set size, smallest linked id) of each row, by comparing all sets."""
     sets = [(i, shingles(t)) for i, t in rows]
