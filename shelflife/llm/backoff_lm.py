@@ -356,8 +356,11 @@ def score(docs: DataFrame, learned: Column, chunk_tokens: int = CHUNK_TOKENS, bu
     model = Model(max(1, -(-size // bucket_tokens)))
     texts = chunks.select("chunk", "words", "ids", "sizes", "learned")
 
-    def first(row: pa.Table) -> pa.Table:
-        return _questions(row.column("chunk")[0].as_py(), list(model.counts(Chunk.of(row))))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(at, 1)])
+                yield from _questions(row.column("chunk")[0].as_py(), list(model.counts(Chunk.of(row)))).to_batches()
 
     def asking(ask):
         def asked(row: pa.Table, heard: pa.Table) -> pa.Table:
@@ -371,7 +374,7 @@ def score(docs: DataFrame, learned: Column, chunk_tokens: int = CHUNK_TOKENS, bu
         by_chunk = answers.select("chunk", "bucket", "blob").groupBy("chunk")
         return texts.groupBy("chunk").cogroup(by_chunk).applyInArrow(asking(ask), _QUESTION)
 
-    counts = _answers(texts.groupBy("chunk").applyInArrow(first, _QUESTION), "lm-counts")
+    counts = _answers(texts.mapInArrow(first, _QUESTION), "lm-counts")
     learnt = counts.agg(F.sum("n"), F.sum("v")).first()
     model = Model(model.buckets, learnt[0] or 0, learnt[1] or 0)
     arcs = counts.unionByName(_answers(again(model.arcs, counts), "lm-arcs"))
