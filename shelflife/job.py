@@ -20,6 +20,7 @@ from pyspark.sql import SparkSession
 from shelflife.params import ReportParams, SnapshotRules
 from shelflife.plans.reports import report, report_order
 from shelflife.sources.readers import load_sources, write_report
+from shelflife.sources.runs import write_snapshots
 
 PROFILES = {"base": ReportParams, "weekly": ReportParams.weekly, "transfer": ReportParams.transfer}
 
@@ -40,7 +41,11 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--export", action="store_true", help="sources are CSV exports with a preamble")
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", default="parquet")
-    return parser.parse_args(argv)
+    parser.add_argument("--by-snapshot", action="store_true", help="keep the other snapshots at --out; read them with sources.runs")
+    args = parser.parse_args(argv)
+    if args.by_snapshot and args.format != "parquet":
+        parser.error("--by-snapshot writes Parquet")
+    return args
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -48,7 +53,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     paths = dict(source.split("=", 1) for source in args.source)
     days = [rules.snapshot_date for rules in args.snapshot]
     sources = load_sources(spark, paths, args.export, days)
-    write_report(report(sources, params), args.out, args.format, report_order(params))
+    if args.by_snapshot:
+        write_snapshots(report(sources, params), args.out, days or [args.as_of], report_order(params))
+    else:
+        write_report(report(sources, params), args.out, args.format, report_order(params))
 
 
 if __name__ == "__main__":

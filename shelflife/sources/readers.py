@@ -151,13 +151,16 @@ def write_export(table: DataFrame, name: str, path: str) -> None:
 
 
 def write_report(
-    report: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str | Column] | None = None
+    report: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str | Column] | None = None, parts: Sequence[str] = ()
 ) -> None:
     """Write a report, range-partitioned and sorted so that the files read in
-    sequence are in report order; no task sees more than its own range."""
+    sequence are in report order; no task sees more than its own range. Columns
+    in `parts`, the first of the order, become folders."""
     keys = order or report.columns[:1]
     ordered = report.orderBy(*[(F.col(f"`{k}`") if isinstance(k, str) else k).asc_nulls_last() for k in keys])
     writer = ordered.write.mode("overwrite")
+    if parts:
+        writer = writer.partitionBy(*parts)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
