@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflife.functions import composite_key, days_range
+from shelflife.functions import composite_key, days_range, strip_dashes
 from shelflife.operators import demand, dims, ledger, projection, supply, transfer
 from shelflife.operators.hot_refs import Layout, Part, over_parts, rows_per_key, split_hot_refs
 from shelflife.params import ReportParams
@@ -219,6 +219,34 @@ def inspect_ref(sources: Sources, params: ReportParams, ref: str) -> DataFrame:
     return full_ledger(narrowed, params).where(F.col("ref") == ref)
 
 
+def inspect_refs(sources: Sources, params: ReportParams, refs: DataFrame) -> DataFrame:
+    """Look the item-locations in the column `ref` of `refs` up in the ledger; repeated, unknown and null ones do no harm.
+
+    The sources are filtered before any step of the ledger: first on the locations that the keys may begin with, which at run time
+    prunes folders of sources stored by location, then lots and orders on the whole key.
+    """
+    # Every key has a separator; to Spark this is also a filter that makes pruning at run time worth while.
+    refs = refs.select(F.col("ref").alias("_ref")).where(F.instr("_ref", "_") > 0).distinct()
+    parts = F.split("_ref", "_", -1)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "_"))
+    places = refs.select(F.explode(prefixes).alias("_place")).distinct()
+
+    def narrowed(source: DataFrame, location: str, sku: str | None = None) -> DataFrame:
+        found = source.join(places, F.coalesce(source[location], F.lit("NA")) == F.col("_place"), "left_semi")
+        if sku is None:
+            return found
+        return found.join(refs, composite_key(F.col(location), strip_dashes(F.col(sku))) == F.col("_ref"), "left_semi")
+
+    few = replace(
+        sources,
+        inventory_lots=narrowed(sources.inventory_lots, "location", "sku"),
+        customer_orders=narrowed(sources.customer_orders, "location", "product_label_sku"),
+        item_planner=narrowed(sources.item_planner, "b_p"),
+        # The forecast stays whole: its months fix the horizon.
+    )
+    return full_ledger(few, params)
+
+
 def _display(lots: DataFrame, headers: dict[str, str], params: ReportParams) -> DataFrame:
     shown = lots.withColumn("ref", F.translate("ref", "_", "-"))
     return shown.select(

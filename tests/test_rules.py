@@ -11,7 +11,7 @@ from inputs import AS_OF, MONTHS, forecast, lot, make_sources, order
 from shelflife.functions import round_half_even
 from shelflife.operators.hot_refs import BLOCK
 from shelflife.params import SNAPSHOT, ReportParams, SnapshotRules
-from shelflife.plans.reports import inspect_ref, lot_parts, report, report_order
+from shelflife.plans.reports import full_ledger, inspect_ref, inspect_refs, lot_parts, report, report_order
 from shelflife.sources.readers import Sources, write_report
 from shelflife.sources.sample import SNAPSHOT_DATES, sample_sources
 from shelflife.sources.schemas import SCHEMAS
@@ -129,6 +129,41 @@ def test_lookup_reaches_the_scan(spark, tmp_path):
     assert inspect_ref(Sources(**stored), ReportParams.base(AS_OF), "NA_5").count() == 1
 
 
+def stored_by_location(spark, folder, sources):
+    """Lots, orders and planners in folders by location, the others as plain Parquet."""
+    kept = {}
+    for name, schema in SCHEMAS.items():
+        by = {"inventory_lots": "location", "customer_orders": "location", "item_planner": "b_p"}.get(name)
+        writer = getattr(sources, name).write
+        (writer.partitionBy(by) if by else writer).parquet(f"{folder}/{name}")
+        kept[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return Sources(**kept)
+
+
+def test_a_thousand_lookups_read_their_folders(spark, tmp_path):
+    places = [None, *(f"{p}" for p in range(30)), "x_1"]
+    sources = make_sources(
+        spark,
+        inventory_lots=[lot(f"{s}", n, 20 + s, 5.0, location=p) for p in places for s in range(40) for n in ("a", "b")],
+        customer_orders=[order(f"{s}", 7.0, location=p) for p in places for s in range(0, 40, 3)],
+        item_planner=[(p, f"{s}", "7") for p in places for s in range(40)],
+        planner_directory=[("7", "Seven")],
+        forecast=forecast("5", 30.0, location="3"),
+    )
+    params = ReportParams.base(AS_OF)
+    asked = [f"{p}_{s}" for p in range(25) for s in range(40)] + ["x_1_5", "NA_5", "NA_5", "3-5", "nowhere_1", None, ""]
+    refs = spark.createDataFrame([(r,) for r in asked], "ref string")
+    stored = stored_by_location(spark, str(tmp_path), sources)
+    found = inspect_refs(stored, params, refs)
+    whole = full_ledger(sources, params).where(F.col("ref").isin([r for r in asked if r]))
+    assert rows(found.select(sorted(found.columns))) == rows(whole.select(sorted(whole.columns)))
+    assert found.count() == 2 * (1000 + 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pruned = [line for line in plan.splitlines() if "PartitionFilters" in line and "dynamicpruning" in line]
+    assert any("inventory_qty_cases" in line for line in pruned) and any("oo_cases" in line for line in pruned)
+    assert inspect_refs(stored, params, refs.limit(0)).count() == 0
+
+
 def test_lots_without_sites_stay(spark):
     sources = make_sources(spark, inventory_lots=[lot("1", "L", 20, 5.0)], forecast=forecast("9", 30.0))
     row = report(sources, ReportParams.transfer(AS_OF)).first()

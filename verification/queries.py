@@ -16,6 +16,7 @@ from shelflife.operators.repeats import repeat_rows
 from shelflife.params import HORIZON_RULES, ReportParams, SnapshotRules
 from shelflife.plans import reports
 from shelflife.sources.readers import Sources, read_export, read_typed, write_export, write_report
+from shelflife.sources.runs import read_snapshots, write_snapshots
 from shelflife.sources.sample import (
     AS_OF, SNAPSHOT_DATES, as_export, base_rows, read_table, sample_sources, with_odd_keys, with_repeated_dimensions, with_second_sites,
     with_third_sites, with_unknown_days,
@@ -41,7 +42,12 @@ WEEKS = (
 BACKFILL = ReportParams.weekly(snapshots=WEEKS)
 BACKFILL_TRANSFER = ReportParams.transfer(snapshots=WEEKS)
 BACKFILL_DEFAULTS = ReportParams.transfer(snapshots=tuple(SnapshotRules(day) for day in SNAPSHOT_DATES))
+#: All snapshots by rules that two of them don't keep.
+BACKFILL_ALIKE = ReportParams.weekly(snapshots=tuple(SnapshotRules(day, WEEKS[0].consumption_rule, WEEKS[0].rate_rounding) for day in SNAPSHOT_DATES))
+BACKFILL_AGAIN = ReportParams.weekly(snapshots=WEEKS[1:])
 INSPECTED_REF = "1_7"
+#: An item-location with so many cases on order is looked up by inspect_refs.
+MANY_CASES = 80
 
 LOT = ("ref", "lot_number", "calculated_shippable_date", "days_left_on_ssl", "lot_seq")
 
@@ -338,6 +344,24 @@ def inspect_ref(sources: Sources) -> DataFrame:
     )
 
 
+def inspect_refs(sources: Sources) -> DataFrame:
+    """The item-locations with many cases on order."""
+    ordered = reports.open_orders(sources, BASE).where(F.col("sum_of_open_order_cases") >= MANY_CASES)
+    return reports.inspect_refs(sources, BASE, ordered.select("ref")).select(
+        *LOT, "diff_factor", "consumption_factor", "inv_after_custord", "inv_after_custord_and_fcst"
+    )
+
+
+def sink_report_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the backfill, write its last two snapshots once more by other rules, and read what the place holds."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    sources = sample_sources(spark, sf_dir, snapshots=True)
+    for params in (BACKFILL_ALIKE, BACKFILL_AGAIN):
+        days = [rules.snapshot_date for rules in params.snapshots]
+        write_snapshots(reports.report(sources, params), path, days, reports.report_order(params))
+    return read_snapshots(spark, path)
+
+
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the base report and read it back."""
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
@@ -420,6 +444,7 @@ def on_sources() -> dict[str, Callable[[Sources], DataFrame]]:
         "transfer_flag_three_sites": lambda s: transfer_flag(with_third_sites(s)),
         "demand_share_three_sites": lambda s: demand_share(with_third_sites(s)),
         "inspect_ref": inspect_ref,
+        "inspect_refs": inspect_refs,
     }
 
 
@@ -446,6 +471,7 @@ def registry() -> dict[str, Query]:
         "consumption_same_ref": _consumption("same_ref"),
         "consumption_self_shippable": _consumption("self_shippable"),
         "sink_report": sink_report,
+        "sink_report_runs": sink_report_runs,
     }
     found |= {name: _on_sources(build) for name, build in on_sources().items()}
     return found | {name: _on_sources(build, snapshots=True) for name, build in on_snapshots().items()}
