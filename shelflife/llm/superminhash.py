@@ -324,15 +324,36 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(similar, "a long, b long")
 
 
-def _dealt(members: DataFrame, chunks: Column, across: bool) -> DataFrame:
-    """members (key, node, ...) with `part`: a bucket's members in `chunks` chunks. Each chunk also
-    has the bucket's first member `least`; `across` gives every pair of chunks a part instead."""
+def _dealt(members: DataFrame, chunks: Column) -> DataFrame:
+    """members (key, node, least, ...) with `part`: a bucket's members in `chunks` chunks, each also with the
+    bucket's first member `least`."""
     own = F.pmod(F.xxhash64("node"), chunks).cast("long")
     every = F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)
-    if across:
-        parts = F.transform(every, lambda o: F.least(own, o) * (1 << 32) + F.greatest(own, o))
-    else:
-        parts = F.when(F.col("node") == F.col("least"), every).otherwise(F.array(own))
+    return members.withColumn("part", F.explode(F.when(F.col("node") == F.col("least"), every).otherwise(F.array(own))))
+
+
+def _tally(members: DataFrame) -> DataFrame:
+    """key, its members and their elements (total, items_total), the component with the most of them (largest), and
+    the members and elements outside of it (outside, items_outside), of members (key, node, n, root)."""
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("_rows"), F.sum("n").alias("_items"))
+    order = F.struct("_rows", "root")
+    return by_root.groupBy("key").agg(
+        F.sum("_rows").alias("total"), F.sum("_items").alias("items_total"), F.max_by("root", order).alias("largest"),
+        (F.sum("_rows") - F.max("_rows")).alias("outside"),
+        (F.sum("_items") - F.max_by("_items", order)).alias("items_outside"),
+    )
+
+
+def _met(members: DataFrame, chunks: Column, chunks_outside: Column) -> DataFrame:
+    """members (key, node, root, and _tally's columns) with `part`, so that all pairs of two components share one. Of
+    such a pair one is outside the largest component: a part is a chunk of all members and a chunk of those outside, so
+    members of the largest are repeated only for chunks of the others, be they ever so many."""
+    wide = F.lit(1 << 32)
+    own, away = (F.pmod(F.xxhash64("node"), n).cast("long") for n in (chunks, chunks_outside))
+    every, every_outside = (F.sequence(F.lit(0).cast("long"), n.cast("long") - 1) for n in (chunks, chunks_outside))
+    meets = F.transform(every_outside, lambda o: own * wide + o)
+    asks = F.transform(every, lambda c: c * wide + away)
+    parts = F.when(F.col("root") == F.col("largest"), meets).otherwise(F.array_union(meets, asks))
     return members.withColumn("part", F.explode(parts))
 
 
@@ -352,17 +373,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(keys.join(written(busy, "busy"), "key"), "members")
     described = written(members.join(nodes.select("node", "n", "sketch"), "node"), "described")
     by_count = F.ceil(F.col("total") / CHUNK)
-    forest = written(_candidates(_dealt(described, by_count, False)), "forest")
+    forest = written(_candidates(_dealt(described, by_count)), "forest")
     links = written(_confirmed(forest, keyed, nodes), "links")
     roots = written(components(links), "roots")
     # What is still apart in a bucket and may be linked. The one pair of a bucket of two is settled.
-    placed = described.where("total > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("key")
-    open_members = placed.join(written(apart, "apart"), "key")
-    unsettled = written(_unsettled(_dealt(open_members, by_count, True)), "unsettled")
-    weights = written(unsettled.groupBy("key").agg(F.count("*").alias("total"), F.sum("n").alias("items_total")), "weights")
+    placed = described.where("total > 2").drop("total").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_members = placed.join(written(_tally(placed).where("outside > 0"), "apart"), "key")
+    outside_by_count = F.ceil(F.col("outside") / CHUNK)
+    unsettled = written(_unsettled(_met(open_members, by_count, outside_by_count)), "unsettled")
+    weighed = unsettled.join(written(_tally(unsettled).where("outside > 0"), "weights"), "key")
     by_size = F.greatest(by_count, F.ceil(F.col("items_total") / CHUNK_ITEMS))
-    questions = _dealt(unsettled.join(weights, "key"), by_size, True).select("key", "part", "node", "root")
+    outside_by_size = F.greatest(outside_by_count, F.ceil(F.col("items_outside") / CHUNK_ITEMS))
+    questions = _met(weighed, by_size, outside_by_size).select("key", "part", "node", "root")
     full = _sets(unsettled.select("node"), keyed, nodes)
     more_links = written(_joining(questions.join(full, "node")), "more-links")
     all_roots = written(components(links.unionByName(more_links)), "all-roots")

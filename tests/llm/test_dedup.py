@@ -182,6 +182,26 @@ def superminhash_model(elements, size):
     return out
 
 
+@pytest.mark.parametrize("others", [1, 7, 30])
+def test_pairs_of_components_meet_and_the_largest_is_not_copied(spark, others):
+    roots = [0] * 40 + [1 + k % 9 for k in range(others)]
+    members = spark.createDataFrame([(5, k, 3, root) for k, root in enumerate(roots)], "key long, node long, n long, root long")
+    tally = superminhash._tally(members)
+    counts = tally.first()
+    assert (counts.total, counts.outside, counts.largest) == (len(roots), others, 0)
+    assert (counts.items_total, counts.items_outside) == (3 * len(roots), 3 * others)
+    chunks, chunks_outside = (F.ceil(F.col(c) / 4) for c in ("total", "outside"))
+    dealt = superminhash._met(members.join(tally, "key"), chunks, chunks_outside).select("node", "part").collect()
+    assert len(dealt) == len(set(dealt))
+    parts = {}
+    for row in dealt:
+        parts.setdefault(row.node, set()).add(row.part)
+    for a, root_a in enumerate(roots):
+        for b, root_b in enumerate(roots[:a]):
+            assert root_a == root_b or parts[a] & parts[b]
+    assert all(len(parts[k]) == -(-others // 4) for k in range(40))
+
+
 def test_signatures_stop_early_without_a_change():
     rng = np.random.default_rng(1)
     sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 7, 40, 300, 900)]
