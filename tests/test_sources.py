@@ -7,7 +7,7 @@ from inputs import AS_OF, forecast, lot, make_sources, order
 from shelflife import job
 from shelflife.params import ReportParams, SnapshotRules
 from shelflife.plans.reports import report, report_order
-from shelflife.sources.readers import Sources, load_sources, read_export, read_typed, rejected_cells, write_export, write_report
+from shelflife.sources.readers import Sources, export_cells, load_sources, read_export, read_typed, rejected_cells, write_export, write_report
 from shelflife.sources.sample import EXPORT_HEADERS, SNAPSHOT_DATES, as_export, sample_sources
 from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
@@ -110,6 +110,23 @@ def test_unreadable_cells_are_named(spark, tmp_path):
     assert read_export(spark, "customer_orders", str(path), unreadable="null").where("oo_cases IS NULL").count() == 2
 
 
+def test_exports_are_cut_where_scans_split_them(spark, tmp_path):
+    """Splits of a hundred bytes, with records across them; a file's records keep their order and numbers, and none is held whole."""
+    texts = [f"{k},\r\n" + "x" * (k % 150) + '\n"said"\r' for k in range(300)]
+    for name in ("a", "b"):
+        body = [f'{name}{k},"{text.replace(chr(34), chr(34) * 2)}"' for k, text in enumerate(texts)]
+        (tmp_path / f"{name}.csv").write_bytes("\n".join(["note"] * 7 + ["Ship Ref,Type", *body]).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        found = export_cells(spark, "item_type", str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["ship_ref"], r["record"], r["type"]) for r in rows) == sorted((f"{n}{k}", k + 1, t) for n in "ab" for k, t in enumerate(texts))
+    assert "wholetext" not in plan.lower() and plan.count("FileScan") == 1
+
+
 def test_written_exports_read_back(spark, tmp_path):
     rows = [("10", 'a "b", c', 'line\none', "L\\1", 44000.5, None, 1.0, -3, 2.5, 0.1), (None, "", "NA", None, None, None, None, None, None, None)]
     table = spark.createDataFrame(rows * 3, SCHEMAS["inventory_lots"]).repartition(4)
