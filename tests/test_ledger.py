@@ -103,6 +103,16 @@ def test_one_hot_ref_is_spread_over_blocks(spark):
     assert got == expected(*inputs, "prev_shippable")
 
 
+def test_small_blocks_share_tasks(spark):
+    """A block is no larger than asked for, and there is no task for each."""
+    inputs = random_inputs(4, refs=40, most_lots=30)
+    parts, got = run(spark, inputs, lots_per_task=2)
+    sizes = [r[1] for r in parts[1].lots.groupBy(BLOCK).count().collect()]
+    assert len(sizes) > 50 and max(sizes) == 2
+    assert parts[1].lots.rdd.getNumPartitions() < 10
+    assert got == expected(*inputs, "prev_shippable")
+
+
 def test_null_days_first_middle_last(spark):
     lots = []
     for where in range(3):
