@@ -1,6 +1,7 @@
 """Rules that an earlier version had wrong: rounding of prices, default rules of
 snapshots, short forecasts, hot keys by every kind of repeat, written order."""
 
+import re
 from dataclasses import replace
 from datetime import date
 
@@ -204,3 +205,18 @@ def test_a_million_equal_directory_rows(spark):
     parts = lot_parts(equal_rows(spark, 10**6), params)
     sizes = [r["count"] for r in parts[1].lots.groupBy(BLOCK).count().collect()]
     assert sum(sizes) == 2 * 10**6 and max(sizes) < 2 * params.lots_per_task
+
+
+def test_lookups_are_not_dealt_by_location(spark):
+    """A location may have any share of the rows; only keys deal them evenly."""
+    sources = make_sources(spark, inventory_lots=[lot("1", "L1", 20, 5.0), lot("2", "L1", 20, 5.0)], forecast=forecast("1", 30.0))
+    refs = spark.createDataFrame([("10_1",)], "ref string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = inspect_refs(sources, ReportParams.base(AS_OF), refs)
+        dealt = re.findall(r"hashpartitioning\(([^)]*\)?[^)]*)", found._jdf.queryExecution().executedPlan().toString())
+        assert found.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_place = [d for d in dealt if "_place" in d or d.startswith(("coalesce(location", "coalesce(b_p"))]
+    assert by_place and all("_" in d and ("_ref" in d or "concat_ws" in d) for d in by_place)
