@@ -11,6 +11,7 @@ from shelflife.sources.readers import Sources, export_cells, load_sources, read_
 from shelflife.sources.sample import EXPORT_HEADERS, SNAPSHOT_DATES, as_export, sample_sources
 from shelflife.sources.schemas import HEADER_ROW, SCHEMAS
 from shelflife.sources.staging import clean_names, promote_header, type_convert
+from verification.queries import registry
 
 
 @pytest.mark.parametrize("row", [2, 3, 7])
@@ -219,3 +220,10 @@ def test_job_writes_reports_of_partitioned_snapshots(spark, tmp_path):
     scan = read_typed(spark, "inventory_lots", str(tmp_path / "inventory_lots"), [rules.snapshot_date])
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert str(rules.snapshot_date) in plan.split("PartitionFilters")[1]
+
+
+def test_reports_join_the_tables_once(spark):
+    """A report reads its sources many times, the tables they are derived from only when they are stored."""
+    for name in ("report_base", "report_backfill"):
+        plan = registry()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "sample-rows" in plan and "l_suppkey" not in plan and "n_regionkey" not in plan
