@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from shelflife.llm.components import components
+from shelflife.llm.components import components, merged_components
 from shelflife.llm.scratch import written
 from shelflife.llm.text import U64, Spans, Words, mix, pieces, row_of, signed, text_of
 from shelflife.llm.windows import key_filter, passing, with_lists, with_key
@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     questions = _met(weighed, by_size, outside_by_size).select("key", "part", "node", "root")
     full = _sets(unsettled.select("node"), keyed, nodes)
     more_links = written(_joining(questions.join(full, "node")), "more-links")
-    all_roots = written(components(links.unionByName(more_links)), "all-roots")
+    all_roots = written(merged_components(roots, more_links), "all-roots")
     rooted = classes.join(all_roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")
     labels = written(rooted.groupBy("root").agg(F.min("label").alias("component")), "labels")

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from shelflife.llm import bucket_refine, seed_extend, superminhash, windows
-from shelflife.llm.components import components
+from shelflife.llm import bucket_refine, components as contraction, seed_extend, superminhash, windows
+from shelflife.llm.components import components, merged_components
+from shelflife.llm.scratch import written
 from shelflife.llm.queries import QUERIES
 from tests.llm.docs import DOCS, odd_texts, shingles, table, words
 
@@ -230,3 +231,24 @@ def test_empty_tables(spark):
     assert superminhash.near_duplicates(empty).count() == 0
     nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert superminhash.near_duplicates(nothing).where(F.col("kept")).count() == 2
+
+
+def test_stars_are_told_without_another_round(spark, monkeypatch):
+    """A round that only confirms stars costs four stored tables."""
+    stored = []
+    monkeypatch.setattr(contraction, "written", lambda df, name: (stored.append(name), written(df, name))[1])
+    stars = [(1, 5), (5, 1), (6, 1), (2, 9), (3, 3)]
+    found = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert stored == ["edges", "least"]
+
+
+@pytest.mark.parametrize("more", [[], [(5, 20)], [(8, 9), (9, 2), (30, 31)], [(3, 20), (40, 3), (41, 40), (11, 7)]])
+def test_links_merge_components_by_their_roots(spark, more):
+    edges = [(1, 3), (3, 5), (2, 8), (7, 20), (20, 21)]
+    roots = written(components(spark.createDataFrame(edges, "a long, b long")), "roots")
+    links = written(spark.createDataFrame(more, "a long, b long"), "links")
+    whole = components(spark.createDataFrame(edges + more, "a long, b long"))
+    found = [(r["node"], r["root"]) for r in merged_components(roots, links).collect()]
+    assert sorted(found) == sorted((r["node"], r["root"]) for r in whole.collect())
+    assert len(found) == len(set(found))
