@@ -1,5 +1,6 @@
 """Output that is replaced snapshot by snapshot."""
 
+import uuid
 from datetime import date
 
 import pytest
@@ -102,3 +103,18 @@ def test_a_report_of_one_day_and_the_job(spark, tmp_path):
     assert read_snapshots(spark, str(tmp_path / "job")).count() == 4
     with pytest.raises(SystemExit):
         job.arguments([*argv, "--format", "csv"])
+
+
+def test_a_report_is_worked_out_once_to_be_ordered(spark, tmp_path):
+    """Its ranges are drawn from stored rows; a sample of the plan itself would run the plan again."""
+    runs = tmp_path / "runs"
+    runs.mkdir()
+
+    def noted(batches):
+        (runs / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = spark.range(0, 4000, 1, 3).mapInArrow(noted, "id long")
+    write_report(rows, str(tmp_path / "out"), order=[-F.col("id")])
+    assert len(list(runs.iterdir())) == 3
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.count("*"), F.sum("id")).first() == (4000, 7998000)
