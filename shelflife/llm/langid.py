@@ -41,7 +41,8 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
     wide = lowered(data).astype(np.uint32)
     n = len(data)
     value = np.full(n, size * 0x165667B1 & 0xFFFFFFFF, np.uint32)
-    for k in range(size):
+    # Data shorter than the n-gram, as one text of two bytes, has no byte for its last factors.
+    for k in range(min(size, n)):
         value[: n - k] += wide[k:] * np.uint32(_FACTORS[k])
     value ^= value >> np.uint32(15)
     value *= np.uint32(0x2C1B3C6D)

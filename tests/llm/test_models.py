@@ -39,6 +39,28 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(spark.createDataFrame([], DOCS), None).count() == 0
 
 
+@pytest.mark.parametrize("length", range(6))
+def test_texts_shorter_than_an_ngram_have_their_own_grams_only(length):
+    data = np.frombuffer(b"abcde"[:length], np.uint8)
+    both = np.frombuffer(b"abcde"[:length] + b"longer text", np.uint8)
+    for size in langid.SIZES:
+        alone = langid.gram_buckets(data, np.array([0, length]), size)
+        beside = langid.gram_buckets(both, np.array([0, length, len(both)]), size)
+        assert (alone == beside[:length]).all()
+        assert (alone < langid.BUCKETS).sum() == max(0, length - size + 1)
+
+
+def test_language_of_texts_of_few_bytes(spark):
+    """A language's shortest text is always learned, and a batch may end with one."""
+    short = [(k, t) for k, t in enumerate(["ab", "\u00e9", "x", "No", "a", "abc", "no", "", None, ".."] * 2)]
+    docs = table(spark, [*short, *[(100 + k, t * 30) for k, t in enumerate(["the quick fox ", "der schnelle fuchs "] * 9)]])
+    found = langid.identify(docs, langid.train(docs)).collect()
+    assert len(found) == docs.count()
+    assert {r["doc_id"] for r in found if r["lang_pred"] == "und"} == {k for k, t in short if not t or t == ".."}
+    only = table(spark, [(1, "ab"), (2, "no")])
+    assert {r["lang_pred"] for r in langid.identify(only, langid.train(only)).collect()} <= {"en", "de"}
+
+
 def test_toxicity_finds_labelled_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = QUERIES["op9_toxicity"](spark, SF).join(labels.select("doc_id", "quality", F.col("toxic").alias("label")), "doc_id").collect()
