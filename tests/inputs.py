@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import date
 
 from shelflife.sources.readers import Sources
@@ -34,3 +35,17 @@ def make_sources(spark, **rows) -> Sources:
     if "forecast" not in rows:
         rows["forecast"] = forecast("none", 0.0)
     return Sources(**{name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in SCHEMAS.items()})
+
+
+def shuffle_files(spark) -> set[str]:
+    """Names of the shuffle files on this session's disk."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+def kept_since(spark, before: set[str], wait: float = 20.0) -> set[str]:
+    """Shuffle files that have come and stay; Spark removes freed ones in the background."""
+    until = time.time() + wait
+    while (kept := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return kept

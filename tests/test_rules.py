@@ -8,8 +8,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from inputs import AS_OF, MONTHS, forecast, lot, make_sources, order
+from inputs import AS_OF, MONTHS, forecast, kept_since, lot, make_sources, order, shuffle_files
 from shelflife.functions import round_half_even
+from shelflife.operators import hot_refs
 from shelflife.operators.hot_refs import BLOCK
 from shelflife.params import SNAPSHOT, ReportParams, SnapshotRules
 from shelflife.plans.reports import full_ledger, inspect_ref, inspect_refs, lot_parts, report, report_order
@@ -199,6 +200,29 @@ def test_equal_repeats_are_cut_apart(spark, make):
     assert report(sources, whole).count() == 2 * 60 * 2 + 1
 
 
+def test_a_hot_part_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    parts = lot_parts(equal_rows(spark, 60, types=2), ReportParams.base(AS_OF, lots_per_task=16))
+    assert len(parts) == 2
+    assert not kept_since(spark, before)
+
+
+@pytest.mark.parametrize(("repeats", "dealt"), [(8, False), (9, True)])
+def test_only_many_equal_repeats_are_dealt_to_tasks(spark, monkeypatch, repeats, dealt):
+    """A shuffle of all of a hot key's rows, only where some lot has many equal rows to form."""
+    plans, form = [], hot_refs._formed
+
+    def formed(*args):
+        plans.append((found := form(*args))._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(hot_refs, "_formed", formed)
+    sources = equal_rows(spark, repeats, types=2)
+    split, whole = ReportParams.base(AS_OF, lots_per_task=5), ReportParams.base(AS_OF, lots_per_task=10**9)
+    assert rows(report(sources, split)) == rows(report(sources, whole))
+    assert len(plans) == 1 and ("_first" in plans[0].partition("RepartitionByExpression")[2].partition("\n")[0]) == dealt
+
+
 def test_a_million_equal_directory_rows(spark):
     """They meet the lots as one row with a number, and lie in blocks of the size of a task."""
     params = ReportParams.base(AS_OF, lots_per_task=20_000)
