@@ -1,17 +1,19 @@
 """Output that is replaced snapshot by snapshot."""
 
+import os
 import uuid
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from inputs import AS_OF, forecast, lot, make_sources
+from inputs import AS_OF, forecast, kept_since, lot, make_sources, shuffle_files
 from shelflife import job
 from shelflife.params import ReportParams
 from shelflife.plans.reports import report, report_order
 from shelflife.sources.readers import write_report
 from shelflife.sources.runs import last_runs, read_snapshots, replaced_runs, write_snapshots
+from shelflife.sources.shared import shared_folder
 
 FIRST, SECOND, THIRD = date(2022, 11, 2), date(2022, 11, 9), date(2022, 11, 16)
 
@@ -118,3 +120,23 @@ def test_a_report_is_worked_out_once_to_be_ordered(spark, tmp_path):
     write_report(rows, str(tmp_path / "out"), order=[-F.col("id")])
     assert len(list(runs.iterdir())) == 3
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.count("*"), F.sum("id")).first() == (4000, 7998000)
+
+
+def test_a_written_report_leaves_nothing_but_itself(spark, tmp_path):
+    """Neither the table that it was stored in before its order, nor shuffle files; so does one that fails."""
+
+    def unordered():
+        return [name for name in os.listdir(shared_folder(spark).removeprefix("file:")) if name.startswith("unordered-")]
+
+    had, before = unordered(), shuffle_files(spark)
+    rows = spark.range(1000).groupBy((F.col("id") % 50).alias("id")).count()
+    write_report(rows, str(tmp_path / "out"), order=["id"])
+    assert unordered() == had
+    assert not kept_since(spark, before)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(50))
+    failing = rows.withColumn("more", F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.lit("x")))
+    with pytest.raises(Exception, match="no"):
+        write_report(failing, str(tmp_path / "other"), order=["id"])
+    with pytest.raises(Exception, match="DATA_SOURCE_NOT_FOUND"):
+        write_report(rows, str(tmp_path / "other"), fmt="nosuchformat", order=["id"])
+    assert unordered() == had
